@@ -68,16 +68,17 @@ def first_since(df: DataFrame, value: str, since: str | None = None, ts: str = "
     return kept.groupBy("ticker").agg(F.min(ts).alias(ts), F.min_by(value, _order(order or [ts])).alias(value))
 
 
-def monthly_traded_value(bars: DataFrame, include_last_day: bool = False) -> DataFrame:
-    """Traded value per ticker and month (``YYYY-MM``), rounded half up to cents.
+def monthly_traded_value(bars: DataFrame, include_last_day: bool = False, digits: int | None = 2) -> DataFrame:
+    """Traded value per ticker and month (``YYYY-MM``), rounded half up to ``digits`` places.
 
     The stored totals stop at the New York midnight that begins the month's last
     day; ``include_last_day`` covers the whole month.
     """
     local_day = trading_day("market_ts")
     kept = bars if include_last_day else bars.filter(F.col("market_ts") < new_york_instant(F.last_day(local_day)))
+    total = F.sum("total_trading_value")
     return kept.groupBy("ticker", F.date_format(local_day, "yyyy-MM").alias("month")).agg(
-        F.round(F.sum("total_trading_value"), 2).alias("total_trading_value")
+        (total if digits is None else F.round(total, digits)).alias("total_trading_value")
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickwise.functions.periods import annual_periods, period_label, quarter_periods, statement_key
+from tickwise.functions.periods import FIRST_FISCAL_YEAR, annual_periods, period_label, quarter_periods, statement_key
 
 # Line items of a statement, whole amounts.
 AMOUNT_ITEMS = [
@@ -65,14 +65,14 @@ def has_statements(annual: str = "financial_data.annual", quarterly: str = "fina
     return F.coalesce(F.col(annual).isNotNull(), F.lit(False)) | F.coalesce(F.col(quarterly).isNotNull(), F.lit(False))
 
 
-def report_rows(responses: DataFrame, as_of: Column, kind: str) -> DataFrame:
+def report_rows(responses: DataFrame, as_of: Column, kind: str, first_year: int = FIRST_FISCAL_YEAR) -> DataFrame:
     """One row per company and ended report period of ``kind`` ``"A"`` or ``"Q"``.
 
     Annual periods read the annual statements and fall back to the quarterly ones;
     quarters need quarterly statements.  Amounts are cut to whole numbers.
     """
     annual, quarterly = F.col("financial_data.annual"), F.col("financial_data.quarterly")
-    periods = annual_periods(as_of) if kind == "A" else quarter_periods(as_of)
+    periods = annual_periods(as_of, first_year) if kind == "A" else quarter_periods(as_of, first_year)
     source = F.coalesce(annual, quarterly) if kind == "A" else quarterly
     rows = (
         responses.filter(has_statements())
@@ -124,11 +124,11 @@ def responses_from_totals(totals: DataFrame, currency: str = "USD") -> DataFrame
         F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("year").cast("string"), "total")))).alias("annual")
     )
 
+    def share(source: str, part: float) -> Column:
+        return F.transform_values(source, lambda _, v: v * part)
+
     def statement(source: str) -> Column:
-        scaled = [
-            F.transform_values(source, lambda _, v, share=(n + 1) / 100: v * share).alias(i) for n, i in enumerate(ITEMS)
-        ]
-        return F.struct(*scaled).alias(source)
+        return F.struct(*[share(source, (n + 1) / 100).alias(i) for n, i in enumerate(ITEMS)]).alias(source)
 
     return annual.join(quarterly, "ticker").select(
         F.lit(currency).alias("currency"),

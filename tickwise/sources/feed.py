@@ -8,11 +8,27 @@ from pyspark.sql import functions as F
 from tickwise.functions.scalar import money_amount, money_from_number, money_is_valid, timestamp_is_valid
 from tickwise.operators.quality import present, split
 
-# Keys of feed messages (stock and crypto share one superset).
-MESSAGE_SCHEMA = (
-    "T STRING, S STRING, i BIGINT, x STRING, p DOUBLE, s DOUBLE, c ARRAY<STRING>, t TIMESTAMP, z STRING, tks STRING, "
-    "bx STRING, bp DOUBLE, bs DOUBLE, ax STRING, ap DOUBLE, `as` DOUBLE, msg STRING"
-)
+# Key of a feed message, its type, and the column it becomes
+# (stock and crypto messages share one superset; some keys differ only in case).
+MESSAGE_KEYS = [
+    ("T", "STRING", "message_type"),
+    ("S", "STRING", "symbol"),
+    ("i", "BIGINT", "trade_id"),
+    ("x", "STRING", "exchange"),
+    ("p", "DOUBLE", "price"),
+    ("s", "DOUBLE", "size"),
+    ("c", "ARRAY<STRING>", "conditions"),
+    ("t", "TIMESTAMP", "market_ts"),
+    ("z", "STRING", "tape"),
+    ("tks", "STRING", "tks"),
+    ("bx", "STRING", "bid_exchange"),
+    ("bp", "DOUBLE", "bid_price"),
+    ("bs", "DOUBLE", "bid_size"),
+    ("ax", "STRING", "ask_exchange"),
+    ("ap", "DOUBLE", "ask_price"),
+    ("as", "DOUBLE", "ask_size"),
+    ("msg", "STRING", "msg"),
+]
 
 _MONEY = "STRUCT<units: BIGINT, nanos: INT, currency: STRING>"
 _UNIT = f"STRUCT<exchange: STRING, price: {_MONEY}, lot_size: DOUBLE>"
@@ -35,16 +51,9 @@ def messages(frames: DataFrame, column: str = "value") -> DataFrame:
     """One row per message: a frame is one object or an array of objects."""
     text = F.trim(column)
     array = F.when(text.startswith("["), text).otherwise(F.concat(F.lit("["), text, F.lit("]")))
-    parsed = F.from_json(array, f"ARRAY<STRUCT<{_colon(MESSAGE_SCHEMA)}>>", {"timeZone": "UTC"})
-    return frames.select(F.inline(parsed))
-
-
-def _colon(schema: str) -> str:
-    fields = []
-    for part in schema.split(", "):
-        name, kind = part.split(" ", 1)
-        fields.append(f"{name}: {kind}")
-    return ", ".join(fields)
+    fields = ", ".join(f"`{key}`: {kind}" for key, kind, _ in MESSAGE_KEYS)
+    parsed = F.from_json(array, f"ARRAY<STRUCT<{fields}>>", {"timeZone": "UTC"})
+    return frames.select(F.inline(parsed).alias(*[name for _, _, name in MESSAGE_KEYS]))
 
 
 def route(feed_type: str = "stocks") -> Column:
@@ -52,7 +61,7 @@ def route(feed_type: str = "stocks") -> Column:
     if feed_type not in ("stocks", "crypto"):
         raise ValueError(f"unknown feed type {feed_type!r}")
     first = "stock" if feed_type == "stocks" else "crypto"
-    kind = F.col("T")
+    kind = F.col("message_type")
     control = [F.when(kind == k, F.lit(k)) for k in ("success", "subscription", "error")]
     return F.coalesce(
         F.when(kind == "q", F.lit(f"{first}_quotation")),
@@ -78,18 +87,18 @@ def envelopes(decoded: DataFrame, feed_type: str = "stocks", ingest_ts: Column |
         return F.struct(venue.alias("exchange"), money.alias("price"), F.col(size).alias("lot_size"))
 
     routed = decoded.withColumn("route", route(feed_type))
-    is_quote, is_trade = F.col("T") == "q", F.col("T") == "t"
+    is_quote, is_trade = F.col("message_type") == "q", F.col("message_type") == "t"
     return routed.filter(is_quote | is_trade).select(
         F.col("route").alias("kind"),
-        F.col("S").alias("symbol"),
-        F.when(is_trade, F.col("i")).alias("trade_id"),
-        F.col("t").alias("market_ts"),
+        "symbol",
+        F.when(is_trade, F.col("trade_id")).alias("trade_id"),
+        "market_ts",
         (ingest_ts if ingest_ts is not None else F.current_timestamp()).alias("ingest_ts"),
-        F.when(is_quote, unit("bx", "bp", "bs")).alias("bid"),
-        F.when(is_quote, unit("ax", "ap", "as")).alias("ask"),
-        F.when(is_trade, unit("x", "p", "s")).alias("settle"),
-        F.col("c").alias("conditions"),
-        F.col("z").alias("tape"),
+        F.when(is_quote, unit("bid_exchange", "bid_price", "bid_size")).alias("bid"),
+        F.when(is_quote, unit("ask_exchange", "ask_price", "ask_size")).alias("ask"),
+        F.when(is_trade, unit("exchange", "price", "size")).alias("settle"),
+        "conditions",
+        "tape",
         "tks",
     )
 
@@ -133,7 +142,7 @@ def _time_checks(ts: str) -> dict[str, Column]:
 
 
 def _money_checks(unit: str) -> dict[str, Column]:
-    return {f"{unit}_sign": money_is_valid(f"{unit}.price.units", f"{unit}.price.nanos")}
+    return {f"{unit}_sign": F.coalesce(money_is_valid(f"{unit}.price.units", f"{unit}.price.nanos"), F.lit(True))}
 
 
 def decode_trades(events: DataFrame) -> tuple[DataFrame, DataFrame]:

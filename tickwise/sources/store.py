@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tickwise.operators.series import newest_rows
 
@@ -36,8 +37,10 @@ def exists(spark: SparkSession, table: Table) -> bool:
     return fs.exists(path)
 
 
-def load(spark: SparkSession, table: Table) -> DataFrame:
-    return spark.read.parquet(table.path)
+def load(spark: SparkSession, table: Table, schema: StructType | None = None) -> DataFrame:
+    """The stored rows; a table that may still be empty needs its schema named."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.parquet(table.path)
 
 
 def _replace(df: DataFrame, table: Table) -> None:
@@ -55,10 +58,10 @@ def upsert(rows: DataFrame, table: Table) -> None:
     spark = rows.sparkSession
     incoming = newest_rows(rows, table.keys, table.order) if table.order else rows.dropDuplicates(table.keys)
     if exists(spark, table):
-        stored = load(spark, table)
+        stored = load(spark, table, rows.schema)
         touched = stored.join(incoming.select(*table.partitions).distinct(), table.partitions, "left_semi")
         untouched = touched.join(incoming.select(*table.keys), table.keys, "left_anti")
-        incoming = incoming.unionByName(untouched.select(*incoming.columns), allowMissingColumns=True)
+        incoming = incoming.unionByName(untouched.select(*incoming.columns))
     _replace(incoming, table)
 
 
