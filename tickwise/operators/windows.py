@@ -155,7 +155,8 @@ def quote_windows_from_levels(levels: DataFrame, closing: bool = False) -> DataF
     The outlier rule limits min and max only; counts and sums cover every quote.
     ``closing`` adds the last bid and ask of the window (ties in time: the higher price).
     """
-    flagged = flag_outliers(levels, ["ticker", "w", "side"])
+    # One distribution serves the outlier windows and the aggregate below.
+    flagged = flag_outliers(levels.repartition("ticker", "w"), ["ticker", "w", "side"])
 
     def side(name: str, expr: Column) -> Column:
         return F.when(F.col("side") == name, expr)

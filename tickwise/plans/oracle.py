@@ -23,21 +23,20 @@ from tickwise.operators.windows import (
 )
 from tickwise.plans import features as feat
 from tickwise.plans.microstructure import AMOUNTS, QUOTE_FIELDS, TRADE_FIELDS, VWAPS
+from tickwise.plans.rounding import digits_for, push
 
 PRICES = ["open", "close", "high", "low", "avg"]
 CHANGES = [f"price_change_{p}" for p in PRICES] + ["prev_price_change_avg"]
 
 
-PUSH = 0.00137
-
-
 def rounding(expression: str, digits: int) -> str:
-    return f"(round({expression} + {PUSH * 10.0**-digits!r}, {digits}) + 0.0)"
+    return f"(round({expression} + {push(digits)!r}, {digits}) + 0.0)"
 
 
 def r(expression: str, alias: str | None = None, digits: int = 6) -> str:
     """Rounded, without a negative zero."""
-    return f"{rounding(expression, digits)} AS {alias or expression}"
+    name = alias or expression
+    return f"{rounding(expression, digits_for(name, digits))} AS {name}"
 
 
 def rs(*names: str, digits: int = 6) -> str:
@@ -434,7 +433,7 @@ def shown_features(program: feat.Program, source: str) -> str:
         if c.startswith("days_since"):
             columns.append(f"CAST({c} AS INTEGER) AS {c}")
         else:
-            columns.append(r(c, digits=2 if c == "volume_over_moving_avg" else 6))
+            columns.append(r(c))
     return f"SELECT day, {', '.join(columns)} FROM {source}"
 
 
@@ -564,7 +563,7 @@ def statements() -> dict[str, str]:
 
     def attribution(condition: str) -> str:
         return f"""
-SELECT ticker, ts, {r('sum(v) OVER (PARTITION BY ticker ORDER BY ts)', 'value')}
+SELECT ticker, ts, {r('sum(v) OVER (PARTITION BY ticker ORDER BY ts)', 'value', 2)}
 FROM (SELECT m.ticker, m.ts, {share} AS v
       FROM (SELECT ticker, ts, {move} AS member FROM members_regular) m
       JOIN (SELECT ts, {move} AS idx FROM index_regular) i USING (ts) WHERE {condition})"""
@@ -614,7 +613,7 @@ SELECT window_end_time AS ts, {r('sum(sum_ask_notional)', 'asks')}, {r('sum(sum_
         "quote_totals_by_ticker": f"""
 SELECT window_end_time AS ts, ticker, {r('sum_ask_notional', 'asks')}, {r('sum_bid_notional', 'bids')} FROM qw WHERE ticker <> 'click'""",
         "trade_notional": f"""
-SELECT window_end_time AS ts, ticker, {r('sum_notional', 'value')} FROM tw WHERE ticker NOT IN ('click', 'view')""",
+SELECT window_end_time AS ts, ticker, {r('sum_notional', 'value', 2)} FROM tw WHERE ticker NOT IN ('click', 'view')""",
         "windowed_quotations": f"""
 SELECT measure_id, ticker AS symbol, window_start_time, window_end_time, {r('sum_bid_quantity', 'sum_bid_volume')},
        {r('sum_ask_quantity', 'sum_ask_volume')}, record_count, {r('volume_weighted_avg_bid_price', 'average_bid_price')},
@@ -635,9 +634,9 @@ GROUP BY c_custkey, symbol, batch""",
 SELECT user_id AS id, ts, event_id, event_type, {r('value')}
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1""",
         "chart_points": f"""
-SELECT ticker, window_end_time AS ts, {r('(hour(window_end_time) * 3600 + minute(window_end_time) * 60 + second(window_end_time)) / 86399.0 * 1000', 'x')},
-       {r('(sum_notional - hi * 1.02) * 400 / nullif(lo * 0.98 - hi * 1.02, 0)', 'y')}, {r('price_at_window_end', 'price')},
-       {r('sum_notional', 'value')}
+SELECT ticker, window_end_time AS ts, {r('(hour(window_end_time) * 3600 + minute(window_end_time) * 60 + second(window_end_time)) / 86399.0 * 1000', 'x', 3)},
+       {r('(sum_notional - hi * 1.02) * 400 / nullif(lo * 0.98 - hi * 1.02, 0)', 'y', 3)}, {r('price_at_window_end', 'price', 3)},
+       {r('sum_notional', 'value', 3)}
 FROM (SELECT *, min(sum_notional) OVER (PARTITION BY ticker) AS lo, max(sum_notional) OVER (PARTITION BY ticker) AS hi
       FROM tw WHERE price_at_window_end > 0 AND sum_notional > 0)""",
         "throughput": "SELECT date_trunc('minute', ts) AS minute, count(*) AS messages FROM events GROUP BY 1",
@@ -747,20 +746,20 @@ SELECT ts, field, {r('value')} FROM (
   SELECT ts + INTERVAL 1 DAY AS ts, 'a_daily' AS field, {move} AS value FROM index_regular
   UNION ALL SELECT {week()}, 'b_weekly', avg({move}) FROM index_regular GROUP BY 1)""",
         "index_volume": f"""
-SELECT ts, field, {r('value')} FROM (
+SELECT ts, field, {r('value', digits=2)} FROM (
   {_long('index_regular', {'volume': 'avg(total_trading_value / nullif(price_change_avg, 0))', 'dollar_value': 'avg(total_trading_value)'})}
   UNION ALL SELECT {bucket('42 days', 'ts')} + INTERVAL 42 DAY - INTERVAL 8 DAY, 'custom_moving_average', avg(total_trading_value)
   FROM index_regular GROUP BY 1)""",
         "index_volume_by_month": f"""
-SELECT make_date(CAST(n // 12 AS INTEGER), CAST(n % 12 + 1 AS INTEGER), 1) - INTERVAL 49 DAY AS ts, {r('value')}
+SELECT make_date(CAST(n // 12 AS INTEGER), CAST(n % 12 + 1 AS INTEGER), 1) - INTERVAL 49 DAY AS ts, {r('value', digits=2)}
 FROM (SELECT (year(ts) * 12 + month(ts) - 1) // 4 * 4 + 4 AS n, avg(value) AS value
       FROM (SELECT {week()} AS ts, avg(total_trading_value) AS value FROM index_regular GROUP BY 1) GROUP BY 1)""",
         "weekly_unit_volume": f"""
-SELECT g.ts, {r('value')} FROM (
+SELECT g.ts, {r('value', digits=2)} FROM (
   SELECT unnest(generate_series(min({week()}), max({week()}), INTERVAL 7 DAY)) AS ts FROM index_regular) g
 LEFT JOIN (SELECT {week()} AS ts, avg(total_trading_value) / nullif(avg(price_change_avg), 0) AS value FROM index_regular GROUP BY 1) v
 ON v.ts = g.ts""",
-        "index_flow": f"SELECT ts, {r(flow, 'value')} FROM index_regular",
+        "index_flow": f"SELECT ts, {r(flow, 'value', 2)} FROM index_regular",
         "annualised_gain": f"""
 SELECT ts, {r("(pow(value, 1.0 / (datediff('day', DATE '1995-01-01', CAST(ts AS DATE)) / 365.0)) - 1) * 100", 'value')} FROM (
   SELECT g.ts, v.value FROM (
@@ -781,8 +780,8 @@ SELECT ts, field, {r('value')} FROM ({_long('drawdown', {'a_low': 'min(drawdown_
 SELECT ts, {rs('current_drawdown', 'drawdown_next_bank_day', 'forward_max_drawdown')},
        {', '.join(f'CAST(days_since_dip_of_{d} AS INTEGER) AS days_since_dip_of_{d}' for d in DIP_LEVELS)} FROM labels_all""",
         "linear_regression": f"""
-SELECT ticker, count(*) AS points, {r('regr_slope(y, x)', 'slope')}, {r('regr_intercept(y, x)', 'intercept')},
-       {r('(regr_syy(y, x) - pow(regr_slope(y, x), 2) * regr_sxx(y, x)) / count(*)', 'variance')}
+SELECT ticker, count(*) AS points, {r('regr_slope(y, x)', 'slope', 2)}, {r('regr_intercept(y, x)', 'intercept', 2)},
+       {r('(regr_syy(y, x) - pow(regr_slope(y, x), 2) * regr_sxx(y, x)) / count(*)', 'variance', 2)}
 FROM (SELECT ticker, (price_change_avg / first_value(price_change_avg) OVER w - 1) * 100 AS y,
              CAST(row_number() OVER w - 1 AS DOUBLE) AS x
       FROM members_regular WINDOW w AS (PARTITION BY ticker ORDER BY ts)) GROUP BY ticker""",
@@ -797,10 +796,10 @@ SELECT ticker, year, position, {rs('price_change_avg', 'residual')} FROM (
         "member_trends": f"""
 SELECT ticker, ts, {r('ln(value)', 'value')} FROM (
   SELECT ticker, {week()} AS ts, avg(price_change_avg) AS value FROM members_regular GROUP BY 1, 2) WHERE value > 0.667""",
-        "member_daily_change": f"SELECT ticker, ts, {r(f'10000 * tanh(({move}) * 0.3)', 'value')} FROM members_regular",
+        "member_daily_change": f"SELECT ticker, ts, {r(f'10000 * tanh(({move}) * 0.3)', 'value', 2)} FROM members_regular",
         "member_volumes": f"""
-SELECT ticker, {week()} AS ts, {r('arg_max(total_trading_value, ts)', 'value')} FROM members_regular GROUP BY 1, 2""",
-        "member_flow": f"SELECT ticker, ts, {r(flow, 'value')} FROM members_regular WHERE ticker <> 'NATION_1'",
+SELECT ticker, {week()} AS ts, {r('arg_max(total_trading_value, ts)', 'value', 2)} FROM members_regular GROUP BY 1, 2""",
+        "member_flow": f"SELECT ticker, ts, {r(flow, 'value', 2)} FROM members_regular WHERE ticker <> 'NATION_1'",
         "member_attribution": attribution("true"),
         "member_attribution_flat": attribution("idx BETWEEN -0.2 AND 0.2"),
         # features

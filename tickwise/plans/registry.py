@@ -24,8 +24,10 @@ from tickwise.operators import quality, series, trends, windows
 from tickwise.plans import features as feat
 from tickwise.plans import market_index as mi
 from tickwise.plans import microstructure as ms
+from tickwise.plans.rounding import digits_for, push
 from tickwise.sources import bars as bar_source
-from tickwise.sources import feed, points, tables
+from tickwise.session import fresh_path
+from tickwise.sources import feed, points, store, tables
 from tickwise.streaming import fanout
 from tickwise.streaming import jobs
 
@@ -33,26 +35,20 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 EVERY = "6 hours"
 SEQUENCE = ["market_ts", "sequence"]
-MONEY = {"total_trading_value", "sum_quantity", "sum_notional", "volume_over_moving_avg"}
 BASE_DATE, RESULTS_FROM, FEATURE_START, PROVISIONAL_FROM = "1995-01-01", "1996-01-01", "1995-06-01", "2001-01-01"
 STATEMENTS_AS_OF = "2001-12-31"
 FIRST_STATEMENT_YEAR = 1995
 
 
-# Many results are short decimals that end halfway between two roundings; a push far below
-# the shown digits decides those the same way in every engine.
-PUSH = 0.00137
-
-
 def stable_round(column: Column, digits: int) -> Column:
-    return F.round(column + F.lit(PUSH * 10.0**-digits), digits)
+    return F.round(column + F.lit(push(digits)), digits)
 
 
-def rounded(df: DataFrame, digits: int = 6, money: int = 2) -> DataFrame:
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     def shown(f: T.StructField):
         if not isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             return F.col(f"`{f.name}`")
-        return stable_round(F.col(f"`{f.name}`"), money if f.name in MONEY else digits).alias(f.name)
+        return stable_round(F.col(f"`{f.name}`"), digits_for(f.name, digits)).alias(f.name)
 
     return df.select(*[shown(f) for f in df.schema])
 
@@ -68,12 +64,34 @@ def _quote_windows(spark, d, closing=False):
     return windows.quote_windows(tables.quotes(spark, d), EVERY, closing=closing)
 
 
+_STORED: dict[tuple, DataFrame] = {}
+
+
+def _stored(spark, folder, name, build) -> DataFrame:
+    """A series table, written to the shared folder once per session and source folder.
+
+    Dashboards and features read stored series, so the bars are scanned once and not
+    by each of them.
+    """
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _STORED:
+        _STORED[key] = store.staged(build(), fresh_path(spark, name))
+    return _STORED[key]
+
+
 def _daily(spark, d, regular=True):
     return bar_ops.daily_bars(tables.bars(spark, d), regular, SEQUENCE)
 
 
+def _stored_daily(spark, d, regular=True):
+    return _stored(spark, d, f"daily-{regular}", lambda: _daily(spark, d, regular))
+
+
 def _members(spark, d, regular=True):
-    return ix.index_members(_daily(spark, d, regular), regular_hours=regular)
+    return _stored(
+        spark, d, f"members-{regular}",
+        lambda: ix.index_members(_stored_daily(spark, d, regular), regular_hours=regular),
+    )
 
 
 def _index(spark, d, regular=True, geometric=False):
@@ -111,7 +129,7 @@ def microstructure_cumulative(spark, d):
 def line_protocol(spark, d):
     rows = _trade_windows(spark, d)
     fields = [c for c in rows.columns if c != "ticker"]
-    exact = rounded(rows, 4, 4)
+    exact = rows.select(*[stable_round(F.col(c), 4).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes])
     return points.line_protocol(exact, windows.TRADE_WINDOWS, ["ticker"], fields, "window_end_time")
 
 
@@ -270,7 +288,8 @@ def tickers_without_rows(spark, d):
 
 
 def index_members(spark, d, regular=True):
-    return rounded(_members(spark, d, regular)).drop("company", "measurement")
+    members = ix.index_members(_stored_daily(spark, d, regular), regular_hours=regular)
+    return rounded(members).drop("company", "measurement")
 
 
 def member_state(spark, d):
@@ -279,8 +298,8 @@ def member_state(spark, d):
 
 def index_recompute(spark, d):
     """The last year's member rows from a continued run."""
-    daily = _daily(spark, d)
-    recent = ix.recompute_from(daily, ix.index_members(daily), "2001-01-02")
+    daily = _stored_daily(spark, d)
+    recent = ix.recompute_from(daily, _members(spark, d), "2001-01-02")
     return recent.select("ticker", "day", "price_change_avg", "prev_price_change_avg")
 
 
@@ -360,11 +379,10 @@ def training_rows(spark, d):
 
 
 def feature_points(spark, d):
-    exact = rounded(_features(feat.FORWARD_TWO_WEEKS, spark, d), 3, 3)
-    shown = exact.select("day", *[
-        F.col(f.name).cast("decimal(38,3)").alias(f.name) if f.dataType.simpleString() == "double" else F.col(f.name)
-        for f in exact.schema if f.name != "day"
-    ])
+    rows = _features(feat.FORWARD_TWO_WEEKS, spark, d)
+    shown = rows.select(
+        *[stable_round(F.col(c), 3).cast("decimal(38,3)").alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes]
+    )
     return feat.feature_lines(shown, feat.FORWARD_TWO_WEEKS)
 
 
@@ -397,8 +415,8 @@ def new_report_periods(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    def table(fn) -> Query:
-        return lambda spark, d: rounded(fn(spark, d))
+    def table(fn, digits: int = 6) -> Query:
+        return lambda spark, d: rounded(fn(spark, d), digits)
 
     def on_quotes(build, /, closing=False, **options) -> Query:
         return table(lambda s, d: build(_quote_windows(s, d, closing), **options))
@@ -406,11 +424,11 @@ def queries() -> dict[str, Query]:
     def on_both(build, /, **options) -> Query:
         return table(lambda s, d: build(_quote_windows(s, d), _trade_windows(s, d), **options))
 
-    def on_index(build, /, *args, **options) -> Query:
-        return table(lambda s, d: build(_index(s, d), *args, **options).drop("measurement", "ticker", "company"))
+    def on_index(build, /, *args, digits: int = 6, **options) -> Query:
+        return table(lambda s, d: build(_index(s, d), *args, **options).drop("measurement", "ticker", "company"), digits)
 
-    def on_members(build, /, *args, **options) -> Query:
-        return table(lambda s, d: build(_members(s, d), *args, **options).drop("measurement", "company"))
+    def on_members(build, /, *args, digits: int = 6, **options) -> Query:
+        return table(lambda s, d: build(_members(s, d), *args, **options).drop("measurement", "company"), digits)
 
     return {
         # live windows
@@ -430,12 +448,12 @@ def queries() -> dict[str, Query]:
         "institutional_pressure_basket": on_quotes(ms.institutional_pressure, closing=True, by_ticker=False),
         "quote_totals": on_quotes(ms.quote_totals),
         "quote_totals_by_ticker": on_quotes(ms.quote_totals, by_ticker=True, excluded=["click"]),
-        "trade_notional": table(lambda s, d: ms.traded_notional(_trade_windows(s, d), excluded=["click", "view"])),
+        "trade_notional": table(lambda s, d: ms.traded_notional(_trade_windows(s, d), excluded=["click", "view"]), 2),
         "windowed_quotations": on_quotes(ms.windowed_quotations, closing=True),
         "line_protocol": line_protocol,
         "subscriber_batches": subscriber_batches,
         "latest_per_id": table(latest_per_id),
-        "chart_points": table(chart_points),
+        "chart_points": table(chart_points, 3),
         "throughput": throughput,
         # feed
         "route_messages": route_messages,
@@ -478,30 +496,30 @@ def queries() -> dict[str, Query]:
         "index_bands": on_index(mi.index_bands),
         "index_bands_linear": on_index(mi.index_bands, fn="median", log=False),
         "index_change": on_index(mi.index_change),
-        "index_volume": on_index(mi.index_volume),
-        "index_volume_by_month": on_index(mi.index_volume_by_month),
-        "weekly_unit_volume": on_index(mi.weekly_unit_volume),
-        "index_flow": on_index(mi.flow),
+        "index_volume": on_index(mi.index_volume, digits=2),
+        "index_volume_by_month": on_index(mi.index_volume_by_month, digits=2),
+        "weekly_unit_volume": on_index(mi.weekly_unit_volume, digits=2),
+        "index_flow": on_index(mi.flow, digits=2),
         "annualised_gain": on_index(mi.annualised_gain, BASE_DATE, RESULTS_FROM),
         "drawdown": table(lambda s, d: _levels(s, d).drop("measurement", "ticker")),
         "drawdown_provisional": table(drawdown_provisional),
         "drawdown_bands": table(lambda s, d: mi.drawdown_bands(_levels(s, d)).drop("ticker")),
         "drawdown_labels": table(drawdown_labels),
         "member_drawdown": table(member_drawdown),
-        "linear_regression": table(linear_regression),
-        "trend_segments": table(trend_segments),
-        "trend_analysis": table(trend_analysis),
+        "linear_regression": table(linear_regression, 2),
+        "trend_segments": table(trend_segments, 3),
+        "trend_analysis": table(trend_analysis, 3),
         "largest_deviation": table(largest_deviation),
         # members
         "member_trends": on_members(mi.member_trends),
-        "member_daily_change": on_members(mi.member_daily_change, emphasise=True),
-        "member_volumes": on_members(mi.member_volumes),
-        "member_flow": on_members(mi.flow, excluded=["NATION_1"]),
+        "member_daily_change": on_members(mi.member_daily_change, emphasise=True, digits=2),
+        "member_volumes": on_members(mi.member_volumes, digits=2),
+        "member_flow": on_members(mi.flow, excluded=["NATION_1"], digits=2),
         "member_attribution": table(
-            lambda s, d: mi.member_attribution(_index(s, d), _members(s, d)).drop("company")
+            lambda s, d: mi.member_attribution(_index(s, d), _members(s, d)).drop("company"), 2
         ),
         "member_attribution_flat": table(
-            lambda s, d: mi.member_attribution(_index(s, d), _members(s, d), direction="flat").drop("company")
+            lambda s, d: mi.member_attribution(_index(s, d), _members(s, d), direction="flat").drop("company"), 2
         ),
         # features
         "member_spread": table(member_spread),

@@ -44,8 +44,9 @@ def load(spark: SparkSession, table: Table, schema: StructType | None = None) ->
 
 
 def _replace(df: DataFrame, table: Table) -> None:
+    """Rows of a partition meet in few files; a partition that is far larger is split over tasks."""
     (
-        df.repartition(*table.partitions)
+        df.hint("rebalance", *table.partitions)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*table.partitions)
@@ -118,6 +119,12 @@ def rename_ticker(spark: SparkSession, table: Table, old: str, new: str) -> None
     _replace(renamed.select(*stored.columns), table)
 
 
+def staged(df: DataFrame, path: str) -> DataFrame:
+    """Write an intermediate result once and read it back: later steps start from the table."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # --- keyed documents ---------------------------------------------------------
 
 
