@@ -109,7 +109,7 @@ def in_scope(column: Column | str, included: list[str] | None = None, excluded:
 
 def split_tickers(text: Column | str) -> Column:
     """``"AAPL, MSFT ,"`` → ``["AAPL", "MSFT"]``."""
-    return F.filter(F.transform(F.split(_c(text), ","), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(_c(text), ","), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def rename_by(mapping: dict[str, str], field: Column | str) -> Column:
