@@ -31,7 +31,7 @@ def test_export(table, tmp_path):
         assert all(len(line.split(",")) == 11 for line in lines)
     labels = {float(line.split(",")[0]) for line in lines}
     first = {r[0] for r in table.orderBy("day").limit(50).select("drawdown_next_bank_day").collect()}
-    assert labels == pytest.approx(first) or labels == first
+    assert labels == first
 
 
 def test_points(table):

@@ -7,6 +7,8 @@ The session time zone must be UTC.
 
 from __future__ import annotations
 
+import calendar
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,16 +49,21 @@ def is_holiday(day: Column | str) -> Column:
 
     The last Monday of May is tested as "within the last eight days of the
     month", so a 31-day May can hold two of them (24th and 31st).
+
+    Month, day and weekday are folded into two keys and looked up in small sets: the
+    generated code stays short enough for the JIT compiler.
     """
     day = _c(day)
     month, dom, dow = F.month(day), F.dayofmonth(day), F.dayofweek(day)
-    fixed = (month * 100 + dom).isin([m * 100 + d for m, d in FIXED_HOLIDAYS])
-    floating = F.lit(False)
-    for m, weekday, nth in FLOATING_HOLIDAYS:
-        within = dom.between(7 * nth - 6, 7 * nth) if nth else dom >= F.dayofmonth(F.last_day(day)) - 7
-        floating = floating | ((month == m) & (dow == weekday) & within)
-    friday = day.isin([F.lit(d).cast("date") for d in GOOD_FRIDAYS])
-    return fixed | floating | friday
+    month_day = month * 100 + dom
+    nth_weekday = dow * 10000 + month * 100 + F.ceil(dom / 7).cast("int")
+    found = month_day.isin([m * 100 + d for m, d in FIXED_HOLIDAYS])
+    found = found | nth_weekday.isin([w * 10000 + m * 100 + n for m, w, n in FLOATING_HOLIDAYS if n])
+    for m, weekday, n in FLOATING_HOLIDAYS:
+        if not n:
+            length = calendar.monthrange(2001, m)[1]
+            found = found | ((dow == weekday) & month_day.between(m * 100 + length - 7, m * 100 + length))
+    return found | day.isin([F.lit(d).cast("date") for d in GOOD_FRIDAYS])
 
 
 def is_bank_day(day: Column | str) -> Column:
@@ -112,10 +119,15 @@ def trading_day(ts: Column | str) -> Column:
 
 
 def is_regular_hours(ts: Column | str) -> Column:
-    """Is the exchange open at the instant."""
+    """Is the exchange open at the instant.
+
+    The zone conversion is the costly part, so it occurs once: whole session lengths
+    since the opening bell are zero exactly while the exchange is open, and during
+    those hours the New York date is the UTC date.
+    """
     local = F.from_utc_timestamp(_c(ts), NEW_YORK)
-    seconds = F.hour(local) * 3600 + F.minute(local) * 60 + F.second(local)
-    return (seconds >= OPEN_SECONDS) & (seconds < CLOSE_SECONDS) & is_bank_day(F.to_date(local))
+    since_open = F.pmod(F.unix_seconds(local), F.lit(86400)) - OPEN_SECONDS
+    return (F.floor(since_open / (CLOSE_SECONDS - OPEN_SECONDS)) == 0) & is_bank_day(F.to_date(_c(ts)))
 
 
 def feed_start(session_date: str) -> Column:
