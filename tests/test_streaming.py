@@ -1,5 +1,6 @@
 import random
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -165,6 +166,52 @@ def test_count_batches(spark, tmp_path):
     assert [(r.batch, r["count"]) for r in got] == [(1, 5), (2, 5)]
 
 
+def wait_for(spark, folder, rows, schema, seconds=60):
+    import time
+
+    end = time.time() + seconds
+    while time.time() < end:
+        if Path(f"{folder}/out").exists() and spark.read.schema(schema).parquet(f"{folder}/out").count() >= rows:
+            return
+        time.sleep(1)
+
+
+def run_until(spark, df, folder, rows):
+    query = (
+        df.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out")
+        .option("checkpointLocation", f"{folder}/cp").trigger(processingTime="1 second").start()
+    )
+    try:
+        wait_for(spark, folder, rows, df.schema)
+    finally:
+        query.stop()
+    return spark.read.schema(df.schema).parquet(f"{folder}/out").collect()
+
+
+def test_small_batch_leaves_after_a_while(spark, tmp_path):
+    source, schema = str(tmp_path / "in"), "k string, v int"
+    write_in_turn(spark, source, [[("a", 1), ("a", 2)]], schema)
+    df = stateful.count_or_timer(stream(spark, source, schema), "k", {"v": "int"}, count=100, wait_ms=1000)
+    got = run_until(spark, df, str(tmp_path), 2)
+    assert sorted((r.key, r.batch, r.v) for r in got) == [("a", 1, 1), ("a", 1, 2)]
+
+
+def test_deltas_with_expiring_state(spark, tmp_path):
+    columns = ", ".join(["ticker string", "window_end_time timestamp", *[f"{m} double" for m in w.TRADE_METRICS]])
+    source = str(tmp_path / "in")
+    write_in_turn(spark, source, [[("A", T0 + timedelta(minutes=5 * i), *[float(i)] * 6) for i in range(3)]], columns)
+    got = run_until(spark, stateful.stream_deltas(stream(spark, source, columns), w.TRADE_METRICS, stateful.STATE_TTL_MS), str(tmp_path), 2)
+    assert [r.record_count_delta for r in got] == [1.0, 1.0]
+
+
+def test_push_hands_batches_over(spark, tmp_path):
+    schema, source, sent = "symbol string, ts timestamp, measure_id string", str(tmp_path / "in"), []
+    write_in_turn(spark, source, [[("X", T0 + timedelta(i), f"m{i}") for i in range(8)]], schema)
+    subscribers = spark.createDataFrame([("c", "X")], "connection_id string, symbol string")
+    drain(fanout.push(stream(spark, source, schema), subscribers, ["measure_id"], ["ts"], lambda df: sent.extend(df.collect()), str(tmp_path / "cp")))
+    assert sorted(len(r.messages) for r in sent) == [1, 7]
+
+
 def test_fan_out(spark):
     results = spark.createDataFrame([("X", T0 + timedelta(i), f"id{i:02d}") for i in range(16)] + [("Y", T0, "y")], "symbol string, ts timestamp, measure_id string")
     subscribers = spark.createDataFrame([("c1", "X"), ("c2", "X"), ("c3", "Y"), ("c4", "Z")], "connection_id string, symbol string")

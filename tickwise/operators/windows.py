@@ -213,6 +213,11 @@ def quote_windows(
     return quote_windows_from_levels(quote_levels(quotes, every, slide), closing)
 
 
+def all_assets(stocks: DataFrame, crypto: DataFrame) -> DataFrame:
+    """Window results of both asset classes in one table."""
+    return stocks.unionByName(crypto)
+
+
 # --- deltas ----------------------------------------------------------------
 
 

@@ -826,6 +826,22 @@ FROM companies c CROSS JOIN range(1995, 2001) p(y) LEFT JOIN yearly t ON t.ticke
         "stream_trade_deltas": "SELECT * EXCLUDE (measure_id) REPLACE (CAST(record_count_delta AS DOUBLE) AS record_count_delta) FROM ("
         + _deltas(f"(SELECT * FROM {_closed('tw')})", TRADE_METRICS, TRADE_DELTAS) + ")",
     }
+    out["asset_union"] = out["trade_windows"]
+    out["shared_tags"] = """
+SELECT trade_id, CASE WHEN lot_size > 50 THEN CAST(CAST(lot_size AS INTEGER) AS VARCHAR) ELSE '' END AS shared FROM trades"""
+    out["ticker_aliases"] = """
+SELECT c_custkey, 'F' || c_custkey % 1000 AS symbol, s_name AS ticker
+FROM customer JOIN supplier ON s_suppkey = c_custkey % 1000 AND s_suppkey % 3 = 0"""
+    out["polling_hours"] = f"""
+SELECT dayofweek({local('ts')}) NOT IN (0, 6) AND hour({local('ts')}) BETWEEN 4 AND 21 AS polled, count(*) AS events
+FROM events GROUP BY 1"""
+    out["report_periods"] = """
+SELECT DISTINCT day, year(day) || 'Q' || quarter(day) AS label, CAST(year(day) AS INTEGER) AS fiscal_year, 'Q' || quarter(day) AS period,
+       (year(day) - 1) || 'A' AS latest_annual, year(day - INTERVAL 3 MONTH) || 'Q' || quarter(day - INTERVAL 3 MONTH) AS latest_quarter
+FROM (SELECT CAST(o_orderdate AS DATE) AS day FROM orders)"""
+    out["polled_rows"] = f"""
+SELECT ts, {r('price_change_avg')} FROM index_regular
+WHERE ts >= (SELECT max(ts) FROM index_regular WHERE ts < TIMESTAMP '2001-01-01')"""
     out["stream_drawdown"] = out["drawdown"]
     return {name: assemble(body) for name, body in out.items()}
 

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from tickwise.functions import calendar as cal
-from tickwise.functions import chart, scalar
+from tickwise.functions import chart, periods, scalar
 from tickwise.operators import bars as bar_ops
 from tickwise.operators import drawdown as dd
 from tickwise.operators import financials as fin
@@ -27,7 +27,7 @@ from tickwise.plans import microstructure as ms
 from tickwise.plans.rounding import digits_for, push
 from tickwise.sources import bars as bar_source
 from tickwise.session import fresh_path
-from tickwise.sources import feed, points, store, tables
+from tickwise.sources import feed, points, polling, store, tables
 from tickwise.streaming import fanout
 from tickwise.streaming import jobs
 
@@ -210,6 +210,25 @@ def money_split(spark, d):
     )
 
 
+def asset_union(spark, d):
+    """Two asset classes windowed on their own, then put together."""
+    rows = tables.trades(spark, d)
+    crypto = F.col("symbol").isin("view", "error")
+    return windows.all_assets(
+        windows.trade_windows(rows.filter(~crypto), EVERY), windows.trade_windows(rows.filter(crypto), EVERY)
+    )
+
+
+def shared_tags(spark, d):
+    """Map intersection: tags of a trade that its window also carries."""
+    rows = tables.trades(spark, d).select(
+        "trade_id",
+        F.create_map(F.col("symbol"), F.lit("a"), F.lit("tape"), F.lit("A")).alias("mine"),
+        F.create_map(F.when(F.col("lot_size") > 50, F.col("symbol")).otherwise("none"), F.col("lot_size").cast("int").cast("string")).alias("theirs"),
+    )
+    return rows.select("trade_id", F.concat_ws(",", F.map_values(scalar.shared_keys("mine", "theirs"))).alias("shared"))
+
+
 # --- bars and calendar -------------------------------------------------------
 
 
@@ -284,6 +303,36 @@ def tickers_without_rows(spark, d):
     return quality.tickers_without_rows(parts, sold)
 
 
+def ticker_aliases(spark, d):
+    """Symbols found under a market or a fundamentals ticker."""
+    known = tables.read(spark, d, "supplier").select(
+        F.col("s_name").alias("ticker"),
+        F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("F"), F.col("s_suppkey"))).alias("fundamentals_ticker"),
+    )
+    asked = tables.read(spark, d, "customer").select(
+        "c_custkey", F.concat(F.lit("F"), F.col("c_custkey") % 1000).alias("symbol")
+    )
+    return quality.resolve_aliases(asked, known).select("c_custkey", "symbol", "ticker")
+
+
+def polling_hours(spark, d):
+    return tables.trades(spark, d).groupBy(polling.in_polling_hours("market_ts").alias("polled")).agg(
+        F.count(F.lit(1)).alias("events")
+    )
+
+
+def report_periods(spark, d):
+    """Period labels of the order dates, parsed again, with the latest ended periods."""
+    day = F.to_date("o_orderdate")
+    label = periods.period_label(F.year(day), F.concat(F.lit("Q"), F.quarter(day)))
+    rows = tables.read(spark, d, "orders").select(day.alias("day"), label.alias("label")).distinct()
+    parsed = periods.parse_period("label")
+    return rows.select(
+        "day", "label", parsed["fiscal_year"].alias("fiscal_year"), parsed["period"].alias("period"),
+        periods.latest_annual(F.col("day")).alias("latest_annual"), periods.latest_quarter(F.col("day")).alias("latest_quarter"),
+    )
+
+
 # --- index -------------------------------------------------------------------
 
 
@@ -324,6 +373,13 @@ def kaufman(spark, d):
     return series.kaufman_average(_index(spark, d), "price_change_avg", 10, mi.KEYS).select("ts", "kaufman_average")
 
 
+def polled_rows(spark, d):
+    """Index rows still to be analysed when results end in the year 2000."""
+    index = _index(spark, d)
+    results = dd.drawdown(index).filter(F.col("ts") < "2001-01-01")
+    return polling.rows_to_process(index, results, "1995-01-01").select("ts", "price_change_avg")
+
+
 def drawdown_labels(spark, d):
     return dd.drawdown_labels(_levels(spark, d), 25).drop("measurement", "ticker")
 
@@ -455,6 +511,8 @@ def queries() -> dict[str, Query]:
         "latest_per_id": table(latest_per_id),
         "chart_points": table(chart_points, 3),
         "throughput": throughput,
+        "asset_union": table(asset_union),
+        "shared_tags": shared_tags,
         # feed
         "route_messages": route_messages,
         "decoded_trades": table(decoded_trades),
@@ -475,6 +533,9 @@ def queries() -> dict[str, Query]:
         "universe_rejections": universe_rejections,
         "universe_duplicates": universe_duplicates,
         "tickers_without_rows": tickers_without_rows,
+        "ticker_aliases": ticker_aliases,
+        "polling_hours": polling_hours,
+        "report_periods": report_periods,
         "calendar": lambda s, d: cal.with_calendar(_ship_days(s, d)),
         "session_bounds": lambda s, d: cal.with_sessions(_ship_days(s, d)),
         "vix_forward_fill": table(_volatility),
@@ -504,6 +565,7 @@ def queries() -> dict[str, Query]:
         "drawdown": table(lambda s, d: _levels(s, d).drop("measurement", "ticker")),
         "drawdown_provisional": table(drawdown_provisional),
         "drawdown_bands": table(lambda s, d: mi.drawdown_bands(_levels(s, d)).drop("ticker")),
+        "polled_rows": table(polled_rows),
         "drawdown_labels": table(drawdown_labels),
         "member_drawdown": table(member_drawdown),
         "linear_regression": table(linear_regression, 2),

@@ -58,12 +58,17 @@ def upsert(rows: DataFrame, table: Table) -> None:
     """Add rows; a row with a stored key replaces it, and among equals the newest wins."""
     spark = rows.sparkSession
     incoming = newest_rows(rows, table.keys, table.order) if table.order else rows.dropDuplicates(table.keys)
-    if exists(spark, table):
+    if not exists(spark, table):
+        _replace(incoming, table)
+        return
+    incoming = incoming.persist()
+    try:
         stored = load(spark, table, rows.schema)
         touched = stored.join(incoming.select(*table.partitions).distinct(), table.partitions, "left_semi")
         untouched = touched.join(incoming.select(*table.keys), table.keys, "left_anti")
-        incoming = incoming.unionByName(untouched.select(*incoming.columns))
-    _replace(incoming, table)
+        _replace(incoming.unionByName(untouched.select(*incoming.columns)), table)
+    finally:
+        incoming.unpersist()
 
 
 def scan(df: DataFrame, measurement: str | None = None, start: str | None = None, stop: str | None = None, ts: str = "ts", day: str | None = "day") -> DataFrame:
