@@ -119,7 +119,7 @@ def responses_from_totals(totals: DataFrame, currency: str = "USD") -> DataFrame
     quarterly = totals.groupBy("ticker").agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct(quarter_key, "total")))).alias("quarterly")
     )
-    yearly = totals.groupBy("ticker", "year").agg(F.sum("total").alias("total"))
+    yearly = totals.groupBy("ticker", "year").agg(F.round(F.sum("total"), 2).alias("total"))
     annual = yearly.groupBy("ticker").agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("year").cast("string"), "total")))).alias("annual")
     )

@@ -446,9 +446,9 @@ SELECT event_id, event_type, ts, value, CAST(json_extract_string(props, '$.k') A
 FROM events"""
 
 PARTS["totals"] = """
-SELECT c_mktsegment AS ticker, year(o_orderdate) AS y, quarter(o_orderdate) AS q, sum(o_totalprice) AS total
+SELECT c_mktsegment AS ticker, year(o_orderdate) AS y, quarter(o_orderdate) AS q, round(sum(o_totalprice), 2) AS total
 FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL"""
-PARTS["yearly"] = "SELECT ticker, y, sum(total) AS total FROM totals GROUP BY ALL"
+PARTS["yearly"] = "SELECT ticker, y, round(sum(total), 2) AS total FROM totals GROUP BY ALL"
 PARTS["companies"] = "SELECT DISTINCT ticker FROM totals"
 
 

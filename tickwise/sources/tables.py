@@ -114,7 +114,7 @@ def universe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def statement_totals(spark: SparkSession, folder: str) -> DataFrame:
-    """Order totals per market segment, year and quarter."""
+    """Order totals per market segment, year and quarter, in cents."""
     orders = read(spark, folder, "orders").select("o_custkey", "o_totalprice", "o_orderdate")
     customer = read(spark, folder, "customer").select("c_custkey", "c_mktsegment")
     return (
@@ -124,5 +124,5 @@ def statement_totals(spark: SparkSession, folder: str) -> DataFrame:
             F.year("o_orderdate").alias("year"),
             F.quarter("o_orderdate").alias("quarter"),
         )
-        .agg(F.sum("o_totalprice").alias("total"))
+        .agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
     )
