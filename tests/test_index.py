@@ -6,6 +6,8 @@ import pytest
 
 from tickwise.operators import bars as b
 from tickwise.operators import index as ix
+from tickwise.plans import pipeline
+from tickwise.sources import store
 
 DAILY = (
     "ticker string, company string, day date, opening_price double, closing_price double, high_price double, "
@@ -123,3 +125,27 @@ def test_monthly_value_and_top(spark):
     whole = b.monthly_traded_value(rows, include_last_day=True)
     assert [r.ticker for r in b.top_by_value(whole, 1).collect()] == ["A"]
     assert [r.ticker for r in b.top_by_value(b.monthly_traded_value(rows), 1).collect()] == ["A"]
+
+
+def test_refresh(spark, tmp_path):
+    """First run, a later run with new days, a run after changed bars, and a full redo agree with one full run."""
+    rows = random_daily(days=100)
+    members, index = pipeline.members_table(str(tmp_path / "members")), pipeline.index_table(str(tmp_path / "index"))
+    mark = lambda *d: spark.createDataFrame([(x,) for x in d], "stale_from date")
+    frame = lambda some: spark.createDataFrame(some, DAILY)
+
+    def run(some, stale, full=False):
+        start = pipeline.refresh_index(spark, frame(some), members, index, stale, "2020-01-01", full)
+        got = {(r.ticker, r.day): r.price_change_avg for r in store.load(spark, members).collect()}
+        changes, levels = day_by_day(some)
+        assert got == pytest.approx({k: v[0] for k, v in changes.items()}, rel=1e-9)
+        stored = {r.day: r.price_change_avg for r in store.load(spark, index).collect()}
+        assert stored == pytest.approx(levels, rel=1e-9)
+        return start
+
+    early = [r for r in rows if r[2] < date(2020, 3, 10)]
+    assert run(early, mark()) is None
+    assert run(rows, mark(date(2020, 3, 10))) == date(2020, 3, 1)
+    changed = [(*r[:7], r[7] * 1.1, r[8]) if r[2] == date(2020, 3, 20) else r for r in rows]
+    assert run(changed, mark(date(2020, 3, 20))) == date(2020, 3, 1)
+    assert run(rows, mark(), full=True) is None

@@ -43,8 +43,11 @@ def load(spark: SparkSession, table: Table, schema: StructType | None = None) ->
     return reader.parquet(table.path)
 
 
-def _replace(df: DataFrame, table: Table) -> None:
-    """Rows of a partition meet in few files; a partition that is far larger is split over tasks."""
+def replace_partitions(df: DataFrame, table: Table) -> None:
+    """Overwrite the partitions that ``df`` has rows for and leave the others.
+
+    Rows of a partition meet in few files; a partition that is far larger is split over tasks.
+    """
     (
         df.hint("rebalance", *table.partitions)
         .write.mode("overwrite")
@@ -59,14 +62,14 @@ def upsert(rows: DataFrame, table: Table) -> None:
     spark = rows.sparkSession
     incoming = newest_rows(rows, table.keys, table.order) if table.order else rows.dropDuplicates(table.keys)
     if not exists(spark, table):
-        _replace(incoming, table)
+        replace_partitions(incoming, table)
         return
     incoming = incoming.persist()
     try:
         stored = load(spark, table, rows.schema)
         touched = stored.join(incoming.select(*table.partitions).distinct(), table.partitions, "left_semi")
         untouched = touched.join(incoming.select(*table.keys), table.keys, "left_anti")
-        _replace(incoming.unionByName(untouched.select(*incoming.columns)), table)
+        replace_partitions(incoming.unionByName(untouched.select(*incoming.columns)), table)
     finally:
         incoming.unpersist()
 
@@ -107,7 +110,7 @@ def delete(spark: SparkSession, table: Table, predicate: Column) -> None:
         emptied = per_partition.filter(F.col("_kept") == 0).select(*table.partitions).collect()
         partial = per_partition.filter(F.col("_kept") > 0).select(*table.partitions)
         if not partial.isEmpty():
-            _replace(stored.join(partial, table.partitions, "left_semi").filter(~hit).select(*stored.columns), table)
+            replace_partitions(stored.join(partial, table.partitions, "left_semi").filter(~hit).select(*stored.columns), table)
         if emptied:
             _drop_partitions(spark, table, spark.createDataFrame(emptied))
     finally:
@@ -121,7 +124,7 @@ def rename_ticker(spark: SparkSession, table: Table, old: str, new: str) -> None
     renamed = stored.join(touched, table.partitions, "left_semi").withColumn(
         "ticker", F.when(F.col("ticker") == old, F.lit(new)).otherwise(F.col("ticker"))
     )
-    _replace(renamed.select(*stored.columns), table)
+    replace_partitions(renamed.select(*stored.columns), table)
 
 
 def staged(df: DataFrame, path: str) -> DataFrame:
