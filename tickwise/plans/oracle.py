@@ -823,8 +823,15 @@ FROM companies c CROSS JOIN range(1995, 2001) p(y) LEFT JOIN yearly t ON t.ticke
         # streaming
         "stream_trade_windows": f"SELECT {_trade_window_columns()} FROM {_closed('tw')}",
         "stream_quote_windows": f"SELECT {_quote_window_columns()} FROM {_closed('qw')}",
-        "stream_trade_deltas": "SELECT * EXCLUDE (measure_id) REPLACE (CAST(record_count_delta AS DOUBLE) AS record_count_delta) FROM ("
-        + _deltas(f"(SELECT * FROM {_closed('tw')})", TRADE_METRICS, TRADE_DELTAS) + ")",
+        **{
+            f"stream_{name}_deltas": f"""
+SELECT * EXCLUDE (measure_id) REPLACE (CAST(record_count_delta AS DOUBLE) AS record_count_delta)
+FROM ({_deltas(f'(SELECT * FROM {_closed(source)})', metric_names, measurement)})"""
+            for name, source, metric_names, measurement in (
+                ("trade", "tw", TRADE_METRICS, TRADE_DELTAS),
+                ("quote", "qw", QUOTE_METRICS, QUOTE_DELTAS),
+            )
+        },
     }
     out["asset_union"] = out["trade_windows"]
     out["shared_tags"] = """

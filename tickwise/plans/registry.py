@@ -599,6 +599,7 @@ def queries() -> dict[str, Query]:
         "stream_trade_windows": table(partial(jobs.trade_windows_from_file, EVERY)),
         "stream_quote_windows": table(partial(jobs.quote_windows_from_file, EVERY)),
         "stream_trade_deltas": table(partial(jobs.trade_deltas_from_file, EVERY)),
+        "stream_quote_deltas": table(partial(jobs.quote_deltas_from_file, EVERY)),
         "stream_drawdown": table(lambda s, d: jobs.drawdown_from_table(s, _index(s, d)).drop("measurement", "ticker")),
         "stream_trends": table(lambda s, d: jobs.trends_from_table(s, _members(s, d))),
     }

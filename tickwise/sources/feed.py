@@ -48,11 +48,12 @@ def read_frames(spark: SparkSession, path: str, stream: bool = False) -> DataFra
 
 
 def messages(frames: DataFrame, column: str = "value") -> DataFrame:
-    """One row per message: a frame is one object or an array of objects."""
-    text = F.trim(column)
-    array = F.when(text.startswith("["), text).otherwise(F.concat(F.lit("["), text, F.lit("]")))
+    """One row per message: a frame is one object or an array of objects.
+
+    The array schema covers both, a lone object parses as an array of one.
+    """
     fields = ", ".join(f"`{key}`: {kind}" for key, kind, _ in MESSAGE_KEYS)
-    parsed = F.from_json(array, f"ARRAY<STRUCT<{fields}>>", {"timeZone": "UTC"})
+    parsed = F.from_json(column, f"ARRAY<STRUCT<{fields}>>", {"timeZone": "UTC"})
     return frames.select(F.inline(parsed).alias(*[name for _, _, name in MESSAGE_KEYS]))
 
 

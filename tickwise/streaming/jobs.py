@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickwise.operators.windows import TRADE_METRICS, quote_windows_from_levels
+from tickwise.operators.windows import QUOTE_METRICS, TRADE_METRICS, quote_windows_from_levels
 from tickwise.session import fresh_path
 from tickwise.sources import tables
 from tickwise.streaming import live, stateful
@@ -64,6 +64,12 @@ def trade_deltas_from_file(every: str, spark: SparkSession, folder: str) -> Data
     return _append(stateful.stream_deltas(windows, TRADE_METRICS), "trade-deltas")
 
 
+def quote_deltas_from_file(every: str, spark: SparkSession, folder: str) -> DataFrame:
+    live.use_rocksdb(spark)
+    windows = table_stream(quote_windows_from_file(every, spark, folder), "closed-windows")
+    return _append(stateful.stream_deltas(windows, QUOTE_METRICS), "quote-deltas")
+
+
 def drawdown_from_table(spark: SparkSession, index: DataFrame) -> DataFrame:
     live.use_rocksdb(spark)
     return _append(stateful.stream_drawdown(table_stream(index, "index")), "drawdown")
