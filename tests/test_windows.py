@@ -3,7 +3,6 @@ import statistics
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from tickwise.operators import windows as w
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-SERIES = ["measurement", "ticker"]
+SERIES = ("measurement", "ticker")
 FIELDS = ["low", "avg", "high"]
 
 # Dip size in percent → level at or below which the dip counts.
@@ -17,7 +19,7 @@ def _by(keys: list[str], ts: str):
     return Window.partitionBy(*keys).orderBy(ts)
 
 
-def drawdown(df: DataFrame, keys: list[str] = SERIES, ts: str = "ts", as_of: str | None = None) -> DataFrame:
+def drawdown(df: DataFrame, keys: Sequence[str] = SERIES, ts: str = "ts", as_of: str | None = None) -> DataFrame:
     """Percentage of the running maximum for the low, average and high change.
 
     The maximum starts at zero, so a series that has never been positive has no level.
@@ -59,7 +61,7 @@ def forward_extreme(level: str, rows: int, keys: list[str], ts: str = "ts") -> C
     return F.coalesce(F.min(level).over(_by(keys, ts).rowsBetween(1, rows)), F.col(level))
 
 
-def drawdown_labels(levels: DataFrame, forward_rows: int = 0, level: str = "drawdown_low", keys: list[str] = SERIES, ts: str = "ts") -> DataFrame:
+def drawdown_labels(levels: DataFrame, forward_rows: int = 0, level: str = "drawdown_low", keys: Sequence[str] = SERIES, ts: str = "ts") -> DataFrame:
     """Current level, next row's level (0.0 on the last), dip ages and forward extreme."""
     by = _by(keys, ts)
     numbered = levels.select(*keys, ts, level, F.row_number().over(by).alias("_row"))

@@ -6,15 +6,17 @@ starts), so one series, with one row per day, is one task; series run in paralle
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-SERIES = ["measurement", "ticker"]
+SERIES = ("measurement", "ticker")
 DAY_MICROS = 86_400_000_000
 
 
@@ -84,7 +86,7 @@ def segment_rows(times: pd.Series, segments: list[tuple]) -> pd.DataFrame:
     )
 
 
-def trend_segments(df: DataFrame, value: str = "price_change_avg", keys: list[str] = SERIES, ts: str = "ts", rules: TrendRules = TrendRules()) -> DataFrame:
+def trend_segments(df: DataFrame, value: str = "price_change_avg", keys: Sequence[str] = SERIES, ts: str = "ts", rules: TrendRules = TrendRules()) -> DataFrame:
     """Confirmed segments per series, labelled with their end."""
     distinct = df.groupBy(*keys, ts).agg(F.min(value).alias(value))
 
@@ -102,7 +104,7 @@ def trend_segments(df: DataFrame, value: str = "price_change_avg", keys: list[st
     return found.withColumn("ts", F.col("ends"))
 
 
-def undecided_tail(df: DataFrame, value: str = "price_change_avg", keys: list[str] = SERIES, ts: str = "ts", rules: TrendRules = TrendRules()) -> DataFrame:
+def undecided_tail(df: DataFrame, value: str = "price_change_avg", keys: Sequence[str] = SERIES, ts: str = "ts", rules: TrendRules = TrendRules()) -> DataFrame:
     """Rows of each series that no confirmed segment covers yet."""
     distinct = df.groupBy(*keys, ts).agg(F.min(value).alias(value))
 

@@ -169,8 +169,6 @@ SELECT {measure(QUOTE_WINDOWS, 'w')} AS measure_id, * EXCLUDE (w), w AS window_s
             THEN (sum_bid_quantity - sum_ask_quantity) / (sum_ask_quantity + sum_bid_quantity) ELSE 0.0 END AS order_imbalance
 FROM qw1"""
 
-_QUOTE_SIDE = ", ".join(f"{c} AS {n}" for c, n in QUOTE_FIELDS.items())
-_TRADE_SIDE = ", ".join(f"{c} AS {n}" for c, n in TRADE_FIELDS.items())
 _ZEROED = ", ".join(f"nullif({n}, 0) AS {n}" for n in [*QUOTE_FIELDS.values(), *TRADE_FIELDS.values()])
 
 PARTS["merged"] = f"""

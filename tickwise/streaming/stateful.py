@@ -7,7 +7,7 @@ by the time it spans.  Needs the RocksDB state store (``live.use_rocksdb``).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tickwise.operators.drawdown import FIELDS
-from tickwise.operators.trends import SEGMENT_FIELDS, TrendRules, find_segments, segment_rows
+from tickwise.operators.trends import SEGMENT_FIELDS, SERIES, TrendRules, find_segments, segment_rows
 
 DAY_MS = 86_400_000
 WEEK = pd.Timedelta(days=7)
@@ -121,7 +121,7 @@ class RunningMaximum(StatefulProcessor):
         pass
 
 
-def stream_drawdown(index: DataFrame, keys: list[str] = ["measurement", "ticker"], earliest: str | None = None, as_of: str | None = None) -> DataFrame:
+def stream_drawdown(index: DataFrame, keys: Sequence[str] = SERIES, earliest: str | None = None, as_of: str | None = None) -> DataFrame:
     """Drawdown of a stream of daily rows."""
     columns = [f"price_change_{f}" for f in FIELDS]
     output = ", ".join(f"`{k}` string" for k in keys) + ", ts timestamp, " + ", ".join(
@@ -170,7 +170,7 @@ class UndecidedTail(StatefulProcessor):
         pass
 
 
-def stream_trends(index: DataFrame, value: str = "price_change_avg", keys: list[str] = ["measurement", "ticker"], earliest: str | None = None, rules: TrendRules = TrendRules()) -> DataFrame:
+def stream_trends(index: DataFrame, value: str = "price_change_avg", keys: Sequence[str] = SERIES, earliest: str | None = None, rules: TrendRules = TrendRules()) -> DataFrame:
     """Confirmed trend segments of a stream of daily rows."""
     output = ", ".join(f"`{k}` string" for k in keys) + ", " + SEGMENT_FIELDS
     return index.selectExpr(*keys, "ts", f"{value} AS value").groupBy(*keys).transformWithStateInPandas(
