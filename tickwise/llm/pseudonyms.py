@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
-import hmac
 import re
 from functools import lru_cache
+from hashlib import sha256, shake_256
 from math import isqrt
 
 import pandas as pd
@@ -20,11 +20,11 @@ class Cipher:
     """A keyed permutation of 0..n-1 for any n: a Feistel network on two numbers, walked until it lands below n."""
 
     def __init__(self, key: bytes):
-        self.key = key
+        self.key = sha256(key).digest()
 
     def _mix(self, label: str, step: int, value: int, size: int) -> int:
-        wide = hmac.digest(self.key, f"{label}|{step}|{value}".encode(), "sha256")
-        return int.from_bytes(wide, "big") % size
+        keyed = shake_256(self.key + f"|{label}|{step}|{value:x}".encode())
+        return int.from_bytes(keyed.digest(size.bit_length() // 8 + 17), "big") % size
 
     def _once(self, x: int, rows: int, columns: int, label: str, back: bool) -> int:
         left, right = divmod(x, columns)
@@ -153,7 +153,7 @@ def _email(cipher: Cipher, m: re.Match, back: bool) -> str | None:
 
 
 def _secret(cipher: Cipher, m: re.Match, back: bool) -> str | None:
-    """Long runs of hexadecimal digits, such as keys: permuted as a number of so many digits, in their case."""
+    """Runs of 32 to 128 hexadecimal digits, such as keys: permuted as a number of so many digits, in their case."""
     text = m[0]
     if not (re.search(r"\d", text) and re.search(r"[a-fA-F]", text)) or (text != text.lower() and text != text.upper()):
         return None
@@ -163,8 +163,8 @@ def _secret(cipher: Cipher, m: re.Match, back: bool) -> str | None:
 
 #: Tried in this order at each place; a match that isn't valid stays as it is.
 PATTERN = re.compile(
-    r"(?P<email>(?<![\w.+-])(?P<local>[A-Za-z0-9](?:[\w.+%-]*[\w+%-])?)@(?P<domain>(?:[\w-]+\.)+[A-Za-z]{2,}))"
-    r"|(?P<secret>(?<![0-9A-Za-z])[0-9a-fA-F]{32,}(?![0-9A-Za-z]))"
+    r"(?P<email>(?<![\w.+-])(?P<local>[A-Za-z0-9](?:[\w.+%-]{0,62}[\w+%-])?)@(?P<domain>(?:[\w-]+\.)+[A-Za-z]{2,}))"
+    r"|(?P<secret>(?<![0-9A-Za-z])[0-9a-fA-F]{32,128}(?![0-9A-Za-z]))"
     r"|(?P<iban>(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![0-9A-Za-z]))"
     r"|(?P<phone>(?<![\w+])(?P<country>\+[1-9][0-9]{0,2})[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9]))"
     r"|(?P<ip>(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9]))"
