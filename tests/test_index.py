@@ -149,3 +149,4 @@ def test_refresh(spark, tmp_path):
     changed = [(*r[:7], r[7] * 1.1, r[8]) if r[2] == date(2020, 3, 20) else r for r in rows]
     assert run(changed, mark(date(2020, 3, 20))) == date(2020, 3, 1)
     assert run(rows, mark(), full=True) is None
+    assert run([r for r in rows if r[2] < date(2020, 3, 1)], mark(), full=True) is None

@@ -10,9 +10,9 @@ from tickwise.functions import periods
 from tickwise.sources import bars as bar_source
 from tickwise.sources import feed, points, store, universe
 
-STOCK_TRADE = {"T": "t", "S": "AAPL", "i": 1, "x": "NASDAQ", "p": 123.45, "s": 100, "c": ["A", "B"], "t": "2021-01-01T00:00:00-00:00", "z": "A"}
-CRYPTO_TRADE = {"T": "t", "S": "ETH/USD", "i": 1, "p": 12345.67, "s": 0.000001, "t": "2021-01-01T00:00:00Z", "tks": ""}
-STOCK_QUOTE = {"T": "q", "S": "AAPL", "bx": "X", "bp": 99, "bs": 1, "ax": "Y", "ap": 100.5, "as": 2, "t": "2021-01-01T00:00:00Z", "c": [], "z": "A"}
+STOCK_TRADE = {"T": "t", "S": "TWK", "i": 48213, "x": "V", "p": 87.625, "s": 30, "c": ["F", "I"], "t": "2023-05-17T14:02:09.250Z", "z": "C"}
+CRYPTO_TRADE = {"T": "t", "S": "SOL/EUR", "i": 77, "p": 61.0425, "s": 0.0375, "t": "2023-05-17T14:02:10Z", "tks": "S"}
+STOCK_QUOTE = {"T": "q", "S": "TWK", "bx": "K", "bp": 87, "bs": 3, "ax": "P", "ap": 88.25, "as": 8, "t": "2023-05-17T14:02:11Z", "c": ["R"], "z": "C"}
 
 
 def frames(spark, *values):
@@ -20,23 +20,23 @@ def frames(spark, *values):
 
 
 def test_decode_stock_trade(spark):
-    events = feed.envelopes(feed.messages(frames(spark, STOCK_TRADE, [dict(STOCK_TRADE, p=123)])))
+    events = feed.envelopes(feed.messages(frames(spark, STOCK_TRADE, [dict(STOCK_TRADE, p=87)])))
     rows = events.orderBy(F.desc("settle.price.nanos")).collect()
-    assert rows[0].kind == "stock_trade" and rows[0].settle.price.asDict() == {"units": 123, "nanos": 450_000_000, "currency": "USD"}
+    assert rows[0].kind == "stock_trade" and rows[0].settle.price.asDict() == {"units": 87, "nanos": 625_000_000, "currency": "USD"}
     assert rows[1].settle.price.nanos == 0
-    assert rows[0].conditions == ["A", "B"] and rows[0].settle.exchange == "NASDAQ"
-    assert rows[0].market_ts == datetime(2021, 1, 1) and rows[0].bid is None
+    assert rows[0].conditions == ["F", "I"] and rows[0].settle.exchange == "V"
+    assert rows[0].market_ts == datetime(2023, 5, 17, 14, 2, 9, 250_000) and rows[0].bid is None
     trades, bad = feed.decode_trades(events)
-    assert {r.price for r in trades.collect()} == {123.45, 123.0} and bad.count() == 0
+    assert {r.price for r in trades.collect()} == {87.625, 87.0} and bad.count() == 0
 
 
 def test_decode_crypto_and_quotes(spark):
     crypto = feed.envelopes(feed.messages(frames(spark, CRYPTO_TRADE)), "crypto").first()
-    assert (crypto.kind, crypto.settle.price.units, crypto.settle.price.nanos) == ("crypto_trade", 12345, 670_000_000)
-    assert crypto.settle.lot_size == 0.000001 and crypto.settle.exchange is None
+    assert (crypto.kind, crypto.settle.price.units, crypto.settle.price.nanos) == ("crypto_trade", 61, 42_500_000)
+    assert crypto.settle.lot_size == 0.0375 and crypto.settle.exchange is None
     quotes, _ = feed.decode_quotes(feed.envelopes(feed.messages(frames(spark, STOCK_QUOTE))))
     row = quotes.first()
-    assert (row.ask_price, row.bid_price, row.ask_lot, row.bid_lot, row.asset) == (100.5, 99.0, 2.0, 1.0, "stock")
+    assert (row.ask_price, row.bid_price, row.ask_lot, row.bid_lot, row.asset) == (88.25, 87.0, 8.0, 3.0, "stock")
 
 
 def test_routes_and_errors(spark):
@@ -61,25 +61,25 @@ def test_rejected_events(spark):
 def test_kafka_rows_and_stored_events(spark, tmp_path):
     events = feed.envelopes(feed.messages(frames(spark, STOCK_TRADE)), ingest_ts=F.col("market_ts"))
     row = feed.for_kafka(events).first()
-    assert row.key == "AAPL" and json.loads(row.value)["kind"] == "stock_trade"
+    assert row.key == "TWK" and json.loads(row.value)["kind"] == "stock_trade"
     feed.write_events(events, str(tmp_path / "events"))
     again = feed.read_events(spark, str(tmp_path / "events"))
     assert again.first().settle == events.first().settle
     assert feed.of_kind(again, "stock_trade").count() == 1
-    assert feed.since(again, F.lit("2021-01-02").cast("timestamp")).count() == 0
+    assert feed.since(again, F.lit("2023-05-18").cast("timestamp")).count() == 0
 
 
 BAR = {"o": 10.0, "h": 12.0, "l": 9.0, "c": 11.0, "vw": 10.5, "v": 100, "t": "2025-01-15T15:00:00Z"}
 
 
 def test_bar_pages(spark, tmp_path):
-    page = {"bars": {"AAPL": [BAR, dict(BAR, v=0, t="2025-01-15T15:30:00Z")], "MSFT": [dict(BAR, t="2025-01-15T22:00:00Z")]}, "next_page_token": None}
+    page = {"bars": {"TWK": [BAR, dict(BAR, v=0, t="2025-01-15T15:30:00Z")], "OTH": [dict(BAR, t="2025-01-15T22:00:00Z")]}, "next_page_token": None}
     (tmp_path / "page.json").write_text(json.dumps(page))
     bars = bar_source.bars_from_pages(bar_source.read_pages(spark, str(tmp_path)))
     good, bad = bar_source.validated(bars)
     rows = {r.ticker: r for r in good.collect()}
-    assert rows["AAPL"].total_trading_value == 1050.0 and rows["AAPL"].regular_trading_hours is True
-    assert rows["MSFT"].regular_trading_hours is False
+    assert rows["TWK"].total_trading_value == 1050.0 and rows["TWK"].regular_trading_hours is True
+    assert rows["OTH"].regular_trading_hours is False
     assert [r.reasons for r in bad.collect()] == [["volume"]]
 
 
@@ -162,6 +162,31 @@ def test_upsert_delete_rename(spark, tmp_path):
     assert len(read()) == 2
 
 
+@pytest.mark.parametrize("partitions", [["ticker"], ["day"], ["ticker", "day"]])
+def test_rename_onto_a_ticker_with_rows(spark, tmp_path, partitions):
+    table = store.Table(str(tmp_path / "t"), keys=["ticker", "ts"], partitions=partitions, order=["version"])
+    rows = [("ETH/USD", 1, "d1", 1.0, 2), ("ETH/USD", 2, "d2", 2.0, 1), ("f#A", 1, "d1", 3.0, 1), ("f#A", 2, "d2", 4.0, 5), ("f#A", 7, "d3", 5.0, 1), ("B", 1, "d1", 6.0, 1)]
+    df = spark.createDataFrame(rows, "ticker string, ts int, day string, v double, version int")
+    store.upsert(df, table)
+    store.rename_ticker(spark, table, "ETH/USD", "f#A")
+    read = lambda: sorted((r.ticker, r.ts, r.v) for r in store.load(spark, table, df.schema).collect())
+    assert read() == [("B", 1, 6.0), ("f#A", 1, 1.0), ("f#A", 2, 4.0), ("f#A", 7, 5.0)]
+    store.rename_ticker(spark, table, "none", "f#A")
+    store.delete(spark, table, F.col("ticker") == "f#A")
+    assert read() == [("B", 1, 6.0)]
+
+
+def test_null_partitions(spark, tmp_path):
+    table = store.Table(str(tmp_path / "t"), keys=["ticker", "ts"], partitions=["ticker"])
+    schema = "ticker string, ts int, v double"
+    store.upsert(spark.createDataFrame([("A", 1, 1.0), (None, 1, 2.0), (None, 2, 3.0)], schema), table)
+    store.upsert(spark.createDataFrame([(None, 2, 4.0)], schema), table)
+    read = lambda: sorted((str(r.ticker), r.ts, r.v) for r in store.load(spark, table, spark.createDataFrame([], schema).schema).collect())
+    assert read() == [("A", 1, 1.0), ("None", 1, 2.0), ("None", 2, 4.0)]
+    store.delete(spark, table, F.col("ticker").isNull())
+    assert read() == [("A", 1, 1.0)]
+
+
 def test_scan_and_documents(spark, tmp_path):
     df = spark.sql(
         "SELECT 'm' AS measurement, CAST(d AS TIMESTAMP) AS ts, d AS day FROM (SELECT explode(sequence(DATE '2025-01-01', DATE '2025-01-05')) AS d)"
@@ -174,7 +199,7 @@ def test_scan_and_documents(spark, tmp_path):
     assert "PartitionFilters: [" in plan and "measurement" in plan.split("PartitionFilters: [")[1].split("]")[0]
     table = store.document_table(str(tmp_path / "docs"))
     docs = spark.createDataFrame([("f#A", "2023Q1", "{}", 1), ("f#A", "2023Q2", "{}", 1), ("f#A", "2023Q1", '{"x":1}', 2)], "pk string, sk string, body string, version int")
-    store.upsert(docs, table)
+    store.put_documents(docs, table)
     assert store.query_documents(spark, table, "f#A").count() == 2
     assert store.query_documents(spark, table, "f#A", "2023Q1").first().body == '{"x":1}'
 

@@ -7,6 +7,7 @@ by series key is bounded by the calendar, whatever the number of raw events.
 from __future__ import annotations
 
 import re
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -244,14 +245,44 @@ def forward_fill(df: DataFrame, column: str, keys: list[str], day: str = "day")
     )
 
 
+#: Above every bigint taken from the least one, so a time and an id fit in 38 digits.
+ID_SPACE = 1 << 64
+
+
+def packed_order(df: DataFrame, order: list[str]) -> Column | None:
+    """A time, or a time and a whole number, as one decimal that sorts the same way.
+
+    Aggregates over a decimal work by hash, those over a struct sort their input
+    first. A null sorts first. None if the columns are of other types.
+    """
+    kinds = dict(df.dtypes)
+    if not 1 <= len(order) <= 2 or kinds.get(order[0]) != "timestamp" or kinds.get(order[-1]) not in ("timestamp", "bigint", "int"):
+        return None
+    instant = F.coalesce(F.unix_micros(order[0]), F.lit(-(10**17) + 1)).cast("decimal(18,0)")
+    if len(order) == 1:
+        return instant
+    if kinds[order[1]] == "timestamp":
+        return None
+    number = F.coalesce(F.col(order[1]).cast("decimal(20,0)") + F.lit(Decimal(1 << 63)), F.lit(Decimal(-1)))
+    return (instant.cast("decimal(38,0)") * F.lit(Decimal(ID_SPACE)) + number).cast("decimal(38,0)")
+
+
 def newest_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The newest row per key.
+    """The newest row per key; among rows of equal order the largest by the other columns.
 
-    ``max_by`` combines on the map side, so a key with very many versions is cut to
-    one row per task before the shuffle.
+    Where the order can be packed, the newest order of each key is found by hash, where
+    the rows lie, and only rows with that order are sorted.
     """
     rest = [c for c in df.columns if c not in keys]
-    newest = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row"))
+    packed = packed_order(df, order)
+    if packed is not None:
+        kept = df.withColumn("_order", packed)
+        newest = kept.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(F.max("_order").alias("_newest"))
+        same = F.col("_order") == F.col("_newest")
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+        df = kept.join(newest, same).select(*df.columns)
+    newest = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order, *[c for c in rest if c not in order])).alias("_row"))
     return newest.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tickwise.functions.scalar import measure_id
+from tickwise.operators.series import packed_order
 
 QUOTE_WINDOWS = "quotation-aggregates-tumbling-window"
 TRADE_WINDOWS = "trade-aggregates-tumbling-window"
@@ -61,10 +62,13 @@ def trade_windows(
 ) -> DataFrame:
     """Aggregates per symbol and window; first and last price by event time.
 
-    With ``tie_break=None`` trades of one symbol are taken to have distinct times;
-    the aggregate then orders by a plain timestamp and stays hash based.
+    Time and trade id are packed into one number, so the raw trades are aggregated by
+    hash. With ``tie_break=None`` trades of one symbol are taken to have distinct times.
     """
-    order = F.struct("market_ts", tie_break) if tie_break else F.col("market_ts")
+    order = F.col("market_ts")
+    if tie_break:
+        packed = packed_order(trades, ["market_ts", tie_break])
+        order = F.struct("market_ts", tie_break) if packed is None else packed
     grouped = trades.groupBy(F.col("symbol").alias("ticker"), _window("market_ts", every, slide).alias("w")).agg(
         F.count(F.lit(1)).alias("record_count"),
         F.min_by("price", order).alias("price_at_window_start"),

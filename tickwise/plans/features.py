@@ -104,7 +104,7 @@ def member_spread(members: DataFrame, start: str = ANALYSIS_START, n: int = TOP_
     Mean of the spreads of the middle 50 % and 80 %.  The member list holds ``n`` rows.
     """
     top = top_tickers(members, n, days, as_of).select("ticker")
-    changes = since(members, start).join(F.broadcast(top), "ticker", "left_semi")
+    changes = since(members, start).join(top, "ticker", "left_semi")
     q = F.percentile(pct_change("price_change_avg", "prev_price_change_avg"), F.array(*[F.lit(x) for x in (0.10, 0.25, 0.75, 0.90)]))
     return changes.groupBy("day").agg(q.alias("q")).select(
         "day", ((F.col("q")[2] - F.col("q")[1] + F.col("q")[3] - F.col("q")[0]) / 2).alias("members_daily_spread")
@@ -119,17 +119,18 @@ def daily_features(
     volatility: DataFrame,
     start: str = ANALYSIS_START,
     as_of: Column | None = None,
+    top: int = TOP_TICKERS,
 ) -> DataFrame:
-    """One row per day on which all five inputs have one."""
+    """One row per day on which all five inputs have one; of a day that an input has twice, one row counts."""
     vix = since(volatility, start).select("day", F.col("value").alias("vix"))
     joined = drawdown_features(levels, program.forward_days, start)
     for part in (
         index_features(index, program.index_days, start),
-        member_spread(extended_members, start, as_of=as_of),
+        member_spread(extended_members, start, top, as_of=as_of),
         vix,
         volume_features(index, program.volume_days, start),
     ):
-        joined = joined.join(part, "day")
+        joined = joined.join(part.dropDuplicates(["day"]), "day")
     return joined.select("day", *program.columns)
 
 

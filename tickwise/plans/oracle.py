@@ -23,24 +23,18 @@ from tickwise.operators.windows import (
 )
 from tickwise.plans import features as feat
 from tickwise.plans.microstructure import AMOUNTS, QUOTE_FIELDS, TRADE_FIELDS, VWAPS
-from tickwise.plans.rounding import digits_for, push
+from tickwise.plans.rounding import shown_sql
 
 PRICES = ["open", "close", "high", "low", "avg"]
 CHANGES = [f"price_change_{p}" for p in PRICES] + ["prev_price_change_avg"]
 
 
-def rounding(expression: str, digits: int) -> str:
-    return f"(round({expression} + {push(digits)!r}, {digits}) + 0.0)"
+def r(expression: str, alias: str | None = None) -> str:
+    return f"{shown_sql(expression)} AS {alias or expression}"
 
 
-def r(expression: str, alias: str | None = None, digits: int = 6) -> str:
-    """Rounded, without a negative zero."""
-    name = alias or expression
-    return f"{rounding(expression, digits_for(name, digits))} AS {name}"
-
-
-def rs(*names: str, digits: int = 6) -> str:
-    return ", ".join(r(n, digits=digits) for n in names)
+def rs(*names: str) -> str:
+    return ", ".join(map(r, names))
 
 
 def bucket(every: str, ts: str) -> str:
@@ -386,7 +380,7 @@ for _forward in (0, 10, 25):
 
 PARTS["vix_raw"] = """
 SELECT CAST(o_orderdate AS DATE) AS day,
-       CASE WHEN dayofyear(o_orderdate) % 5 = 0 THEN NULL ELSE round(avg(o_totalprice) / 1000 + 1.37e-7, 4) END AS v
+       CASE WHEN dayofyear(o_orderdate) % 5 = 0 THEN NULL ELSE round(avg(o_totalprice) / 1000, 9) END AS v
 FROM orders GROUP BY 1, dayofyear(o_orderdate)"""
 PARTS["vix"] = """
 SELECT 'VIX' AS ticker, day, last_value(v IGNORE NULLS) OVER w AS value,
@@ -395,7 +389,7 @@ FROM vix_raw WINDOW w AS (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURR
 
 PARTS["top_members"] = """
 SELECT ticker FROM members_extended WHERE day >= (SELECT max(day) FROM members_extended) - 15
-GROUP BY ticker ORDER BY sum(total_trading_value) DESC, ticker LIMIT 50"""
+GROUP BY ticker ORDER BY sum(total_trading_value) DESC, ticker LIMIT 10"""
 PARTS["spread"] = f"""
 SELECT day, (quantile_cont(v, 0.75) - quantile_cont(v, 0.25) + quantile_cont(v, 0.9) - quantile_cont(v, 0.1)) / 2
        AS members_daily_spread
@@ -472,8 +466,10 @@ SELECT s_suppkey AS row_id,
 FROM supplier"""
 
 PARTS["starts"] = f"""
-SELECT s_name AS ticker, coalesce(max(l_shipdate) FILTER (l_shipdate < '1995-01-20'), {utc("TIMESTAMP '1995-01-01'")}) AS start
-FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY s_name"""
+SELECT s_name AS ticker, max(l_shipdate) AS start FROM supplier JOIN lineitem ON l_suppkey = s_suppkey GROUP BY s_name
+UNION ALL
+SELECT s_name || n.suffix, {utc("TIMESTAMP '1995-01-01'")} FROM supplier, (VALUES (''), ('.NEW')) n(suffix)
+WHERE n.suffix <> '' OR s_suppkey NOT IN (SELECT l_suppkey FROM lineitem)"""
 
 
 def _closed(source: str) -> str:
@@ -498,7 +494,7 @@ def _trade_window_columns() -> str:
     exact = ["price_at_window_start", "min_price", "max_price", "price_at_window_end", "volume_weighted_avg_price"]
     return (
         "measure_id, ticker, window_start_time, window_end_time, record_count, "
-        + rs(*exact) + ", " + rs("sum_quantity", "sum_notional", digits=2)
+        + rs(*exact) + ", " + rs("sum_quantity", "sum_notional")
     )
 
 
@@ -522,7 +518,7 @@ def _reasons(checks: dict[str, str]) -> str:
 
 
 def _members(names: str = "") -> str:
-    return ", ".join([*[r(c) for c in CHANGES], r("total_trading_value", digits=2)]) + names
+    return ", ".join([*[r(c) for c in CHANGES], r("total_trading_value")]) + names
 
 
 def _long(source: str, fields: dict[str, str], group: str = week()) -> str:
@@ -546,7 +542,7 @@ def statements() -> dict[str, str]:
     flow = "CASE WHEN price_change_avg > prev_price_change_avg THEN total_trading_value ELSE -total_trading_value END"
     move = pct("price_change_avg", "prev_price_change_avg")
     share = "member * idx / (pow(idx, 2) + 0.5)"
-    fixed4 = "CAST(CAST(" + rounding("{0}", 4) + " AS DECIMAL(18,4)) AS DECIMAL(38,10))"
+    fixed4 = "CAST(CAST(" + shown_sql("{0}") + " AS VARCHAR) AS DECIMAL(38,10))"
     nanos = "CAST(CAST(epoch({0}) AS BIGINT) * 1000000000 AS VARCHAR)"
     line_fields = [
         "'measure_id=\"' || measure_id || '\"'",
@@ -561,7 +557,7 @@ def statements() -> dict[str, str]:
 
     def attribution(condition: str) -> str:
         return f"""
-SELECT ticker, ts, {r('sum(v) OVER (PARTITION BY ticker ORDER BY ts)', 'value', 2)}
+SELECT ticker, ts, {r('sum(v) OVER (PARTITION BY ticker ORDER BY ts)', 'value')}
 FROM (SELECT m.ticker, m.ts, {share} AS v
       FROM (SELECT ticker, ts, {move} AS member FROM members_regular) m
       JOIN (SELECT ts, {move} AS idx FROM index_regular) i USING (ts) WHERE {condition})"""
@@ -576,7 +572,7 @@ SELECT ts, field, {r('value')} FROM (
     def point(c: str, program: feat.Program) -> str:
         if c.startswith("days_since"):
             return f"'{c}=' || {c} || 'i'"
-        return f"'{c}=' || CAST({rounding(c, 3)} AS DECIMAL(38,3))"
+        return f"'{c}=' || CAST(CAST({shown_sql(c)} AS VARCHAR) AS DECIMAL(38,6))"
 
     two_weeks = feat.FORWARD_TWO_WEEKS
     out = {
@@ -611,7 +607,7 @@ SELECT window_end_time AS ts, {r('sum(sum_ask_notional)', 'asks')}, {r('sum(sum_
         "quote_totals_by_ticker": f"""
 SELECT window_end_time AS ts, ticker, {r('sum_ask_notional', 'asks')}, {r('sum_bid_notional', 'bids')} FROM qw WHERE ticker <> 'click'""",
         "trade_notional": f"""
-SELECT window_end_time AS ts, ticker, {r('sum_notional', 'value', 2)} FROM tw WHERE ticker NOT IN ('click', 'view')""",
+SELECT window_end_time AS ts, ticker, {r('sum_notional', 'value')} FROM tw WHERE ticker NOT IN ('click', 'view')""",
         "windowed_quotations": f"""
 SELECT measure_id, ticker AS symbol, window_start_time, window_end_time, {r('sum_bid_quantity', 'sum_bid_volume')},
        {r('sum_ask_quantity', 'sum_ask_volume')}, record_count, {r('volume_weighted_avg_bid_price', 'average_bid_price')},
@@ -632,9 +628,9 @@ GROUP BY c_custkey, symbol, batch""",
 SELECT user_id AS id, ts, event_id, event_type, {r('value')}
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1""",
         "chart_points": f"""
-SELECT ticker, window_end_time AS ts, {r('(hour(window_end_time) * 3600 + minute(window_end_time) * 60 + second(window_end_time)) / 86399.0 * 1000', 'x', 3)},
-       {r('(sum_notional - hi * 1.02) * 400 / nullif(lo * 0.98 - hi * 1.02, 0)', 'y', 3)}, {r('price_at_window_end', 'price', 3)},
-       {r('sum_notional', 'value', 3)}
+SELECT ticker, window_end_time AS ts, {r('(hour(window_end_time) * 3600 + minute(window_end_time) * 60 + second(window_end_time)) / 86399.0 * 1000', 'x')},
+       {r('(sum_notional - hi * 1.02) * 400 / nullif(lo * 0.98 - hi * 1.02, 0)', 'y')}, {r('price_at_window_end', 'price')},
+       {r('sum_notional', 'value')}
 FROM (SELECT *, min(sum_notional) OVER (PARTITION BY ticker) AS lo, max(sum_notional) OVER (PARTITION BY ticker) AS hi
       FROM tw WHERE price_at_window_end > 0 AND sum_notional > 0)""",
         "throughput": "SELECT date_trunc('minute', ts) AS minute, count(*) AS messages FROM events GROUP BY 1",
@@ -651,22 +647,22 @@ SELECT o_orderkey AS id, CAST(trunc(o_totalprice) AS BIGINT) AS units,
        {r('o_totalprice', 'amount')} FROM orders""",
         # bars and calendar
         "bar_validation": f"""
-SELECT symbol AS ticker, trade_id, market_ts, {r('price * lot_size', 'total_trading_value', 2)},
+SELECT symbol AS ticker, trade_id, market_ts, {r('price * lot_size', 'total_trading_value')},
        {regular('market_ts')} AS regular_trading_hours FROM trades WHERE {' AND '.join(bar_checks.values())}""",
         "bar_rejections": f"""
 SELECT symbol AS ticker, trade_id, {_reasons(bar_checks)} AS reasons FROM trades WHERE NOT ({' AND '.join(bar_checks.values())})""",
         **{
             f"daily_bars{suffix}": f"""
 SELECT ticker, day, company, market_ts, {rs('opening_price', 'closing_price', 'high_price', 'low_price', 'volume_weighted_avg_price')},
-       {rs('total_trading_value', digits=2)} FROM daily_{kind}"""
+       {rs('total_trading_value')} FROM daily_{kind}"""
             for suffix, kind in (("", "regular"), ("_extended", "extended"))
         },
         "monthly_volumes": f"""
-SELECT ticker, strftime(day, '%Y-%m') AS month, {r('sum(total_trading_value)', 'total_trading_value', 2)}
+SELECT ticker, strftime(day, '%Y-%m') AS month, {r('sum(total_trading_value)', 'total_trading_value')}
 FROM local_bars WHERE market_ts < {last_day} GROUP BY 1, 2""",
         "top_tickers": f"""
-SELECT ticker, {r('sum(total_trading_value)', 'total_trading_value', 2)} FROM local_bars
-WHERE strftime(day, '%Y-%m') = '2000-06' GROUP BY ticker ORDER BY 2 DESC, ticker LIMIT 30""",
+SELECT ticker, {r('sum(total_trading_value)', 'total_trading_value')} FROM local_bars
+WHERE strftime(day, '%Y-%m') = '2000-06' GROUP BY ticker ORDER BY 2 DESC, ticker LIMIT 10""",
         "time_bounds": "SELECT ticker, min(market_ts) AS earliest, max(market_ts) AS latest FROM bars GROUP BY ticker",
         "first_since": f"""
 SELECT ticker, min(market_ts) AS market_ts, {r(f'first(low_price {_SEQUENCE})', 'closing_price')}
@@ -683,8 +679,8 @@ SELECT 'ticker' AS field, ticker AS value, count(*) AS occurrences FROM universe
 UNION ALL
 SELECT 'company', company, count(*) FROM universe GROUP BY company HAVING count(*) > 1""",
         "tickers_without_rows": """
-SELECT p_partkey AS ticker, p_name FROM part
-WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-06-01')""",
+SELECT ticker, p_name FROM (SELECT CASE WHEN p_partkey % 7 = 0 THEN -p_partkey ELSE p_partkey END AS ticker, p_name FROM part)
+WHERE ticker NOT IN (SELECT l_partkey FROM lineitem)""",
         "calendar": f"""
 SELECT day, {weekend('day')} AS is_weekend, {holiday('day')} AS is_holiday, {bank_day('day')} AS is_bank_day,
        {seek('day', -1)} AS previous_bank_day, {seek('day', 1)} AS next_bank_day
@@ -711,14 +707,14 @@ FROM members_regular WHERE day < DATE '1998-01-01' GROUP BY ticker""",
         "index_daily": f"SELECT day, ts, {_members()} FROM index_regular",
         "index_geometric": f"""
 SELECT day, CAST(day AS TIMESTAMP) AS ts, {', '.join(r(f'exp(avg(ln({c})))', c) for c in CHANGES)},
-       {r('sum(total_trading_value)', 'total_trading_value', 2)} FROM members_regular GROUP BY day""",
+       {r('sum(total_trading_value)', 'total_trading_value')} FROM members_regular GROUP BY day""",
         "index_recompute": f"""
 SELECT ticker, day, {rs('price_change_avg', 'prev_price_change_avg')} FROM members_regular WHERE day >= DATE '2001-01-02'""",
         "price_change_months": f"""
 SELECT ticker, CAST(date_trunc('month', day) AS DATE) AS period, min(ts) AS ts, {r('arg_min(price_change_open, ts)', 'price_change_open')},
        {r('arg_max(price_change_close, ts)', 'price_change_close')}, {r('max(price_change_high)', 'price_change_high')},
        {r('min(price_change_low)', 'price_change_low')}, {r('avg(price_change_avg)', 'price_change_avg')},
-       {r('avg(prev_price_change_avg)', 'prev_price_change_avg')}, {r('sum(total_trading_value)', 'total_trading_value', 2)}
+       {r('avg(prev_price_change_avg)', 'prev_price_change_avg')}, {r('sum(total_trading_value)', 'total_trading_value')}
 FROM members_regular GROUP BY 1, 2""",
         "long_series": " UNION ALL ".join(
             f"SELECT ts, '{c}' AS _field, {r(c, '_value')} FROM index_regular"
@@ -744,20 +740,20 @@ SELECT ts, field, {r('value')} FROM (
   SELECT ts + INTERVAL 1 DAY AS ts, 'a_daily' AS field, {move} AS value FROM index_regular
   UNION ALL SELECT {week()}, 'b_weekly', avg({move}) FROM index_regular GROUP BY 1)""",
         "index_volume": f"""
-SELECT ts, field, {r('value', digits=2)} FROM (
+SELECT ts, field, {r('value')} FROM (
   {_long('index_regular', {'volume': 'avg(total_trading_value / nullif(price_change_avg, 0))', 'dollar_value': 'avg(total_trading_value)'})}
   UNION ALL SELECT {bucket('42 days', 'ts')} + INTERVAL 42 DAY - INTERVAL 8 DAY, 'custom_moving_average', avg(total_trading_value)
   FROM index_regular GROUP BY 1)""",
         "index_volume_by_month": f"""
-SELECT make_date(CAST(n // 12 AS INTEGER), CAST(n % 12 + 1 AS INTEGER), 1) - INTERVAL 49 DAY AS ts, {r('value', digits=2)}
+SELECT make_date(CAST(n // 12 AS INTEGER), CAST(n % 12 + 1 AS INTEGER), 1) - INTERVAL 49 DAY AS ts, {r('value')}
 FROM (SELECT (year(ts) * 12 + month(ts) - 1) // 4 * 4 + 4 AS n, avg(value) AS value
       FROM (SELECT {week()} AS ts, avg(total_trading_value) AS value FROM index_regular GROUP BY 1) GROUP BY 1)""",
         "weekly_unit_volume": f"""
-SELECT g.ts, {r('value', digits=2)} FROM (
+SELECT g.ts, {r('value')} FROM (
   SELECT unnest(generate_series(min({week()}), max({week()}), INTERVAL 7 DAY)) AS ts FROM index_regular) g
 LEFT JOIN (SELECT {week()} AS ts, avg(total_trading_value) / nullif(avg(price_change_avg), 0) AS value FROM index_regular GROUP BY 1) v
 ON v.ts = g.ts""",
-        "index_flow": f"SELECT ts, {r(flow, 'value', 2)} FROM index_regular",
+        "index_flow": f"SELECT ts, {r(flow, 'value')} FROM index_regular",
         "annualised_gain": f"""
 SELECT ts, {r("(pow(value, 1.0 / (datediff('day', DATE '1995-01-01', CAST(ts AS DATE)) / 365.0)) - 1) * 100", 'value')} FROM (
   SELECT g.ts, v.value FROM (
@@ -778,8 +774,8 @@ SELECT ts, field, {r('value')} FROM ({_long('drawdown', {'a_low': 'min(drawdown_
 SELECT ts, {rs('current_drawdown', 'drawdown_next_bank_day', 'forward_max_drawdown')},
        {', '.join(f'CAST(days_since_dip_of_{d} AS INTEGER) AS days_since_dip_of_{d}' for d in DIP_LEVELS)} FROM labels_all""",
         "linear_regression": f"""
-SELECT ticker, count(*) AS points, {r('regr_slope(y, x)', 'slope', 2)}, {r('regr_intercept(y, x)', 'intercept', 2)},
-       {r('(regr_syy(y, x) - pow(regr_slope(y, x), 2) * regr_sxx(y, x)) / count(*)', 'variance', 2)}
+SELECT ticker, count(*) AS points, {r('regr_slope(y, x)', 'slope')}, {r('regr_intercept(y, x)', 'intercept')},
+       {r('(regr_syy(y, x) - pow(regr_slope(y, x), 2) * regr_sxx(y, x)) / count(*)', 'variance')}
 FROM (SELECT ticker, (price_change_avg / first_value(price_change_avg) OVER w - 1) * 100 AS y,
              CAST(row_number() OVER w - 1 AS DOUBLE) AS x
       FROM members_regular WINDOW w AS (PARTITION BY ticker ORDER BY ts)) GROUP BY ticker""",
@@ -794,10 +790,10 @@ SELECT ticker, year, position, {rs('price_change_avg', 'residual')} FROM (
         "member_trends": f"""
 SELECT ticker, ts, {r('ln(value)', 'value')} FROM (
   SELECT ticker, {week()} AS ts, avg(price_change_avg) AS value FROM members_regular GROUP BY 1, 2) WHERE value > 0.667""",
-        "member_daily_change": f"SELECT ticker, ts, {r(f'10000 * tanh(({move}) * 0.3)', 'value', 2)} FROM members_regular",
+        "member_daily_change": f"SELECT ticker, ts, {r(f'10000 * tanh(({move}) * 0.3)', 'value')} FROM members_regular",
         "member_volumes": f"""
-SELECT ticker, {week()} AS ts, {r('arg_max(total_trading_value, ts)', 'value', 2)} FROM members_regular GROUP BY 1, 2""",
-        "member_flow": f"SELECT ticker, ts, {r(flow, 'value', 2)} FROM members_regular WHERE ticker <> 'NATION_1'",
+SELECT ticker, {week()} AS ts, {r('arg_max(total_trading_value, ts)', 'value')} FROM members_regular GROUP BY 1, 2""",
+        "member_flow": f"SELECT ticker, ts, {r(flow, 'value')} FROM members_regular WHERE ticker <> 'NATION_1'",
         "member_attribution": attribution("true"),
         "member_attribution_flat": attribution("idx BETWEEN -0.2 AND 0.2"),
         # features
@@ -848,9 +844,31 @@ FROM (SELECT CAST(o_orderdate AS DATE) AS day FROM orders)"""
 SELECT ts, {r('price_change_avg')} FROM index_regular
 WHERE ts >= (SELECT max(ts) FROM index_regular WHERE ts < TIMESTAMP '2001-01-01')"""
     out["stream_drawdown"] = out["drawdown"]
+    newest = f"SELECT ticker, user_id, ts, event_id, {r('value')}, day FROM ({{0}}) WHERE n = 1"
+    by_user = "row_number() OVER (PARTITION BY ticker, user_id ORDER BY ts DESC, event_id DESC) AS n"
+    out["stored_upsert"] = newest.format(
+        "SELECT *, row_number() OVER (PARTITION BY ticker, user_id, day ORDER BY event_id % 2 DESC, ts DESC, event_id DESC) AS n FROM points"
+    )
+    out["stored_delete"] = newest.format(f"SELECT *, {by_user} FROM points") + " AND ticker <> 'view/USD#1' AND value <= 300"
+    out["stored_rename"] = newest.format(
+        f"SELECT *, {by_user} FROM (SELECT * REPLACE (CASE ticker WHEN 'view/USD#1' THEN 'click/USD#1' ELSE ticker END AS ticker) FROM points)"
+    )
+    out["stored_documents"] = """
+SELECT 'f#' || o_custkey AS pk, o_orderstatus AS sk, CAST(max(o_orderkey) AS VARCHAR) AS body, max(o_orderkey) AS version
+FROM orders GROUP BY ALL"""
+    for name, limit in (("index_refresh", "9999-01-01"), ("index_redo", "2000-01-01")):
+        out[name] = f"""
+SELECT ticker, day, {r('price_change_avg')}, strftime(day, '%Y-%m') AS month FROM (
+  SELECT ticker, day, price_change_avg FROM members_regular UNION ALL SELECT 'INDEX', day, price_change_avg FROM index_regular)
+WHERE day < DATE '{limit}'"""
+    out["stale_mark"] = """
+SELECT CAST(least((SELECT min(o_orderdate) FROM orders), (SELECT min(l_shipdate) FROM lineitem)) AS DATE) AS stale_from"""
     return {name: assemble(body) for name, body in out.items()}
 
 
+PARTS["points"] = """
+SELECT event_type || '/USD#1' AS ticker, user_id, ts, event_id, value, CAST(ts AS DATE) AS day FROM events"""
+
 PARTS["numbered"] = """
 SELECT ticker, year(day) AS year, day, price_change_avg, row_number() OVER w - 1 AS position,
        count(*) OVER (PARTITION BY ticker, year(day)) AS n

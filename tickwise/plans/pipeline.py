@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickwise.operators.index import index_members, index_series, recompute_from, start_date
+from tickwise.session import fresh_path
 from tickwise.sources import store
 
 
@@ -36,7 +37,7 @@ def refresh_index(
 ) -> date | None:
     """Bring the stored series up to date with the daily bars.
 
-    The recompute starts at the earlier of the stale mark and the last stored index
+    Months from the start on that have no rows any more are removed. The recompute starts at the earlier of the stale mark and the last stored index
     day, taken back to the start of its month; earlier months are left alone.  A first
     or ``full`` run covers everything.  Returns the start, ``None`` for a full run; the
     caller then drops the stale mark.
@@ -49,9 +50,12 @@ def refresh_index(
         rows = index_members(daily, regular_hours=regular_hours)
     else:
         rows = recompute_from(daily, store.load(spark, members).drop("month"), start.isoformat(), regular_hours)
-    store.replace_partitions(_with_month(rows), members)
-    stored = store.load(spark, members)
-    if start is not None:
-        stored = stored.filter(F.col("month") >= start.strftime("%Y-%m"))
-    store.replace_partitions(_with_month(index_series(stored.drop("month"), regular_hours)), index)
+    again = store.exists(spark, members)
+    rows = store.staged(_with_month(rows), fresh_path(spark, "members"))
+    from_month = F.col("month") >= (start.strftime("%Y-%m") if start is not None else "")
+    store.replace_partitions(rows, members)
+    store.replace_partitions(_with_month(index_series(rows.drop("month"), regular_hours)), index)
+    if again:
+        store.drop_missing(spark, members, rows.select("month"), from_month)
+        store.drop_missing(spark, index, rows.select("month"), from_month)
     return start

@@ -1,7 +1,6 @@
 """Every operator and composed query, run over the whole benchmark tables.
 
-Doubles are rounded so that results compare by value; prices and rates to six
-places, summed money to two.
+Doubles are shown in single precision, so that results compare by value.
 """
 
 from __future__ import annotations
@@ -9,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
@@ -24,7 +23,8 @@ from tickwise.operators import quality, series, trends, windows
 from tickwise.plans import features as feat
 from tickwise.plans import market_index as mi
 from tickwise.plans import microstructure as ms
-from tickwise.plans.rounding import digits_for, push
+from tickwise.plans import stored
+from tickwise.plans.rounding import shown
 from tickwise.sources import bars as bar_source
 from tickwise.session import fresh_path
 from tickwise.sources import feed, points, polling, store, tables
@@ -38,19 +38,16 @@ SEQUENCE = ["market_ts", "sequence"]
 BASE_DATE, RESULTS_FROM, FEATURE_START, PROVISIONAL_FROM = "1995-01-01", "1996-01-01", "1995-06-01", "2001-01-01"
 STATEMENTS_AS_OF = "2001-12-31"
 FIRST_STATEMENT_YEAR = 1995
+#: Fewer than the 25 tickers of the data, so that the list of the most traded cuts.
+TOP_MEMBERS = 10
 
 
-def stable_round(column: Column, digits: int) -> Column:
-    return F.round(column + F.lit(push(digits)), digits)
+def rounded(df: DataFrame) -> DataFrame:
+    def column(f: T.StructField):
+        name = F.col(f"`{f.name}`")
+        return shown(name).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else name
 
-
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    def shown(f: T.StructField):
-        if not isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            return F.col(f"`{f.name}`")
-        return stable_round(F.col(f"`{f.name}`"), digits_for(f.name, digits)).alias(f.name)
-
-    return df.select(*[shown(f) for f in df.schema])
+    return df.select(*[column(f) for f in df.schema])
 
 
 # --- shared inputs -----------------------------------------------------------
@@ -64,34 +61,12 @@ def _quote_windows(spark, d, closing=False):
     return windows.quote_windows(tables.quotes(spark, d), EVERY, closing=closing)
 
 
-_STORED: dict[tuple, DataFrame] = {}
-
-
-def _stored(spark, folder, name, build) -> DataFrame:
-    """A series table, written to the shared folder once per session and source folder.
-
-    Dashboards and features read stored series, so the bars are scanned once and not
-    by each of them.
-    """
-    key = (spark.sparkContext.applicationId, folder, name)
-    if key not in _STORED:
-        _STORED[key] = store.staged(build(), fresh_path(spark, name))
-    return _STORED[key]
-
-
 def _daily(spark, d, regular=True):
     return bar_ops.daily_bars(tables.bars(spark, d), regular, SEQUENCE)
 
 
-def _stored_daily(spark, d, regular=True):
-    return _stored(spark, d, f"daily-{regular}", lambda: _daily(spark, d, regular))
-
-
 def _members(spark, d, regular=True):
-    return _stored(
-        spark, d, f"members-{regular}",
-        lambda: ix.index_members(_stored_daily(spark, d, regular), regular_hours=regular),
-    )
+    return ix.index_members(_daily(spark, d, regular), regular_hours=regular)
 
 
 def _index(spark, d, regular=True, geometric=False):
@@ -129,7 +104,7 @@ def microstructure_cumulative(spark, d):
 def line_protocol(spark, d):
     rows = _trade_windows(spark, d)
     fields = [c for c in rows.columns if c != "ticker"]
-    exact = rows.select(*[stable_round(F.col(c), 4).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes])
+    exact = rows.select(*[shown(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes])
     return points.line_protocol(exact, windows.TRADE_WINDOWS, ["ticker"], fields, "window_end_time")
 
 
@@ -265,11 +240,10 @@ def stale_tickers(spark, d):
 
 def scan_starts(spark, d):
     names = tables.read(spark, d, "supplier").select(F.col("s_name").alias("ticker"), "s_suppkey")
-    early = tables.read(spark, d, "lineitem").filter(F.col("l_shipdate") < "1995-01-20")
-    rows = early.join(names, F.col("l_suppkey") == F.col("s_suppkey")).select(
-        "ticker", F.col("l_shipdate").cast("timestamp").alias("market_ts")
-    )
-    return bar_source.scan_starts(names, rows, "1995-01-01")
+    sold = tables.read(spark, d, "lineitem").select("l_suppkey", F.col("l_shipdate").cast("timestamp").alias("market_ts"))
+    rows = sold.join(names, F.col("l_suppkey") == F.col("s_suppkey")).select("ticker", "market_ts")
+    listed = names.unionByName(names.select(F.concat("ticker", F.lit(".NEW")).alias("ticker"), "s_suppkey"))
+    return bar_source.scan_starts(listed, rows, "1995-01-01")
 
 
 def earliest_touched(spark, d):
@@ -278,7 +252,7 @@ def earliest_touched(spark, d):
 
 def top_tickers(spark, d):
     monthly = bar_ops.monthly_traded_value(tables.bars(spark, d), include_last_day=True, digits=None)
-    return bar_ops.top_by_value(monthly.filter(F.col("month") == "2000-06").drop("month"), 30)
+    return bar_ops.top_by_value(monthly.filter(F.col("month") == "2000-06").drop("month"), 10)
 
 
 def first_since(spark, d):
@@ -298,9 +272,10 @@ def universe_duplicates(spark, d):
 
 
 def tickers_without_rows(spark, d):
-    parts = tables.read(spark, d, "part").select(F.col("p_partkey").alias("ticker"), "p_name")
-    sold = tables.read(spark, d, "lineitem").filter(F.col("l_shipdate") >= "2001-06-01").select(F.col("l_partkey").alias("ticker"))
-    return quality.tickers_without_rows(parts, sold)
+    """Parts under their key and, for every seventh, under a key that was never sold."""
+    key = F.when(F.col("p_partkey") % 7 == 0, -F.col("p_partkey")).otherwise(F.col("p_partkey"))
+    parts = tables.read(spark, d, "part").select(key.alias("ticker"), "p_name")
+    return quality.tickers_without_rows(parts, tables.read(spark, d, "lineitem").select(F.col("l_partkey").alias("ticker")))
 
 
 def ticker_aliases(spark, d):
@@ -337,8 +312,7 @@ def report_periods(spark, d):
 
 
 def index_members(spark, d, regular=True):
-    members = ix.index_members(_stored_daily(spark, d, regular), regular_hours=regular)
-    return rounded(members).drop("company", "measurement")
+    return rounded(_members(spark, d, regular)).drop("company", "measurement")
 
 
 def member_state(spark, d):
@@ -347,8 +321,8 @@ def member_state(spark, d):
 
 def index_recompute(spark, d):
     """The last year's member rows from a continued run."""
-    daily = _stored_daily(spark, d)
-    recent = ix.recompute_from(daily, _members(spark, d), "2001-01-02")
+    daily = _daily(spark, d)
+    recent = ix.recompute_from(daily, ix.index_members(daily), "2001-01-02")
     return recent.select("ticker", "day", "price_change_avg", "prev_price_change_avg")
 
 
@@ -417,12 +391,14 @@ def largest_deviation(spark, d):
 
 
 def member_spread(spark, d):
-    return feat.member_spread(_members(spark, d, regular=False), FEATURE_START)
+    return feat.member_spread(_members(spark, d, regular=False), FEATURE_START, n=TOP_MEMBERS)
 
 
 def _features(program, spark, d):
+    index = _index(spark, d)
     return feat.daily_features(
-        program, _levels(spark, d), _index(spark, d), _members(spark, d, regular=False), _volatility(spark, d), FEATURE_START
+        program, dd.drawdown(index), index, _members(spark, d, regular=False), _volatility(spark, d), FEATURE_START,
+        top=TOP_MEMBERS,
     )
 
 
@@ -436,19 +412,16 @@ def training_rows(spark, d):
 
 def feature_points(spark, d):
     rows = _features(feat.FORWARD_TWO_WEEKS, spark, d)
-    shown = rows.select(
-        *[stable_round(F.col(c), 3).cast("decimal(38,3)").alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes]
+    points_ = rows.select(
+        *[shown(F.col(c)).cast("decimal(38,6)").alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes]
     )
-    return feat.feature_lines(shown, feat.FORWARD_TWO_WEEKS)
+    return feat.feature_lines(points_, feat.FORWARD_TWO_WEEKS)
 
 
 def predictions(spark, d):
     """Train on all but the last 375 days and predict every day."""
-    rows = _features(feat.NEXT_BANK_DAY, spark, d).repartition(8, "day").sortWithinPartitions("day").persist()
-    try:
-        model = feat.train(quality.hold_out_tail(rows), feat.NEXT_BANK_DAY, rounds=5)
-    finally:
-        rows.unpersist()
+    rows = store.staged(_features(feat.NEXT_BANK_DAY, spark, d).repartition("day").sortWithinPartitions("day"), fresh_path(spark, "training"))
+    model = feat.train(quality.hold_out_tail(rows), feat.NEXT_BANK_DAY)
     return feat.predict(rows, model, feat.NEXT_BANK_DAY)
 
 
@@ -471,8 +444,8 @@ def new_report_periods(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    def table(fn, digits: int = 6) -> Query:
-        return lambda spark, d: rounded(fn(spark, d), digits)
+    def table(fn) -> Query:
+        return lambda spark, d: rounded(fn(spark, d))
 
     def on_quotes(build, /, closing=False, **options) -> Query:
         return table(lambda s, d: build(_quote_windows(s, d, closing), **options))
@@ -480,11 +453,11 @@ def queries() -> dict[str, Query]:
     def on_both(build, /, **options) -> Query:
         return table(lambda s, d: build(_quote_windows(s, d), _trade_windows(s, d), **options))
 
-    def on_index(build, /, *args, digits: int = 6, **options) -> Query:
-        return table(lambda s, d: build(_index(s, d), *args, **options).drop("measurement", "ticker", "company"), digits)
+    def on_index(build, /, *args, **options) -> Query:
+        return table(lambda s, d: build(_index(s, d), *args, **options).drop("measurement", "ticker", "company"))
 
-    def on_members(build, /, *args, digits: int = 6, **options) -> Query:
-        return table(lambda s, d: build(_members(s, d), *args, **options).drop("measurement", "company"), digits)
+    def on_members(build, /, *args, **options) -> Query:
+        return table(lambda s, d: build(_members(s, d), *args, **options).drop("measurement", "company"))
 
     return {
         # live windows
@@ -504,12 +477,12 @@ def queries() -> dict[str, Query]:
         "institutional_pressure_basket": on_quotes(ms.institutional_pressure, closing=True, by_ticker=False),
         "quote_totals": on_quotes(ms.quote_totals),
         "quote_totals_by_ticker": on_quotes(ms.quote_totals, by_ticker=True, excluded=["click"]),
-        "trade_notional": table(lambda s, d: ms.traded_notional(_trade_windows(s, d), excluded=["click", "view"]), 2),
+        "trade_notional": table(lambda s, d: ms.traded_notional(_trade_windows(s, d), excluded=["click", "view"])),
         "windowed_quotations": on_quotes(ms.windowed_quotations, closing=True),
         "line_protocol": line_protocol,
         "subscriber_batches": subscriber_batches,
         "latest_per_id": table(latest_per_id),
-        "chart_points": table(chart_points, 3),
+        "chart_points": table(chart_points),
         "throughput": throughput,
         "asset_union": table(asset_union),
         "shared_tags": shared_tags,
@@ -557,10 +530,10 @@ def queries() -> dict[str, Query]:
         "index_bands": on_index(mi.index_bands),
         "index_bands_linear": on_index(mi.index_bands, fn="median", log=False),
         "index_change": on_index(mi.index_change),
-        "index_volume": on_index(mi.index_volume, digits=2),
-        "index_volume_by_month": on_index(mi.index_volume_by_month, digits=2),
-        "weekly_unit_volume": on_index(mi.weekly_unit_volume, digits=2),
-        "index_flow": on_index(mi.flow, digits=2),
+        "index_volume": on_index(mi.index_volume),
+        "index_volume_by_month": on_index(mi.index_volume_by_month),
+        "weekly_unit_volume": on_index(mi.weekly_unit_volume),
+        "index_flow": on_index(mi.flow),
         "annualised_gain": on_index(mi.annualised_gain, BASE_DATE, RESULTS_FROM),
         "drawdown": table(lambda s, d: _levels(s, d).drop("measurement", "ticker")),
         "drawdown_provisional": table(drawdown_provisional),
@@ -568,20 +541,20 @@ def queries() -> dict[str, Query]:
         "polled_rows": table(polled_rows),
         "drawdown_labels": table(drawdown_labels),
         "member_drawdown": table(member_drawdown),
-        "linear_regression": table(linear_regression, 2),
-        "trend_segments": table(trend_segments, 3),
-        "trend_analysis": table(trend_analysis, 3),
+        "linear_regression": table(linear_regression),
+        "trend_segments": table(trend_segments),
+        "trend_analysis": table(trend_analysis),
         "largest_deviation": table(largest_deviation),
         # members
         "member_trends": on_members(mi.member_trends),
-        "member_daily_change": on_members(mi.member_daily_change, emphasise=True, digits=2),
-        "member_volumes": on_members(mi.member_volumes, digits=2),
-        "member_flow": on_members(mi.flow, excluded=["NATION_1"], digits=2),
+        "member_daily_change": on_members(mi.member_daily_change, emphasise=True),
+        "member_volumes": on_members(mi.member_volumes),
+        "member_flow": on_members(mi.flow, excluded=["NATION_1"]),
         "member_attribution": table(
-            lambda s, d: mi.member_attribution(_index(s, d), _members(s, d)).drop("company"), 2
+            lambda s, d: mi.member_attribution(_index(s, d), _members(s, d)).drop("company")
         ),
         "member_attribution_flat": table(
-            lambda s, d: mi.member_attribution(_index(s, d), _members(s, d), direction="flat").drop("company"), 2
+            lambda s, d: mi.member_attribution(_index(s, d), _members(s, d), direction="flat").drop("company")
         ),
         # features
         "member_spread": table(member_spread),
@@ -595,6 +568,14 @@ def queries() -> dict[str, Query]:
         "financial_quarters": table(partial(financial_periods, "Q")),
         "financial_years": table(partial(financial_periods, "A")),
         "new_report_periods": table(new_report_periods),
+        # stored tables
+        "stored_upsert": table(stored.upserted),
+        "stored_delete": table(stored.deleted),
+        "stored_rename": table(stored.renamed),
+        "stored_documents": stored.documents,
+        "index_refresh": table(lambda s, d: stored.refreshed(s, d, _daily(s, d))),
+        "index_redo": table(lambda s, d: stored.redone(s, d, _daily(s, d))),
+        "stale_mark": stored.stale_mark,
         # streaming
         "stream_trade_windows": table(partial(jobs.trade_windows_from_file, EVERY)),
         "stream_quote_windows": table(partial(jobs.quote_windows_from_file, EVERY)),

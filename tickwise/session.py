@@ -24,13 +24,15 @@ def local_session(app: str = "tickwise", cores: str = "8", memory: str = "8g") -
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the session names it.
+    """The folder every executor can reach, as ``spark.checkpoint.dir`` names it.
 
-    Only where ``spark.checkpoint.dir`` is unset (local tests) is a fresh local
-    folder made and set.
+    Where it is unset, a local master gets a fresh folder of its own; elsewhere
+    that would be a folder that executors can't see, so it is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tickwise-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder

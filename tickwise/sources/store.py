@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -57,8 +57,42 @@ def replace_partitions(df: DataFrame, table: Table) -> None:
     )
 
 
+def _matching(columns: list[str], other: DataFrame, prefix: str) -> Column:
+    """Equality on ``columns`` with those of ``other`` named with a prefix; nulls match."""
+    match = F.lit(True)
+    for c in columns:
+        match = match & F.col(c).eqNullSafe(other[prefix + c])
+    return match
+
+
+def _prefixed(df: DataFrame, columns: list[str], prefix: str = "_p_") -> DataFrame:
+    return df.select(*[F.col(c).alias(prefix + c) for c in columns]).distinct()
+
+
+def in_partitions(spark: SparkSession, df: DataFrame, table: Table, values: list[Row]) -> DataFrame:
+    """Rows of ``df`` in the given partitions, as a filter that prunes the scan."""
+    if not values:
+        return df.limit(0)
+    if len(table.partitions) == 1:
+        name = table.partitions[0]
+        known = [v[name] for v in values if v[name] is not None]
+        kept = F.col(name).isin(known) if known else F.lit(False)
+        return df.filter(kept | F.col(name).isNull() if len(known) < len(values) else kept)
+    either = F.lit(False)
+    for v in values:
+        both = F.lit(True)
+        for c in table.partitions:
+            both = both & (F.col(c).isNull() if v[c] is None else F.col(c) == F.lit(v[c]))
+        either = either | both
+    return df.filter(either)
+
+
 def upsert(rows: DataFrame, table: Table) -> None:
-    """Add rows; a row with a stored key replaces it, and among equals the newest wins."""
+    """Add rows; a row with a stored key replaces it, and among equals the newest wins.
+
+    A batch touches few partitions (the days it has rows for), so their names are
+    collected and only these are read.
+    """
     spark = rows.sparkSession
     incoming = newest_rows(rows, table.keys, table.order) if table.order else rows.dropDuplicates(table.keys)
     if not exists(spark, table):
@@ -66,9 +100,10 @@ def upsert(rows: DataFrame, table: Table) -> None:
         return
     incoming = incoming.persist()
     try:
-        stored = load(spark, table, rows.schema)
-        touched = stored.join(incoming.select(*table.partitions).distinct(), table.partitions, "left_semi")
-        untouched = touched.join(incoming.select(*table.keys), table.keys, "left_anti")
+        touched = incoming.select(*table.partitions).distinct().collect()
+        stored = in_partitions(spark, load(spark, table, rows.schema), table, touched)
+        keys = _prefixed(incoming, table.keys)
+        untouched = stored.join(keys, _matching(table.keys, keys, "_p_"), "left_anti")
         replace_partitions(incoming.unionByName(untouched.select(*incoming.columns)), table)
     finally:
         incoming.unpersist()
@@ -91,40 +126,62 @@ def scan(df: DataFrame, measurement: str | None = None, start: str | None = None
     return df
 
 
-def _drop_partitions(spark: SparkSession, table: Table, values: DataFrame) -> None:
-    """Remove emptied partition folders; their number is bounded by the partitions, not the rows."""
-    for row in values.toLocalIterator():
-        sub = "/".join(f"{c}={row[c]}" for c in table.partitions)
-        fs, path = _file_system(spark, f"{table.path}/{sub}")
-        fs.delete(path, True)
+def _drop_folders(spark: SparkSession, files: list[str]) -> None:
+    """Remove the partition folders that hold these files; there is one file a folder."""
+    for file in files:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(file)).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _partition_files(stored: DataFrame, table: Table, *measures: Column) -> DataFrame:
+    """A row per stored partition with one of its files, whose folder is the partition's whatever its value needs escaped."""
+    return stored.groupBy(*table.partitions).agg(F.min("_metadata.file_path").alias("_file"), *measures)
+
+
+def drop_missing(spark: SparkSession, table: Table, present: DataFrame, among: Column | None = None) -> None:
+    """Remove the stored partitions (of those ``among`` selects) that ``present`` has no row for."""
+    stored = load(spark, table)
+    held = _partition_files(stored.filter(among) if among is not None else stored, table)
+    names = _prefixed(present, table.partitions)
+    gone = held.join(names, _matching(table.partitions, names, "_p_"), "left_anti")
+    _drop_folders(spark, [r["_file"] for r in gone.select("_file").collect()])
 
 
 def delete(spark: SparkSession, table: Table, predicate: Column) -> None:
-    """Delete rows by predicate, rewriting only the partitions that hold such rows."""
+    """Delete rows by predicate, rewriting only the partitions that hold such rows.
+
+    The partitions' names are collected, never their rows.
+    """
     stored = load(spark, table)
     hit = F.coalesce(predicate, F.lit(False))
-    per_partition = stored.groupBy(*table.partitions).agg(
-        F.count_if(hit).alias("_gone"), F.count_if(~hit).alias("_kept")
-    ).filter(F.col("_gone") > 0).persist()
-    try:
-        emptied = per_partition.filter(F.col("_kept") == 0).select(*table.partitions).collect()
-        partial = per_partition.filter(F.col("_kept") > 0).select(*table.partitions)
-        if not partial.isEmpty():
-            replace_partitions(stored.join(partial, table.partitions, "left_semi").filter(~hit).select(*stored.columns), table)
-        if emptied:
-            _drop_partitions(spark, table, spark.createDataFrame(emptied))
-    finally:
-        per_partition.unpersist()
+    counted = _partition_files(stored, table, F.count_if(hit).alias("_gone"), F.count_if(~hit).alias("_kept"))
+    touched = counted.filter(F.col("_gone") > 0).collect()
+    partial = [r for r in touched if r["_kept"]]
+    if partial:
+        replace_partitions(in_partitions(spark, stored, table, partial).filter(~hit).select(*stored.columns), table)
+    _drop_folders(spark, [r["_file"] for r in touched if not r["_kept"]])
 
 
 def rename_ticker(spark: SparkSession, table: Table, old: str, new: str) -> None:
-    """Move the rows of one ticker under a new name."""
+    """Move the rows of one ticker under a new name.
+
+    Rows that the new name has already stay, unless a moved row has the same key: then
+    the newer of the two by the table's order counts, the moved one if there is no order.
+    """
     stored = load(spark, table)
-    touched = stored.filter(F.col("ticker") == old).select(*table.partitions).distinct()
-    renamed = stored.join(touched, table.partitions, "left_semi").withColumn(
-        "ticker", F.when(F.col("ticker") == old, F.lit(new)).otherwise(F.col("ticker"))
-    )
-    replace_partitions(renamed.select(*stored.columns), table)
+    either = F.col("ticker").isin(old, new)
+    touched = stored.filter(either).select(*table.partitions).distinct().collect()
+    if old == new or stored.filter(F.col("ticker") == old).isEmpty():
+        return
+    rows = in_partitions(spark, stored, table, touched).withColumn("_moved", F.col("ticker") == old)
+    renamed = rows.withColumn("ticker", F.when(F.col("_moved"), F.lit(new)).otherwise(F.col("ticker")))
+    if "ticker" in table.partitions:
+        emptied = _partition_files(stored.filter(F.col("ticker") == old), table).select("_file").collect()
+    else:
+        emptied = []
+    resolved = newest_rows(renamed, table.keys, [*table.order, "_moved"]).select(*stored.columns)
+    replace_partitions(resolved, table)
+    _drop_folders(spark, [r["_file"] for r in emptied])
 
 
 def staged(df: DataFrame, path: str) -> DataFrame:
@@ -137,12 +194,27 @@ def staged(df: DataFrame, path: str) -> DataFrame:
 
 
 def document_table(path: str) -> Table:
-    """Documents ``(pk, sk, body)``; the newest version of a key counts."""
-    return Table(path, keys=["pk", "sk"], partitions=["pk"], order=["version"])
+    """Documents ``(pk, sk, body)``; the newest version of a key counts.
+
+    Keys are many, so they are spread over ``BUCKETS`` folders by hash.
+    """
+    return Table(path, keys=["pk", "sk"], partitions=["bucket"], order=["version"])
+
+
+BUCKETS = 64
+
+
+def bucket_of(pk: Column) -> Column:
+    return F.pmod(F.xxhash64(pk), F.lit(BUCKETS)).cast("int")
+
+
+def put_documents(documents: DataFrame, table: Table) -> None:
+    upsert(documents.withColumn("bucket", bucket_of(F.col("pk"))), table)
 
 
 def query_documents(spark: SparkSession, table: Table, pk: str, sk: str | None = None) -> DataFrame:
-    found = load(spark, table).filter(F.col("pk") == pk)
+    bucket = spark.range(1).select(bucket_of(F.lit(pk))).first()[0]
+    found = load(spark, table).filter((F.col("bucket") == bucket) & (F.col("pk") == pk)).drop("bucket")
     return found.filter(F.col("sk") == sk) if sk else found
 
 

@@ -87,7 +87,7 @@ def volatility_observations(spark: SparkSession, folder: str) -> DataFrame:
         .agg(F.avg("o_totalprice").alias("mean_price"))
     )
     text = F.when(F.dayofyear("day") % 5 == 0, F.lit(".")).otherwise(
-        F.round(F.col("mean_price") / 1000 + 1.37e-7, 4).cast("decimal(18,4)").cast("string")
+        F.round(F.col("mean_price") / 1000, 9).cast("decimal(18,9)").cast("string")
     )
     return daily.select(F.lit("VIX").alias("ticker"), "day", text.alias("value"))
 

@@ -7,16 +7,26 @@ from pyspark.sql import functions as F
 
 from tickwise.operators.windows import QUOTE_METRICS, TRADE_METRICS, quote_windows_from_levels
 from tickwise.session import fresh_path
-from tickwise.sources import tables
+from tickwise.sources import store, tables
 from tickwise.streaming import live, stateful
 
 
+#: Micro-batches that a replayed table is cut into.
+STEPS = 4
+
+
 def drain(writer) -> None:
     """Run a query over what the source holds now and wait for its end."""
     query = writer.trigger(availableNow=True).start()
     query.awaitTermination()
 
 
+def _drain(spark: SparkSession, writer) -> None:
+    """``drain`` with keyed state in RocksDB; the session's own setting is left as it was."""
+    with live.rocksdb(spark):
+        drain(writer)
+
+
 def event_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The event table as a stream; the schema comes from the file."""
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
@@ -24,58 +34,62 @@ def event_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def trade_windows_from_file(every: str, spark: SparkSession, folder: str) -> DataFrame:
-    live.use_rocksdb(spark)
     windows = live.live_trade_windows(tables.events_as_trades(event_stream(spark, folder)), every)
     out = fresh_path(spark, "trade-windows")
-    drain(live.trade_sink(windows, f"{out}/table", f"{out}/checkpoint"))
+    _drain(spark, live.trade_sink(windows, f"{out}/table", f"{out}/checkpoint"))
     return spark.read.schema(windows.schema).parquet(f"{out}/table").drop("day")
 
 
 def quote_windows_from_file(every: str, spark: SparkSession, folder: str) -> DataFrame:
-    live.use_rocksdb(spark)
     levels = live.live_quote_levels(tables.events_as_quotes(event_stream(spark, folder)), every)
     out = fresh_path(spark, "quote-windows")
-    drain(live.quote_sink(levels, f"{out}/table", f"{out}/checkpoint"))
+    _drain(spark, live.quote_sink(levels, f"{out}/table", f"{out}/checkpoint"))
     return spark.read.schema(quote_windows_from_levels(levels).schema).parquet(f"{out}/table").drop("day")
 
 
 def _append(writer_frame: DataFrame, name: str) -> DataFrame:
     spark = writer_frame.sparkSession
     out = fresh_path(spark, name)
-    drain(
+    _drain(
+        spark,
         writer_frame.writeStream.outputMode("append").format("parquet")
         .option("path", f"{out}/table").option("checkpointLocation", f"{out}/checkpoint")
     )
     return spark.read.parquet(f"{out}/table")
 
 
-def table_stream(df: DataFrame, name: str) -> DataFrame:
-    """A static frame, written once to the shared folder and read back as a stream."""
+def table_stream(df: DataFrame, name: str, ts: str = "ts", steps: int = STEPS) -> DataFrame:
+    """A table replayed as a stream in order of time, in ``steps`` micro-batches, so that state is carried between them.
+
+    Each step is one file; files are read one a micro-batch, oldest first.
+    """
     spark = df.sparkSession
+    held = store.staged(df, fresh_path(spark, name))
     path = f"{fresh_path(spark, name)}/input"
-    df.write.parquet(path)
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    instant = F.unix_micros(ts)
+    cuts = held.agg(F.percentile_approx(instant, [i / steps for i in range(1, steps)], 10_000)).first()[0] or []
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        kept = held.filter(instant > low) if low is not None else held
+        kept = kept.filter(instant <= high) if high is not None else kept
+        kept.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(held.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def trade_deltas_from_file(every: str, spark: SparkSession, folder: str) -> DataFrame:
     """Closed windows from the event stream, then deltas with the previous window in state."""
-    live.use_rocksdb(spark)
-    windows = table_stream(trade_windows_from_file(every, spark, folder), "closed-windows")
+    windows = table_stream(trade_windows_from_file(every, spark, folder), "closed-windows", "window_end_time")
     return _append(stateful.stream_deltas(windows, TRADE_METRICS), "trade-deltas")
 
 
 def quote_deltas_from_file(every: str, spark: SparkSession, folder: str) -> DataFrame:
-    live.use_rocksdb(spark)
-    windows = table_stream(quote_windows_from_file(every, spark, folder), "closed-windows")
+    windows = table_stream(quote_windows_from_file(every, spark, folder), "closed-windows", "window_end_time")
     return _append(stateful.stream_deltas(windows, QUOTE_METRICS), "quote-deltas")
 
 
 def drawdown_from_table(spark: SparkSession, index: DataFrame) -> DataFrame:
-    live.use_rocksdb(spark)
     return _append(stateful.stream_drawdown(table_stream(index, "index")), "drawdown")
 
 
 def trends_from_table(spark: SparkSession, series: DataFrame) -> DataFrame:
-    live.use_rocksdb(spark)
     found = _append(stateful.stream_trends(table_stream(series, "series")), "trends")
     return found.withColumn("ts", F.col("ends"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -72,9 +74,23 @@ def quote_sink(levels: DataFrame, path: str, checkpoint: str, closing: bool = Fa
     )
 
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
 def use_rocksdb(spark) -> None:
     """Keep keyed state in RocksDB: it spills to disk and is checkpointed incrementally."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set(PROVIDER, ROCKSDB)
+
+
+@contextmanager
+def rocksdb(spark):
+    """``use_rocksdb`` for the queries started within, then as before."""
+    before = spark.conf.get(PROVIDER)
+    use_rocksdb(spark)
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, before)
 
 
 def follow_newest(spark) -> None:
