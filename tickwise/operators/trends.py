@@ -38,27 +38,42 @@ def regression(values: np.ndarray) -> tuple[float, float, float]:
     return slope, float(y.mean() - slope * (len(y) - 1) / 2), float(residual @ residual / len(y))
 
 
+class _Slopes:
+    """Slopes of the percent change over any rows begin..end-1 of a series, from running sums."""
+
+    def __init__(self, values: np.ndarray):
+        self.values = values
+        self.sums = np.concatenate(([0.0], np.cumsum(values)))
+        self.moments = np.concatenate(([0.0], np.cumsum(values * np.arange(len(values)))))
+
+    def slope(self, begin: int, end: int) -> float:
+        n = end - begin
+        moment = self.moments[end] - self.moments[begin] - (begin + end - 1) / 2 * (self.sums[end] - self.sums[begin])
+        return 100.0 / self.values[begin] * moment * 12.0 / (n * (n * n - 1.0))
+
+
 def find_segments(values: np.ndarray, rules: TrendRules = TrendRules()) -> tuple[list[tuple], int]:
     """Confirmed segments of one series and the row where the undecided tail begins.
 
     A window grows row by row from ``begin``; once the slope of its last rows departs
     from its own, the segment ends at the last tail row close to the matching row at
-    the window's head, and the next window begins there.
+    the window's head, and the next window begins there. Slopes come from running sums, so a
+    row costs the same however long its window is.
     """
     m = rules.minimum_window
     n, begin, end = len(values), 0, 2 * m
+    slopes = _Slopes(values)
     segments = []
     while n - end >= 2 * m:
         end += 1
         if end - begin < 2 * m:
             continue
-        whole = regression(values[begin:end])
-        tail = values[end - m : end]
-        if abs(whole[0] - regression(tail)[0]) <= rules.slope_threshold:
+        if abs(slopes.slope(begin, end) - slopes.slope(end - m, end)) <= rules.slope_threshold:
             continue
+        tail = values[end - m : end]
         close = np.flatnonzero(np.abs(tail - values[begin : begin + m]) <= rules.tolerance)
         cut = int(close[-1]) if len(close) else 0
-        segments.append((begin, end - m + cut, *whole))
+        segments.append((begin, end - m + cut, *regression(values[begin:end])))
         begin, end = end - m + cut, end + cut
     return segments, begin
 

@@ -843,6 +843,12 @@ FROM (SELECT CAST(o_orderdate AS DATE) AS day FROM orders)"""
     out["polled_rows"] = f"""
 SELECT ts, {r('price_change_avg')} FROM index_regular
 WHERE ts >= (SELECT max(ts) FROM index_regular WHERE ts < TIMESTAMP '2001-01-01')"""
+    fitted = rs("growth", "regression_slope", "regression_intercept", "regression_variance")
+    out["trend_segments"] = f"""
+SELECT 'securities-daily-change-regular-hours' AS measurement, ticker, begins, ends, {fitted}, ends AS ts FROM member_segments"""
+    out["trend_analysis"] = f"""
+SELECT 'INDEX' AS ticker, ts, field, {r('value')} FROM (
+  {_long('(SELECT ends AS ts, regression_variance, growth FROM index_segments)', {'regression_variance': 'avg(regression_variance)', 'growth': 'avg(growth)'})})"""
     out["stream_drawdown"] = out["drawdown"]
     newest = f"SELECT ticker, user_id, ts, event_id, {r('value')}, day FROM ({{0}}) WHERE n = 1"
     by_user = "row_number() OVER (PARTITION BY ticker, user_id ORDER BY ts DESC, event_id DESC) AS n"
@@ -866,6 +872,45 @@ SELECT CAST(least((SELECT min(o_orderdate) FROM orders), (SELECT min(l_shipdate)
     return {name: assemble(body) for name, body in out.items()}
 
 
+def _slope(begin: str, end: str) -> str:
+    """Slope of the percent change over rows begin..end-1, from running sums s and moments q (both from row 0)."""
+    moment = f"(q[{end} + 1] - q[{begin} + 1] - ({begin} + {end} - 1) / 2.0 * (s[{end} + 1] - s[{begin} + 1]))"
+    return f"(100.0 / v[{begin} + 1] * {moment} * 12.0 / (({end} - {begin}) * (pow({end} - {begin}, 2) - 1)))"
+
+
+def segments(name: str, source: str) -> None:
+    """Trend windows of ``source(ticker, ts, price_change_avg)``: smallest window 7, slope change 0.8, tolerance 0.05."""
+    PARTS[f"{name}_rows"] = f"""
+SELECT ticker, ts, price_change_avg AS x, row_number() OVER (PARTITION BY ticker ORDER BY ts) - 1 AS i FROM {source}"""
+    PARTS[f"{name}_sums"] = f"""
+SELECT ticker, ts, x, i, sum(x) OVER w AS s, sum(x * i) OVER w AS q FROM {name}_rows WINDOW w AS (PARTITION BY ticker ORDER BY i)"""
+    PARTS[f"{name}_lists"] = f"""
+SELECT ticker, list(x ORDER BY i) AS v, list_prepend(0.0, list(s ORDER BY i)) AS s, list_prepend(0.0, list(q ORDER BY i)) AS q
+FROM {name}_sums GROUP BY ticker"""
+    cut = "coalesce(list_max(list_filter(range(7), lambda j: abs(v[e1 - 7 + j + 1] - v[b + j + 1]) <= 0.05)), 0)"
+    PARTS[f"{name}_walk"] = f"""
+SELECT ticker, CAST(0 AS BIGINT) AS b, CAST(14 AS BIGINT) AS e, CAST(NULL AS BIGINT) AS head, CAST(NULL AS BIGINT) AS last, CAST(NULL AS BIGINT) AS stop
+FROM {name}_lists
+UNION ALL
+SELECT ticker, CASE WHEN cuts THEN e1 - 7 + c ELSE b END, CASE WHEN cuts THEN e1 + c ELSE e1 END,
+       CASE WHEN cuts THEN b END, CASE WHEN cuts THEN e1 - 7 + c END, CASE WHEN cuts THEN e1 END
+FROM (SELECT ticker, b, e1, CAST({cut} AS BIGINT) AS c,
+             e1 - b >= 14 AND abs({_slope('b', 'e1')} - {_slope('(e1 - 7)', 'e1')}) > 0.8 AS cuts
+      FROM (SELECT w.ticker, w.b, w.e + 1 AS e1, l.v, l.s, l.q FROM {name}_walk w JOIN {name}_lists l ON l.ticker = w.ticker WHERE len(l.v) - w.e >= 14))"""
+    PARTS[name] = f"""
+SELECT f.ticker, f.begins, f.ends, f.slope * date_diff('day', f.begins, f.ends) AS growth, f.slope AS regression_slope,
+       f.intercept AS regression_intercept, f.variance AS regression_variance
+FROM (SELECT w.ticker, min(r.ts) AS begins, max(CASE WHEN r.i = w.last THEN r.ts END) AS ends, regr_slope(y, r.i - w.head) AS slope,
+             regr_intercept(y, r.i - w.head) AS intercept,
+             (regr_syy(y, r.i - w.head) - pow(regr_slope(y, r.i - w.head), 2) * regr_sxx(y, r.i - w.head)) / count(*) AS variance
+      FROM {name}_walk w JOIN (SELECT ticker, ts, i, x FROM {name}_rows) r ON r.ticker = w.ticker AND r.i >= w.head AND r.i < w.stop
+      JOIN {name}_rows h ON h.ticker = w.ticker AND h.i = w.head CROSS JOIN LATERAL (SELECT (r.x / h.x - 1) * 100 AS y)
+      WHERE w.head IS NOT NULL GROUP BY w.ticker, w.head, w.last, w.stop) f"""
+
+
+segments("member_segments", "members_regular")
+segments("index_segments", "(SELECT 'INDEX' AS ticker, ts, price_change_avg FROM index_regular)")
+
 PARTS["points"] = """
 SELECT event_type || '/USD#1' AS ticker, user_id, ts, event_id, value, CAST(ts AS DATE) AS day FROM events"""
 
