@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickwise.llm.common import shuffle_partitions, text_or_empty
+from tickwise.llm.common import shuffle_partitions, small_batches, text_or_empty
 
 PARAGRAPHS = re.compile(r"[^\n]*\n|[^\n]+")
 SENTENCE_END = re.compile(r"[.!?]\s+")
@@ -184,6 +184,7 @@ def beside_next(df: DataFrame, key: str, text: str, body, schema: str) -> DataFr
     range is also sent to the range before, so one shuffle of the texts is enough and no task holds more than its sort buffer.
     """
     spark = df.sparkSession
+    small_batches(spark)
     rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit(LEAST_ID)).alias("__key"), F.col(key).isNull().alias("__null"), text_or_empty(text).alias("__text"))
     ranges = 8 * shuffle_partitions(spark)
     cuts = rows.agg(F.percentile_approx("__key", [i / ranges for i in range(1, ranges)], 20 * ranges).alias("c")).first()["c"]

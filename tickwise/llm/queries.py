@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickwise.llm import merkle, mixing, packing, pseudonyms, quality, sharding, simhash, templates, tokens, warc
-from tickwise.llm.common import stage, text_or_empty
+from tickwise.llm.common import small_batches, stage, text_or_empty
 from tickwise.session import fresh_path
 from tickwise.sources.tables import read
 
@@ -87,11 +87,13 @@ def mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def feistel(spark: SparkSession, d: str) -> DataFrame:
+    small_batches(spark)
     docs = read(spark, d, "documents")
     return docs.select("doc_id", pseudonyms.pseudonymise(F.col("text"), PSEUDONYM_KEY).alias("p")).select("doc_id", "p.*")
 
 
 def near_copies(spark: SparkSession, d: str) -> DataFrame:
+    small_batches(spark)
     docs = read(spark, d, "documents")
     prints = stage(docs.select("doc_id", simhash.fingerprint(F.col("text"), words=3).alias("fp")), "fingerprints-of-rows")
     found = simhash.classes(prints, "doc_id", "fp")

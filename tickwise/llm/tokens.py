@@ -12,7 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickwise.llm.common import text_or_empty
+from tickwise.llm.common import small_batches, text_or_empty
 
 CACHE_SCHEMA = "version string, digest string, n_tokens long"
 
@@ -73,6 +73,7 @@ def encode_misses(df: DataFrame, text: str, tokenizer: Tokenizer, path: str) ->
     the partition in which the cache is looked up.
     """
     spark = df.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(tokenizer)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

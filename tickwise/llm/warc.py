@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickwise.llm.common import text_or_empty
+from tickwise.llm.common import small_batches, text_or_empty
 
 END = "\r\n"
 MARK = "WARC/1."
@@ -163,6 +163,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         if held is not None:
             yield pd.DataFrame([_parsed(archive, held, True)], columns=columns)
 
+    small_batches(spark)
     pieces = spark.read.option("lineSep", MARK).text(path).select(F.col("_metadata.file_path").alias("archive"), F.col("value").cast("binary").alias("piece"))
     return pieces.mapInPandas(records, RECORD)
 
