@@ -63,5 +63,12 @@ def test_daily_bars_filter_before_the_shuffle(spark):
 
 
 def test_newest_rows_combine_before_the_shuffle(spark):
-    df = series.newest_rows(tables.trades(spark, FOLDER), ["symbol"], ["market_ts", "trade_id"])
-    assert "partial_max_by" in plan(df) and shuffles(df) == 1
+    """The newest order is found by hash on the raw rows; only rows that have it are sorted."""
+    text = plan(series.newest_rows(tables.trades(spark, FOLDER), ["symbol"], ["market_ts", "trade_id"]))
+    assert "partial_max(_order" in text and "HashAggregate" in text
+    below = text[text.index("Join") :]
+    assert "SortAggregate" not in below
+
+
+def test_raw_trades_are_aggregated_by_hash(spark):
+    assert "SortAggregate" not in plan(registry.queries()["trade_windows"](spark, FOLDER))
