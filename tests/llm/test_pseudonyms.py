@@ -49,6 +49,12 @@ def test_look_alikes_stay():
         assert swapped(text) == text
 
 
+def test_neighbours_do_not_hide_each_other():
+    for text in ("+1 (826) 555-4081 190.137.223.20", "+1 843-555-7672 4111111111111111", "+49 30 901820 10.1.2.3", "1234567890123 4111111111111111", "4111 1111 1111 1111 5555555555554444"):
+        found = SWAP(text)[1]
+        assert sum(found.values()) == (1 if text.startswith("1234") else 2), (text, found)
+
+
 def test_equal_values_stay_linked():
     a, b = swapped("x 4111 1111 1111 1111, 2024-01-05"), swapped("y 4111-1111-1111-1111; 05.01.2024")
     assert re.sub(r"\D", "", a[: a.index(",")]) == re.sub(r"\D", "", b[: b.index(";")])

@@ -35,7 +35,7 @@ def test_only_distinct_misses_are_encoded(spark, docs, tokenizer):
     assert spark.read.parquet(path).count() == docs.select("text").distinct().count()
     again = spark.read.parquet(path)
     again.limit(20).write.mode("append").parquet(path)
-    assert rows.count() == docs.count()
+    assert tokens.token_counts(docs, "doc_id", "text", tokenizer, path).count() == docs.count()
 
 
 def test_another_tokenizer_has_its_own_counts(spark, docs, tokenizer):

@@ -166,11 +166,12 @@ PATTERN = re.compile(
     r"(?P<email>(?<![\w.+-])(?P<local>[A-Za-z0-9](?:[\w.+%-]{0,62}[\w+%-])?)@(?P<domain>(?:[\w-]+\.)+[A-Za-z]{2,}))"
     r"|(?P<secret>(?<![0-9A-Za-z])[0-9a-fA-F]{32,128}(?![0-9A-Za-z]))"
     r"|(?P<iban>(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![0-9A-Za-z]))"
-    r"|(?P<phone>(?<![\w+])(?P<country>\+[1-9][0-9]{0,2})[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9]))"
+    r"|(?P<phone>(?<![\w+])(?P<country>\+[1-9][0-9]{0,2})(?:(?<=\+1)[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}"
+    r"|[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:(?! [0-9]{1,3}(?:\.[0-9]{1,3}){3}| [0-9]{13})[ .-]?[0-9]{2,4}){1,4})(?![0-9]))"
     r"|(?P<ip>(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9]))"
     r"|(?P<date>(?<![0-9])(?:(?P<iy>(?:19|20)[0-9]{2})(?P<is>[-/.])(?P<im>[0-9]{2})(?P=is)(?P<id>[0-9]{2})"
     r"|(?P<a>[0-9]{2})(?P<s>[./])(?P<b>[0-9]{2})(?P=s)(?P<y>(?:19|20)[0-9]{2}))(?![0-9]))"
-    r"|(?P<card>(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]))"
+    r"|(?P<card>(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9]))"
 )
 #: Lines without any of these hold none of the kinds.
 HINT = re.compile(r"[0-9@]")

@@ -12,7 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickwise.llm.common import small_batches, text_or_empty
+from tickwise.llm.common import small_batches, stage, text_or_empty
 
 CACHE_SCHEMA = "version string, digest string, n_tokens long"
 
@@ -96,7 +96,7 @@ def token_counts(df: DataFrame, key: str, text: str, tokenizer: Tokenizer, path:
     """(key, n_bytes, n_tokens) of every row of ``df``, by way of the cache at ``path``.
 
     Null texts count as empty. Only digests travel when all texts are known: misses are
-    looked for first, and texts are read only if there are any. Rows of equal
+    looked for first, and texts are read only if there are any. Counts are those of the time of the call. Rows of equal
     key are all returned. The cache may be appended to by several runs at once.
     """
     spark = df.sparkSession
@@ -104,5 +104,6 @@ def token_counts(df: DataFrame, key: str, text: str, tokenizer: Tokenizer, path:
     unknown = digests.select("digest").join(read_cache(spark, path, tokenizer.version), "digest", "left_anti")
     if not unknown.isEmpty():
         encode_misses(df, text, tokenizer, path)
-    known = read_cache(spark, path, tokenizer.version)
+    # a stored table is shuffled on its own, so that the join can split a digest that many rows share
+    known = stage(read_cache(spark, path, tokenizer.version), "token-counts")
     return digests.join(known, "digest").select(F.col("__key").alias(key), "n_bytes", "n_tokens")
