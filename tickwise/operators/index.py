@@ -67,25 +67,20 @@ def cohort_sums(introduced: DataFrame) -> DataFrame:
 def cohort_levels(sums: DataFrame) -> DataFrame:
     """Index level at which each cohort enters: ``(introduction_day, level)``.
 
-    Only the days just before a new cohort matter.  Each keeps one row with its cohort
-    sums, and those rows go to one small forward substitution.  There are at most
-    (cohorts)² / 2 sums in them, and cohorts are bounded by the trading days of the
-    calendar, not by the bars.
+    Only the days just before a new cohort matter. They are found on one narrow row per
+    day; only their cohort sums go to one small forward substitution, at most (cohorts)² / 2 of
+    them, and cohorts are bounded by the trading days of the calendar, not by the bars.
     """
     opens = F.max(F.when((F.col("introduction_day") == F.col("day")) & F.col("known_level").isNull(), 1))
-    days = sums.groupBy("day").agg(
-        F.sum("members").alias("present"),
-        opens.alias("opens"),
-        F.collect_list(F.struct("introduction_day", "relatives", "known_level")).alias("parts"),
-    )
+    days = sums.groupBy("day").agg(F.sum("members").alias("present"), opens.alias("opens"))
     by = Window.partitionBy(F.lit("all")).orderBy("day")
-    before = days.select(
-        F.col("day").alias("cohort_day"),
-        "opens",
-        F.lag("present").over(by).alias("present"),
-        F.lag("parts").over(by).alias("parts"),
+    opened = days.select(
+        F.col("day").alias("cohort_day"), "opens", F.lag("day").over(by).alias("_before"), F.lag("present").over(by).alias("present")
+    ).filter(F.col("opens") == 1)
+    parts = sums.select(F.col("day").alias("_day"), "introduction_day", "relatives", "known_level")
+    terms = opened.join(parts, F.col("_before") == F.col("_day"), "left").select(
+        "cohort_day", "present", "introduction_day", "relatives", "known_level"
     )
-    terms = before.filter(F.col("opens") == 1).select("cohort_day", "present", F.inline_outer("parts"))
 
     def substitute(rows: pd.DataFrame) -> pd.DataFrame:
         known = rows.dropna(subset=["known_level"])

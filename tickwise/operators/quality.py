@@ -76,9 +76,18 @@ def check_columns(df: DataFrame, expected: list[str], label: str | None = None)
 
 
 def hold_out_tail(df: DataFrame, rows: int = 375, ts: str = "day", keys: list[str] | None = None) -> DataFrame:
-    """All but the last ``rows`` rows of each series, so that predictions meet unseen days."""
-    by = Window.partitionBy(*(keys or [F.lit("all")])).orderBy(F.desc(ts))
-    return df.withColumn("_from_end", F.row_number().over(by)).filter(F.col("_from_end") > rows).drop("_from_end")
+    """All but the last ``rows`` rows of each series, so that predictions meet unseen days.
+
+    Of one series, only the last times are sorted out, as a top-``rows`` of each task; rows
+    of the time at the cut go as well.
+    """
+    if keys:
+        by = Window.partitionBy(*keys).orderBy(F.desc(ts))
+        return df.withColumn("_from_end", F.row_number().over(by)).filter(F.col("_from_end") > rows).drop("_from_end")
+    if rows < 1:
+        return df
+    cut = df.select(F.col(ts).alias("_ts")).orderBy(F.desc("_ts")).limit(rows)
+    return df.filter(F.col(ts) < cut.select(F.min("_ts")).scalar())
 
 
 def throughput(df: DataFrame, ts: str = "market_ts", every: str = "1 minute") -> DataFrame:

@@ -7,13 +7,10 @@ parts a statement refers to, directly or through others, are written out.
 from __future__ import annotations
 
 import re
+from datetime import date, timedelta
 
-from tickwise.functions.calendar import FIXED_HOLIDAYS, FLOATING_HOLIDAYS, GOOD_FRIDAYS
-from tickwise.operators.drawdown import DIP_LEVELS
 from tickwise.operators.financials import AMOUNT_ITEMS, ITEMS
 from tickwise.operators.windows import (
-    DEVIATION_SCALE,
-    OUTLIER_WIDTH,
     QUOTE_DELTAS,
     QUOTE_METRICS,
     QUOTE_WINDOWS,
@@ -25,6 +22,24 @@ from tickwise.plans import features as feat
 from tickwise.plans.microstructure import AMOUNTS, QUOTE_FIELDS, TRADE_FIELDS, VWAPS
 from tickwise.plans.rounding import shown_sql
 
+# What the SQL states on its own, so that a wrong constant of the operators shows.
+OUTLIER_WIDTH, DEVIATION_SCALE = "4.0", "1.4826"
+DIP_LEVELS = {3: 97, 5: 95, 8: 92, 13: 87}
+FIXED_HOLIDAYS = ["01-01", "06-19", "07-04", "11-11", "12-24", "12-25"]
+#: Month, DuckDB's day of the week (Sunday 0), days of the month.
+FLOATING_HOLIDAYS = [(1, 1, "15 AND 21"), (2, 1, "15 AND 21"), (5, 1, "24 AND 31"), (9, 1, "1 AND 7"), (10, 1, "8 AND 14"), (11, 4, "22 AND 28")]
+
+
+def good_friday(year: int) -> str:
+    """Two days before Easter Sunday, by the Gregorian computus."""
+    century, golden = divmod(year, 100)[0], year % 19
+    moon = (19 * golden + century - century // 4 - (century - (century + 8) // 25 + 1) // 3 + 15) % 30
+    week = (32 + 2 * (century % 4) + 2 * (year % 100 // 4) - moon - year % 100 % 4) % 7
+    late = (golden + 11 * moon + 22 * week) // 451
+    month, day = divmod(moon + week - 7 * late + 114, 31)
+    return (date(year, month, day + 1) - timedelta(days=2)).isoformat()
+
+
 PRICES = ["open", "close", "high", "low", "avg"]
 CHANGES = [f"price_change_{p}" for p in PRICES] + ["prev_price_change_avg"]
 
@@ -50,13 +65,10 @@ def weekend(day: str) -> str:
 
 
 def holiday(day: str) -> str:
-    fixed = " OR ".join(f"(month({day}) = {m} AND day({day}) = {d})" for m, d in FIXED_HOLIDAYS)
-    floating = []
-    for m, weekday, nth in FLOATING_HOLIDAYS:
-        within = f"day({day}) BETWEEN {7 * nth - 6} AND {7 * nth}" if nth else f"day({day}) >= day(last_day({day})) - 7"
-        floating.append(f"(month({day}) = {m} AND dayofweek({day}) = {weekday - 1} AND {within})")
-    fridays = ", ".join(f"DATE '{d}'" for d in GOOD_FRIDAYS)
-    return f"({fixed} OR {' OR '.join(floating)} OR {day} IN ({fridays}))"
+    fixed = ", ".join(f"'{d}'" for d in FIXED_HOLIDAYS)
+    floating = [f"(month({day}) = {m} AND dayofweek({day}) = {weekday} AND day({day}) BETWEEN {days})" for m, weekday, days in FLOATING_HOLIDAYS]
+    fridays = ", ".join(f"DATE '{good_friday(y)}'" for y in range(2016, 2027))
+    return f"(strftime({day}, '%m-%d') IN ({fixed}) OR {' OR '.join(floating)} OR {day} IN ({fridays}))"
 
 
 def bank_day(day: str) -> str:
@@ -531,11 +543,11 @@ def statements() -> dict[str, str]:
     bands = {"a_low": "min(price_change_low)", "b_high": "max(price_change_high)"}
     last_day = utc("CAST(last_day(day) AS TIMESTAMP)")
     bar_checks = {
-        "opening_price": "price > 0",
-        "closing_price": "price > 0",
-        "high_price": "price * 1.01 > 0",
-        "low_price": "price * 0.99 > 0",
-        "volume_weighted_avg_price": "price > 0",
+        "opening_price": "CASE WHEN trade_id % 11 = 0 THEN 0 ELSE price END > 0",
+        "closing_price": "CASE WHEN trade_id % 13 = 0 THEN -price ELSE price END > 0",
+        "high_price": "CASE WHEN trade_id % 17 = 0 THEN NULL ELSE price END > 0",
+        "low_price": "CASE WHEN trade_id % 19 = 0 THEN 0 ELSE price END > 0",
+        "volume_weighted_avg_price": "CASE WHEN trade_id % 23 = 0 THEN -price ELSE price END > 0",
         "volume": "lot_size > 0",
     }
     universe_checks = {"ticker": "regexp_full_match(ticker, '[A-Z.]{1,5}')", "company": "trim(company) <> ''"}
@@ -638,9 +650,19 @@ FROM (SELECT *, min(sum_notional) OVER (PARTITION BY ticker) AS lo, max(sum_noti
         "route_messages": "SELECT route, count(*) AS messages, CAST(sum(event_id) AS BIGINT) AS ids FROM feed GROUP BY route",
         "decoded_trades": f"""
 SELECT event_type AS symbol, 'stock' AS asset, event_id AS trade_id, ts AS market_ts, {r('value', 'price')}, {r('k', 'lot_size')},
-       'X' AS exchange, 'USD' AS currency, 'A' AS tape FROM feed WHERE route = 'stock_trade' AND k <> 7""",
+       'X' AS exchange, 'USD' AS currency, 'A' AS tape FROM feed WHERE route = 'stock_trade' AND k NOT IN (7, 11, 13)""",
         "rejected_trades": """
-SELECT event_type AS symbol, event_id AS trade_id, 'settle_price' AS reasons FROM feed WHERE route = 'stock_trade' AND k = 7""",
+SELECT event_type AS symbol, event_id AS trade_id,
+       CASE k WHEN 7 THEN 'settle_price' WHEN 11 THEN 'market_ts_range' ELSE 'market_ts,ingest_ts,market_ts_range' END AS reasons
+FROM feed WHERE route = 'stock_trade' AND k IN (7, 11, 13)""",
+        "decoded_quotes": f"""
+SELECT event_type AS symbol, 'stock' AS asset, ts AS market_ts, {r('value', 'ask_price')}, {r('k', 'ask_lot')}, {r('value', 'bid_price')},
+       {r('k', 'bid_lot')}, 'A' AS tape FROM feed WHERE route = 'stock_quotation' AND k NOT IN (7, 11, 13)""",
+        "rejected_quotes": """
+SELECT event_type AS symbol,
+       CASE k WHEN 7 THEN 'bid_price,ask_price' WHEN 11 THEN 'market_ts_range' ELSE 'market_ts,ingest_ts,market_ts_range' END AS reasons,
+       count(*) AS quotes
+FROM feed WHERE route = 'stock_quotation' AND k IN (7, 11, 13) GROUP BY ALL""",
         "money_split": f"""
 SELECT o_orderkey AS id, CAST(trunc(o_totalprice) AS BIGINT) AS units,
        CAST(round((o_totalprice - trunc(o_totalprice)) * 1000000000) AS INTEGER) AS nanos, 'USD' AS currency,
@@ -650,7 +672,8 @@ SELECT o_orderkey AS id, CAST(trunc(o_totalprice) AS BIGINT) AS units,
 SELECT symbol AS ticker, trade_id, market_ts, {r('price * lot_size', 'total_trading_value')},
        {regular('market_ts')} AS regular_trading_hours FROM trades WHERE {' AND '.join(bar_checks.values())}""",
         "bar_rejections": f"""
-SELECT symbol AS ticker, trade_id, {_reasons(bar_checks)} AS reasons FROM trades WHERE NOT ({' AND '.join(bar_checks.values())})""",
+SELECT symbol AS ticker, trade_id, {_reasons(bar_checks)} AS reasons FROM trades
+WHERE NOT coalesce({' AND '.join(bar_checks.values())}, false)""",
         **{
             f"daily_bars{suffix}": f"""
 SELECT ticker, day, company, market_ts, {rs('opening_price', 'closing_price', 'high_price', 'low_price', 'volume_weighted_avg_price')},
@@ -681,10 +704,16 @@ SELECT 'company', company, count(*) FROM universe GROUP BY company HAVING count(
         "tickers_without_rows": """
 SELECT ticker, p_name FROM (SELECT CASE WHEN p_partkey % 7 = 0 THEN -p_partkey ELSE p_partkey END AS ticker, p_name FROM part)
 WHERE ticker NOT IN (SELECT l_partkey FROM lineitem)""",
-        "calendar": f"""
+        **{
+            name: f"""
 SELECT day, {weekend('day')} AS is_weekend, {holiday('day')} AS is_holiday, {bank_day('day')} AS is_bank_day,
        {seek('day', -1)} AS previous_bank_day, {seek('day', 1)} AS next_bank_day
-FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) AS day FROM lineitem)""",
+FROM (SELECT DISTINCT {days})"""
+            for name, days in (
+                ("calendar", "CAST(l_shipdate AS DATE) AS day FROM lineitem"),
+                ("calendar_later", "CAST(CAST(o_orderdate AS DATE) + 8766 AS DATE) AS day FROM orders"),
+            )
+        },
         "session_bounds": f"""
 SELECT day, CASE WHEN {bank_day('day')} THEN {utc("day + INTERVAL '9:30:00'")} END AS open_utc,
        CASE WHEN {bank_day('day')} THEN {utc("day + INTERVAL 16 HOUR")} - INTERVAL 1 MILLISECOND END AS close_utc,

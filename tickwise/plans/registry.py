@@ -138,7 +138,7 @@ def throughput(spark, d):
 
 
 def _frames(spark, d):
-    """Feed frames written from the events: trades, quotes and control messages."""
+    """Feed frames written from the events: trades, quotes and control messages, some without price or time, some from long ago."""
     e = tables.read(spark, d, "events").select(
         "event_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"),
         F.get_json_object("props", "$.k").cast("double").alias("k"),
@@ -148,9 +148,10 @@ def _frames(spark, d):
         .when(F.col("event_type") == "view", "x").otherwise("t")
     )
     price = F.when(F.col("k") != 7, F.col("value"))
+    sent = F.when(F.col("k") == 11, F.lit("1950-01-01").cast("timestamp")).when(F.col("k") != 13, F.col("ts"))
     body = F.struct(
         kind.alias("T"), F.col("event_type").alias("S"), F.col("event_id").alias("i"), F.lit("X").alias("x"),
-        price.alias("p"), F.col("k").alias("s"), F.col("ts").alias("t"), F.lit("A").alias("z"),
+        price.alias("p"), F.col("k").alias("s"), sent.alias("t"), F.lit("A").alias("z"),
         price.alias("ap"), F.col("k").alias("as"), price.alias("bp"), F.col("k").alias("bs"),
     )
     json = F.to_json(body, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
@@ -173,6 +174,16 @@ def decoded_trades(spark, d):
     return good.select("symbol", "asset", "trade_id", "market_ts", "price", "lot_size", "exchange", "currency", "tape")
 
 
+def decoded_quotes(spark, d):
+    good, _ = feed.decode_quotes(_envelopes(spark, d))
+    return good.select("symbol", "asset", "market_ts", "ask_price", "ask_lot", "bid_price", "bid_lot", "tape")
+
+
+def rejected_quotes(spark, d):
+    _, bad = feed.decode_quotes(_envelopes(spark, d))
+    return bad.select("symbol", F.concat_ws(",", "reasons").alias("reasons")).groupBy("symbol", "reasons").agg(F.count(F.lit(1)).alias("quotes"))
+
+
 def rejected_trades(spark, d):
     _, bad = feed.decode_trades(_envelopes(spark, d))
     return bad.select("symbol", "trade_id", F.concat_ws(",", "reasons").alias("reasons"))
@@ -208,11 +219,14 @@ def shared_tags(spark, d):
 
 
 def _raw_bars(spark, d):
+    """Bars of single trades, some with one price that is zero, negative or missing."""
+    broken = lambda n, value: F.when(F.col("trade_id") % n == 0, value)
+    price = F.col("price")
     return tables.trades(spark, d).select(
         F.col("symbol").alias("ticker"), "trade_id", "market_ts",
-        F.col("price").alias("opening_price"), F.col("price").alias("closing_price"),
-        (F.col("price") * 1.01).alias("high_price"), (F.col("price") * 0.99).alias("low_price"),
-        F.col("price").alias("volume_weighted_avg_price"), F.col("lot_size").alias("volume"),
+        broken(11, F.lit(0.0)).otherwise(price).alias("opening_price"), broken(13, -price).otherwise(price).alias("closing_price"),
+        broken(17, F.lit(None).cast("double")).otherwise(price * 1.01).alias("high_price"), broken(19, F.lit(0.0)).otherwise(price * 0.99).alias("low_price"),
+        broken(23, -price).otherwise(price).alias("volume_weighted_avg_price"), F.col("lot_size").alias("volume"),
     )
 
 
@@ -230,6 +244,11 @@ def _ship_days(spark, d):
     return tables.read(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("day")).distinct()
 
 
+def _later_days(spark, d):
+    """The order dates 24 years on, among them Good Fridays that the calendar lists."""
+    return tables.read(spark, d, "orders").select(F.date_add(F.to_date("o_orderdate"), 8766).alias("day")).distinct()
+
+
 def stale_tickers(spark, d):
     rows = tables.read(spark, d, "lineitem").select(
         F.col("l_suppkey").alias("ticker"), F.col("l_shipdate").cast("timestamp").alias("market_ts")
@@ -490,6 +509,8 @@ def queries() -> dict[str, Query]:
         "route_messages": route_messages,
         "decoded_trades": table(decoded_trades),
         "rejected_trades": rejected_trades,
+        "decoded_quotes": table(decoded_quotes),
+        "rejected_quotes": rejected_quotes,
         "money_split": table(money_split),
         # bars and calendar
         "bar_validation": table(bar_validation),
@@ -510,6 +531,7 @@ def queries() -> dict[str, Query]:
         "polling_hours": polling_hours,
         "report_periods": report_periods,
         "calendar": lambda s, d: cal.with_calendar(_ship_days(s, d)),
+        "calendar_later": lambda s, d: cal.with_calendar(_later_days(s, d)),
         "session_bounds": lambda s, d: cal.with_sessions(_ship_days(s, d)),
         "vix_forward_fill": table(_volatility),
         # index
