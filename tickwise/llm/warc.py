@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickwise.llm.common import small_batches, text_or_empty
+from tickwise.llm.common import small_batches, stage, text_or_empty
 
 END = "\r\n"
 MARK = "WARC/1."
@@ -54,6 +54,8 @@ def captures(pages: DataFrame, key: str, url: str, payload: str, least_bytes: in
         rows.filter(F.col("size") >= least_bytes).groupBy(F.col("digest").alias("d"), F.col("size").alias("s"))
         .agg(F.max("rank").alias("holder"), F.count("*").alias("n")).filter("n > 1").select("d", "s", "holder")
     )
+    # stored first, so that its size is known: if it is small, no payload moves
+    repeated = stage(repeated, "warc-repeated")
     rows = rows.join(repeated, (F.col("digest") == F.col("d")) & (F.col("size") == F.col("s")), "left")
     key_ = F.coalesce(F.col("key"), F.lit("null"))
     name = lambda part, k=key_: F.concat(F.lit("<urn:page:"), k, F.lit(f":{part}>"))
