@@ -25,6 +25,7 @@ TRADE_FIELDS = {
 }
 VWAPS = ["vwap_ask", "vwap_bid", "vwap_price"]
 RATES = ["agree_score", "ask_change_rate", "bid_change_rate", "concession", "imbalance", "mid_change", "spread_change", "trade_position"]
+MOVES = ["ask_change", "bid_change", "spread"]
 AMOUNTS = ["ask_notional", "bid_notional", "trade_notional", "ask_quantity", "bid_quantity", "trade_quantity"]
 
 
@@ -153,8 +154,8 @@ def microstructure_primitives(quotes: DataFrame, trades: DataFrame, **options) -
 
 
 def metric_series(metrics: DataFrame, name: str, cumulative: bool = False) -> DataFrame:
-    """One metric as a long series; rates may be summed up over time per ticker."""
-    value = cumulative_sum(name, ["ticker"]) if cumulative and name not in AMOUNTS else F.col(name)
+    """One metric as a long series; rates and moves may be summed up over time per ticker, levels and amounts may not."""
+    value = cumulative_sum(name, ["ticker"]) if cumulative and name in RATES + MOVES else F.col(name)
     return metrics.select("ts", "ticker", F.lit(name).alias("field"), value.cast("double").alias("value"))
 
 

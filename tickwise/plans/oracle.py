@@ -220,6 +220,16 @@ FROM {source}_1"""
 PARTS["moved_1"], PARTS["moved_2"] = metrics("moved")
 PARTS["lagged_1"], PARTS["lagged_2"] = metrics("lagged")
 
+# Windows of one minute, averaged over steps of a quarter of an hour.
+PARTS["stepped"] = f"""
+SELECT ticker, {bucket('15 minutes', 'ts')} + INTERVAL 15 MINUTE AS ts,
+       {', '.join(f'avg({c}) AS {c}' for c in [*QUOTE_FIELDS.values(), *TRADE_FIELDS.values()])}
+FROM nonzero GROUP BY 1, 2"""
+PARTS["stepped_complete"] = f"SELECT * FROM stepped WHERE {' AND '.join(f'{c} IS NOT NULL' for c in VWAPS + AMOUNTS)}"
+PARTS["stepped_previous"] = PARTS["previous"].replace("FROM complete", "FROM stepped_complete")
+PARTS["stepped_moved"] = PARTS["moved"].replace("FROM previous", "FROM stepped_previous")
+PARTS["stepped_moved_1"], PARTS["stepped_moved_2"] = metrics("stepped_moved")
+
 PARTS["from_open"] = f"""
 SELECT ticker, ts, {', '.join(f"{pct(c, f'first_value({c} IGNORE NULLS) OVER w')} AS {c}" for c in VWAPS)}
 FROM nonzero WINDOW w AS (PARTITION BY ticker ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"""
@@ -228,6 +238,10 @@ PARTS["primitives"] = f"""
 SELECT *, {', '.join(f'lag({c}) OVER w AS prev_{c}' for c in VWAPS)} FROM from_open
 WHERE {' AND '.join(f'{c} IS NOT NULL' for c in VWAPS)} WINDOW w AS (PARTITION BY ticker ORDER BY ts)"""
 
+PARTS["primitive_moves"] = f"""
+SELECT ts, ticker, prev_vwap_ask - vwap_ask AS ask_change, vwap_ask - vwap_bid AS spread, (vwap_bid + vwap_ask) / 2 AS mid
+FROM primitives WHERE vwap_price - prev_vwap_price <> 0 AND {' AND '.join(f'prev_{c} <> 0' for c in VWAPS)}"""
+
 PARTS["pressure"] = """
 SELECT window_end_time AS ts, ticker,
        bid_price_at_window_end - lag(bid_price_at_window_end) OVER w AS db,
@@ -597,7 +611,7 @@ SELECT ticker, w + INTERVAL 6 HOUR AS window_end_time, side, {r('max(median)', '
         "trade_deltas": _deltas("tw", TRADE_METRICS, TRADE_DELTAS),
         "quote_deltas": _deltas("qw", QUOTE_METRICS, QUOTE_DELTAS),
         "microstructure_metrics": f"SELECT {_metric_columns()} FROM moved_2",
-        "microstructure_stepped": f"SELECT * REPLACE (ts + INTERVAL 15 MINUTE AS ts) FROM (SELECT {_metric_columns()} FROM moved_2)",
+        "microstructure_stepped": f"SELECT * EXCLUDE (agree) FROM (SELECT {_metric_columns()} FROM stepped_moved_2)",
         "microstructure_cumulative": f"""
 SELECT ts, ticker, 'mid_change' AS field, {r('sum(concession * 0.5) OVER (PARTITION BY ticker ORDER BY ts)', 'value')} FROM moved_2""",
         "microstructure_lagged": f"SELECT {_metric_columns()} FROM lagged_2",
@@ -605,6 +619,11 @@ SELECT ts, ticker, 'mid_change' AS field, {r('sum(concession * 0.5) OVER (PARTIT
 SELECT ts, ticker, {rs(*VWAPS)}, {rs(*[f'prev_{c}' for c in VWAPS])}, {r('prev_vwap_ask - vwap_ask', 'ask_change')},
        {r('vwap_bid - prev_vwap_bid', 'bid_change')}, {r('vwap_ask - vwap_bid', 'spread')}, {r('(vwap_bid + vwap_ask) / 2', 'mid')}
 FROM primitives WHERE vwap_price - prev_vwap_price <> 0 AND {' AND '.join(f'prev_{c} <> 0' for c in VWAPS)}""",
+        "primitives_cumulative": f"""
+SELECT ts, ticker, field, {r('value')} FROM (
+  SELECT ts, ticker, 'ask_change' AS field, sum(ask_change) OVER (PARTITION BY ticker ORDER BY ts) AS value FROM primitive_moves
+  UNION ALL SELECT ts, ticker, 'spread', sum(spread) OVER (PARTITION BY ticker ORDER BY ts) FROM primitive_moves
+  UNION ALL SELECT ts, ticker, 'mid', mid FROM primitive_moves)""",
         "bid_ask_ratio": f"""
 SELECT window_end_time AS ts, ticker,
        {r('tanh((sum_bid_notional - sum_ask_notional) / nullif(sum_bid_notional + sum_ask_notional, 0))', 'value')} FROM qw""",
@@ -898,7 +917,9 @@ SELECT ticker, day, {r('price_change_avg')}, strftime(day, '%Y-%m') AS month FRO
 WHERE day < DATE '{limit}'"""
     out["stale_mark"] = """
 SELECT CAST(least((SELECT min(o_orderdate) FROM orders), (SELECT min(l_shipdate) FROM lineitem)) AS DATE) AS stale_from"""
-    return {name: assemble(body) for name, body in out.items()}
+    found = {name: assemble(body) for name, body in out.items()}
+    found["microstructure_stepped"] = found["microstructure_stepped"].replace("INTERVAL '6 hours'", "INTERVAL '1 minute'").replace("INTERVAL 6 HOUR", "INTERVAL 1 MINUTE")
+    return found
 
 
 def _slope(begin: str, end: str) -> str:

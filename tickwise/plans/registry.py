@@ -6,7 +6,7 @@ Doubles are shown in single precision, so that results compare by value.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,11 +96,28 @@ def window_medians(spark, d):
     )
 
 
+def microstructure_stepped(spark, d):
+    """Windows of one minute, averaged over the quarter-hour steps of a week's look-back.
+
+    Most steps hold one trade, whose position is zero but for the last bit, so whether the signs agree is left out.
+    """
+    quotes = windows.quote_windows(tables.quotes(spark, d), "1 minute")
+    trades = windows.trade_windows(tables.trades(spark, d), "1 minute")
+    return ms.microstructure_metrics(quotes, trades, look_back="-7d").drop("agree")
+
+
 def microstructure_cumulative(spark, d):
     metrics = ms.microstructure_metrics(_quote_windows(spark, d), _trade_windows(spark, d))
     return ms.metric_series(metrics, "mid_change", cumulative=True)
 
 
+def primitives_cumulative(spark, d):
+    """The changes summed up over time, and a level, which isn't."""
+    rows = ms.microstructure_primitives(_quote_windows(spark, d), _trade_windows(spark, d))
+    names = ["ask_change", "spread", "mid"]
+    return reduce(DataFrame.unionByName, [ms.metric_series(rows, x, cumulative=True) for x in names])
+
+
 def line_protocol(spark, d):
     rows = _trade_windows(spark, d)
     fields = [c for c in rows.columns if c != "ticker"]
@@ -486,10 +503,11 @@ def queries() -> dict[str, Query]:
         "trade_deltas": table(lambda s, d: windows.trade_deltas(_trade_windows(s, d))),
         "quote_deltas": on_quotes(windows.quote_deltas),
         "microstructure_metrics": on_both(ms.microstructure_metrics),
-        "microstructure_stepped": on_both(ms.microstructure_metrics, look_back="-7d"),
+        "microstructure_stepped": table(microstructure_stepped),
         "microstructure_cumulative": table(microstructure_cumulative),
         "microstructure_lagged": on_both(ms.microstructure_lagged, step_seconds=6 * 3600),
         "microstructure_primitives": on_both(ms.microstructure_primitives),
+        "primitives_cumulative": table(primitives_cumulative),
         "bid_ask_ratio": on_quotes(ms.bid_ask_ratio),
         "bid_ask_ratio_basket": on_quotes(ms.bid_ask_ratio, by_ticker=False),
         "institutional_pressure": on_quotes(ms.institutional_pressure, closing=True),
