@@ -915,6 +915,18 @@ FROM orders GROUP BY ALL"""
 SELECT ticker, day, {r('price_change_avg')}, strftime(day, '%Y-%m') AS month FROM (
   SELECT ticker, day, price_change_avg FROM members_regular UNION ALL SELECT 'INDEX', day, price_change_avg FROM index_regular)
 WHERE day < DATE '{limit}'"""
+    out["statement_lookup"] = "SELECT * FROM quarter_reports WHERE ticker = 'BUILDING' AND report_period = '1998Q2'"
+    out["renamed_fields"] = " UNION ALL ".join(
+        f"SELECT ticker, window_end_time, '{name}' AS _field, {r(c, '_value')} FROM tw"
+        for c, name in (("volume_weighted_avg_price", "vwap_price"), ("sum_notional", "trade_notional"), ("max_price", "max_price"))
+    )
+    out["bank_day_range"] = f"""
+SELECT day FROM (SELECT CAST(unnest(generate_series(min(o_orderdate), max(o_orderdate), INTERVAL 1 DAY)) AS DATE) AS day FROM orders)
+WHERE {bank_day('day')}"""
+    out["index_level_anchored"] = f"""
+SELECT ts, value FROM ({out['index_level'].strip()})
+UNION ALL SELECT TIMESTAMP '2002-01-01', x FROM (VALUES (CAST(0.0 AS DOUBLE)), (CAST(2.5 AS DOUBLE))) t(x)"""
+    out["epochs"] = "SELECT event_id, CAST(CAST(floor(epoch(ts)) AS BIGINT) * 1000 AS DOUBLE) AS millis FROM events"
     out["stale_mark"] = """
 SELECT CAST(least((SELECT min(o_orderdate) FROM orders), (SELECT min(l_shipdate) FROM lineitem)) AS DATE) AS stale_from"""
     found = {name: assemble(body) for name, body in out.items()}

@@ -479,6 +479,38 @@ def new_report_periods(spark, d):
     return fin.new_periods(reports, stored).select("ticker", "report_period", "revenue", "eps_basic")
 
 
+def statement_lookup(spark, d):
+    return fin.statements(_reports(spark, d, "Q"), "BUILDING", "1998Q2")
+
+
+# --- dashboard parts ---------------------------------------------------------
+
+
+def renamed_fields(spark, d):
+    rows = _trade_windows(spark, d)
+    long = series.to_long(rows, ["ticker", "window_end_time"], ["volume_weighted_avg_price", "sum_notional", "max_price"])
+    return ms.renamed_fields(long)
+
+
+def bank_day_range(spark, d):
+    """The bank days from the first to the last order."""
+    days = tables.read(spark, d, "orders").agg(F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last"))
+    first, last = days.select(F.to_date("first").cast("string"), F.to_date("last").cast("string")).first()
+    return cal.bank_days(days, first, last)
+
+
+def index_level_anchored(spark, d):
+    levels = mi.index_level(_index(spark, d)).select("ts", "value")
+    return ms.with_anchors(levels, [0.0, 2.5], F.lit("2002-01-01").cast("timestamp"))
+
+
+def epochs(spark, d):
+    """Event times as epochs of four resolutions, brought back to milliseconds."""
+    seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
+    scale = F.element_at(F.array(*[F.lit(10**n).cast("long") for n in (0, 3, 6, 9)]), (F.col("event_id") % 4 + 1).cast("int"))
+    return tables.read(spark, d, "events").select("event_id", scalar.epoch_to_millis(seconds * scale).alias("millis"))
+
+
 def queries() -> dict[str, Query]:
     def table(fn) -> Query:
         return lambda spark, d: rounded(fn(spark, d))
@@ -608,6 +640,12 @@ def queries() -> dict[str, Query]:
         "financial_quarters": table(partial(financial_periods, "Q")),
         "financial_years": table(partial(financial_periods, "A")),
         "new_report_periods": table(new_report_periods),
+        "statement_lookup": table(statement_lookup),
+        # dashboard parts
+        "renamed_fields": table(renamed_fields),
+        "bank_day_range": bank_day_range,
+        "index_level_anchored": table(index_level_anchored),
+        "epochs": epochs,
         # stored tables
         "stored_upsert": table(stored.upserted),
         "stored_delete": table(stored.deleted),
