@@ -53,6 +53,17 @@ def test_train_save_load_predict(table, tmp_path):
     assert feat.FORWARD_FIVE_WEEKS.result_measurement == "forward-max-drawdown-prediction-results-five-weeks"
 
 
+def test_training_again_gives_the_same_model(table):
+    runs = [feat.predict(table, feat.train(table, feat.NEXT_BANK_DAY, rounds=3), feat.NEXT_BANK_DAY).orderBy("day").collect() for _ in range(2)]
+    assert runs[0] == runs[1]
+
+
+def test_hold_out_of_one_series(spark):
+    df = spark.createDataFrame([(date(2020, 1, 1) + timedelta(i),) for i in range(9)], "day date")
+    assert sorted(r.day.day for r in quality.hold_out_tail(df, 4).collect()) == [1, 2, 3, 4, 5]
+    assert quality.hold_out_tail(df, 0).count() == 9 and quality.hold_out_tail(df, 20).count() == 0
+
+
 def test_hold_out_per_series(spark):
     df = spark.createDataFrame([(s, date(2020, 1, 1) + timedelta(i)) for s in "ab" for i in range(5)], "s string, day date")
     assert quality.hold_out_tail(df, 3, keys=["s"]).count() == 4
