@@ -49,6 +49,9 @@ def contents(counts, capacities, cost_of=packing.cost):
         until = min(following, default=counts[length])
         for q in range(until - rank):
             found[first + q // each].append((offset + q % each * length, length))
+    assert sorted((n, *x) for n, found in bins.placed(counts).items() for x in found) == sorted(
+        {(n, r, b, e, o, c) for n, found in bins.placed(counts).items() for r, b, e, o, c in found}
+    )
     sizes = {first + i: content for first, n, content in bins.filled for i in range(n)}
     for number, items in found.items():
         at = 0

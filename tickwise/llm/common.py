@@ -17,11 +17,15 @@ BLANK_RUN = "[ \\t-\\r]+"
 SPREAD = 1 << 28
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: later jobs see the same rows, whatever executor goes."""
+def stage(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """``df`` written to the shared folder and read again: later jobs see the same rows, whatever executor goes.
+
+    ``narrow`` tables (ids and numbers, no texts) are dealt out evenly to one file a core, since
+    a file for each task of the scan would be tiny.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    (df.repartition(spark.sparkContext.defaultParallelism) if narrow else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

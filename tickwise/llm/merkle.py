@@ -9,6 +9,7 @@ from hashlib import blake2b, sha256
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -196,7 +197,9 @@ def beside_next(df: DataFrame, key: str, text: str, body, schema: str) -> DataFr
 
     # at most one row a range, and the number of ranges is set above
     heads = sorted((r["n"], r["k"]) for r in rows.select(range_of("__key").alias("n"), "__key").groupBy("n").agg(F.min("__key").alias("k")).collect())
-    before = spark.createDataFrame([(k, heads[i - 1][0]) for i, (_, k) in enumerate(heads)], "head long, before int")
+    before = spark.createDataFrame(
+        pa.table({"head": pa.array([k for _, k in heads], pa.int64()), "before": pa.array([heads[i - 1][0] for i in range(len(heads))], pa.int32())})
+    )
     own = F.struct(F.col("__range").alias("range"), F.lit(0).alias("extra"))
     sent = F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("before").alias("range"), F.lit(1).alias("extra"))))
     dealt = (

@@ -7,9 +7,9 @@ import random
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tickwise.llm.common import running, spread, stage, text_or_empty, words_of
 
@@ -19,7 +19,7 @@ class Share:
     """One source of a mix: its size, its target, and how its blocks go to the shards."""
 
     source: str | None
-    size: int
+    source_size: int
     target: float
     blocks: int
     step: int
@@ -111,12 +111,17 @@ def draws(
         named = sorted(s for s in totals if s is not None) + [None]
         weights = {s: (5, 2, 1)[i % 3] for i, s in enumerate(named)}
     shares = plan(totals, weights, most, shards, block, seed)
-    schema = T.StructType(
-        [T.StructField("i", T.IntegerType()), T.StructField("s", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())]
-        + [T.StructField(x, T.LongType()) for x in ("blocks", "step", "start")]
-        + [T.StructField("upto", T.ArrayType(T.LongType()))]
+    numbers = ("source_size", "target", "blocks", "step", "start")
+    table = spark.createDataFrame(
+        pa.table(
+            {
+                "i": pa.array(range(len(shares)), pa.int32()),
+                "s": pa.array([x.source for x in shares], pa.string()),
+                **{n: pa.array([getattr(x, n) for x in shares], pa.float64() if n == "target" else pa.int64()) for n in numbers},
+                "upto": pa.array([list(x.upto) for x in shares], pa.list_(pa.int64())),
+            }
+        )
     )
-    table = spark.createDataFrame([(i, x.source, x.size, x.target, x.blocks, x.step, x.start, list(x.upto)) for i, x in enumerate(shares)], schema)
     # one row a source and as many numbers as shards: as small as the list of weights
     rows = sized.select(F.col(key).alias("__id"), F.col(source).alias("__source"), F.col(size).cast("long").alias("__size"))
     planned = rows.join(F.broadcast(table), F.col("__source").eqNullSafe(F.col("s")))
@@ -148,7 +153,7 @@ def mixed(df: DataFrame, key: str, source: str, text: str, **parameters) -> Data
     ``key`` must be unique; rows that share one are drawn as often as each other
     row of the key together.
     """
-    sized = stage(df.select(key, source, n_words(text).alias("__words")), "mix-sizes")
+    sized = stage(df.select(key, source, n_words(text).alias("__words")), "mix-sizes", narrow=True)
     chosen = draws(sized, key, source, "__words", **parameters).select(F.col(key).alias("__id"), F.explode("draws").alias("__draw"))
     joined = df.join(chosen, F.col(key).eqNullSafe(F.col("__id")))
     shuffled = joined.repartition("__draw.shard", "__draw.block").sortWithinPartitions("__draw.shard", "__draw.position")

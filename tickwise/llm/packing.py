@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +56,21 @@ class Bins:
         self.filled = sorted((first, bins, capacity - room) for room, first, bins, capacity in self.rooms)
         return self
 
+    def placed(self, counts: dict[int, int]) -> dict[int, list[tuple[int, int, int, int, int]]]:
+        """Per length its slots: (rank of the first item, first bin, items a bin, offset, capacity), cut where bins end up in other sizes."""
+        starts = [first for first, _, _ in self.filled]
+        out: dict[int, list] = {}
+        slots = sorted(self.slots)
+        for (length, rank, first, each, offset), following in zip(slots, [*slots[1:], None]):
+            until = following[1] if following and following[0] == length else counts[length]
+            number, last = first, first + (until - rank) // each
+            at = bisect_right(starts, first) - 1
+            while number < last:
+                start, bins, content = self.filled[at]
+                out.setdefault(length, []).append((rank + (number - first) * each, number, each, offset, self.downsized(content)))
+                number, at = min(last, start + bins), at + 1
+        return out
+
     def _open(self, length: int, items: int) -> None:
         """Opens bins of the size whose filling costs least per token, as many as these items need at most."""
         size = min((c for c in self.capacities if c >= length), key=lambda c: (self._rate(c, length, items), c))
@@ -111,28 +125,25 @@ def pack(
     spark = df.sparkSession
     largest = max(capacities)
     cut = pieces(df, key, length, largest).withColumn("__spread", spread(F.col("key"), F.col("piece")))
-    cut = stage(cut, "pieces")
+    cut = stage(cut, "pieces", narrow=True)
     counts = {int(r["length"]): int(r["count"]) for r in cut.groupBy("length").count().collect()}
     bins = Bins(counts, capacities, cost_of).run()
     ranked = running(cut, "length", "__spread", ["key", "piece"], into="__rank")
 
-    # slots: their number depends on the largest capacity, not on the rows
-    slots = sorted(bins.slots)
-    keys = np.array([(n << 44) + rank for n, rank, *_ in slots], np.int64)
-    values = np.array([x[1:] for x in slots], np.int64).reshape(-1, 4)
-    firsts = np.array([f for f, _, _ in bins.filled], np.int64)
-    sizes = np.array([bins.downsized(content) if content else 0 for _, _, content in bins.filled], np.int64)
-    shared = spark.sparkContext.broadcast((keys, values, firsts, sizes))
-
-    @F.pandas_udf("bin long, capacity long, offset long")
-    def place(n: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        keys, values, firsts, sizes = shared.value
-        n, rank = n.to_numpy(np.int64), rank.to_numpy(np.int64)
-        slot = values[np.searchsorted(keys, (n << 44) + rank, "right") - 1]
-        order = rank - slot[:, 0]
-        number = slot[:, 1] + order // slot[:, 2]
-        capacity = sizes[np.searchsorted(firsts, number, "right") - 1]
-        return pd.DataFrame({"bin": number, "capacity": capacity, "offset": slot[:, 3] + order % slot[:, 2] * n})
-
-    placed = ranked.withColumn("__p", place(F.col("length"), F.col("__rank")))
-    return placed.select(F.col("key").alias(key), "piece", "start", "length", "__p.bin", "__p.capacity", "__p.offset")
+    # a row a length; the number of slots depends on the largest capacity, not on the rows
+    table = spark.createDataFrame(_slot_table(bins.placed(counts)))
+    found = ranked.join(F.broadcast(table), F.col("length") == F.col("__length"))
+    found = found.withColumn("__slot", F.array_max(F.filter("__slots", lambda x: x["rank"] <= F.col("__rank"))))
+    order, each = F.col("__rank") - F.col("__slot.rank"), F.col("__slot.each")
+    return found.select(
+        F.col("key").alias(key), "piece", "start", "length",
+        (F.col("__slot.bin") + ((order - order % each) / each).cast("long")).alias("bin"),
+        F.col("__slot.capacity").alias("capacity"),
+        (F.col("__slot.offset") + order % each * F.col("length")).alias("offset"),
+    )
+
+
+def _slot_table(slots: dict[int, list[tuple]]) -> pa.Table:
+    slot = pa.struct([(x, pa.int64()) for x in ("rank", "bin", "each", "offset", "capacity")])
+    rows = [[dict(zip(("rank", "bin", "each", "offset", "capacity"), x)) for x in found] for found in slots.values()]
+    return pa.table({"__length": pa.array(list(slots), pa.int64()), "__slots": pa.array(rows, pa.list_(slot))})

@@ -62,7 +62,7 @@ def read_cache(spark: SparkSession, path: str, version: str) -> DataFrame:
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error.getCondition()):
             raise
-        stored = spark.createDataFrame([], CACHE_SCHEMA)
+        stored = spark.range(0).selectExpr("'' AS version", "'' AS digest", "id AS n_tokens")
     return stored.filter(F.col("version") == version).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
 
 
@@ -105,5 +105,5 @@ def token_counts(df: DataFrame, key: str, text: str, tokenizer: Tokenizer, path:
     if not unknown.isEmpty():
         encode_misses(df, text, tokenizer, path)
     # a stored table is shuffled on its own, so that the join can split a digest that many rows share
-    known = stage(read_cache(spark, path, tokenizer.version), "token-counts")
+    known = stage(read_cache(spark, path, tokenizer.version), "token-counts", narrow=True)
     return digests.join(known, "digest").select(F.col("__key").alias(key), "n_bytes", "n_tokens")
