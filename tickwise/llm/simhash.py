@@ -60,13 +60,17 @@ def hexed(fp: Column) -> Column:
 # --- links ------------------------------------------------------------------
 
 
-def _masks(max_distance: int, extra: int) -> list[int]:
-    """Masks of the bits that two fingerprints may share.
+#: Fingerprints are linked up to this distance; ``links`` relies on it being 2.
+DISTANCE = 2
 
-    The 64 bits are cut into ``max_distance + 1 + extra`` blocks. Fingerprints that
-    differ in at most ``max_distance`` bits share all bits of some ``1 + extra`` blocks.
+
+def _masks(extra: int) -> list[int]:
+    """Masks of the bits that two close fingerprints may share.
+
+    The 64 bits are cut into ``DISTANCE + 1 + extra`` blocks. Fingerprints that
+    differ in at most ``DISTANCE`` bits share all bits of some ``1 + extra`` blocks.
     """
-    count = max_distance + 1 + extra
+    count = DISTANCE + 1 + extra
     edges = [round(i * BITS / count) for i in range(count + 1)]
     blocks = [sum(1 << b for b in range(lo, hi)) for lo, hi in zip(edges, edges[1:])]
     return [sum(chosen) for chosen in combinations(blocks, 1 + extra)]
@@ -76,29 +80,26 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(fps: DataFrame, max_distance: int = 2, extra: int = 2, pair_limit: int = 32) -> DataFrame:
-    """Links (a, b) between different fingerprints that differ in at most ``max_distance`` bits, so that
+def links(fps: DataFrame, extra: int = 2, pair_limit: int = 32) -> DataFrame:
+    """Links (a, b) between different fingerprints that differ in one or two bits, so that
     all fingerprints that such steps connect are connected.
 
     ``fps`` has one row per distinct ``fp``. Each is listed under its blocks' bits;
     those that share a block are joined and their Hamming distance is verified.
     A block shared by more than ``pair_limit`` fingerprints isn't paired: since these differ in
-    the other bits alone, each is listed under itself and all its neighbours
-    within half the distance in those bits, and two are close exactly if they meet there; each meeting place
-    links its members to their least. Nothing is left out, and work per fingerprint is bounded.
-    ``max_distance`` must be even there, which ``links`` sees to by asking for 2.
+    the other bits alone, each is listed under itself and under what flipping one of those bits gives, and
+    two are close exactly if they meet there (one bit from each, or two from one); a meeting place
+    links its members, at most 65, to their least. Nothing is left out, and work per fingerprint is bounded.
     """
-    if max_distance != 2:
-        raise ValueError("blocks are laid out for a distance of 2")
-    masks = _masks(max_distance, extra)
+    masks = _masks(extra)
     listed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("block"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for i, m in enumerate(masks)])).alias("k"))
-    listed = stage(listed.select("fp", "k.block", "k.bits"), "blocks")
+    listed = stage(listed.select("fp", "k.block", "k.bits"), "blocks", narrow=True)
     sizes = listed.groupBy("block", "bits").agg(F.count("*").alias("members")).filter("members > 1")
-    shared = stage(listed.join(sizes, ["block", "bits"]), "shared-blocks")
+    shared = stage(listed.join(sizes, ["block", "bits"]), "shared-blocks", narrow=True)
 
     few = shared.filter(F.col("members") <= pair_limit).select("block", "bits", "fp")
     paired = few.alias("l").join(few.alias("r"), ["block", "bits"]).filter("l.fp < r.fp")
-    close = paired.filter(F.bit_count(F.col("l.fp").bitwiseXOR(F.col("r.fp"))) <= max_distance)
+    close = paired.filter(F.bit_count(F.col("l.fp").bitwiseXOR(F.col("r.fp"))) <= DISTANCE)
     close = close.select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
 
     flips = F.element_at(
@@ -119,7 +120,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     to the least of them, until no link changes; each step is stored. A node's
     neighbours are never gathered, only their minimum is.
     """
-    edges = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
+    edges = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links", narrow=True)
     state = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -128,7 +129,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("x"), F.col("m").alias("y"), "u")
         step = small.select(F.col("x").alias("u"), F.col("y").alias("v")).unionByName(small.select("u", F.col("y").alias("v")))
-        edges = stage(step.filter("u <> v").distinct(), "links")
+        edges = stage(step.filter("u <> v").distinct(), "links", narrow=True)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
@@ -139,7 +140,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return roots.select(F.col("u").alias("node"), "root").unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def classes(df: DataFrame, id_: str, fp: str, max_distance: int = 2) -> DataFrame:
+def classes(df: DataFrame, id_: str, fp: str) -> DataFrame:
     """(id, fp, component_id): the least id that links between fingerprints reach, itself included.
 
     Equal fingerprints are one node, so copies cost nothing. Null ids can't be named:
@@ -147,8 +148,8 @@ def classes(df: DataFrame, id_: str, fp: str, max_distance: int = 2) -> DataFram
     (null if all are null). Rows of equal id are all returned.
     """
     rows = df.select(F.col(id_).alias("__id"), F.col(fp).alias("fp"))
-    nodes = stage(rows.groupBy("fp").agg(F.min("__id").alias("first")), "fingerprints")
-    found = components(links(nodes.select("fp"), max_distance))
+    nodes = stage(rows.groupBy("fp").agg(F.min("__id").alias("first")), "fingerprints", narrow=True)
+    found = components(links(nodes.select("fp")))
     rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select(F.col("fp").alias("__fp"), "component_id")
