@@ -81,7 +81,7 @@ def path_templates(spark: SparkSession, d: str) -> DataFrame:
 
 def mix(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents")
-    sized = stage(docs.select("doc_id", "source", mixing.n_words("text").alias("size")), "sizes")
+    sized = stage(docs.select("doc_id", "source", mixing.n_words("text").alias("size")), "sizes", narrow=True)
     drawn = mixing.draws(sized, "doc_id", "source", "size")
     return drawn.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).cast("long").alias("taken"))
 
@@ -95,15 +95,15 @@ def feistel(spark: SparkSession, d: str) -> DataFrame:
 def near_copies(spark: SparkSession, d: str) -> DataFrame:
     small_batches(spark)
     docs = read(spark, d, "documents")
-    prints = stage(docs.select("doc_id", simhash.fingerprint(F.col("text"), words=3).alias("fp")), "fingerprints-of-rows")
+    prints = stage(docs.select("doc_id", simhash.fingerprint(F.col("text"), words=3).alias("fp")), "fingerprints-of-rows", narrow=True)
     found = simhash.classes(prints, "doc_id", "fp")
     return found.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def adaptive_rules(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents")
-    rows = stage(quality.with_measures(docs, "text").select("doc_id", "lang", "source", "measures"), "measures")
-    limits = quality.thresholds(quality.sketches(rows, "measures", "lang", "source", quality.Rules()))
+    rows = stage(quality.with_measures(docs, "text").select("doc_id", "lang", "source", "measures"), "measures", narrow=True)
+    limits = stage(quality.thresholds(quality.sketches(rows, "measures", "lang", "source", quality.Rules())), "limits", narrow=True)
     return quality.judged(rows, "measures", "lang", "source", limits).select("doc_id", "measures.*", "base_failed", "kept")
 
 

@@ -79,7 +79,7 @@ def assign(df: DataFrame, key: Sequence[str], weights: Sequence[float], grown: S
     first, second = F.col("__first"), F.col("__second")
     placed = hashed.withColumn("__of", shards_of(first, second, weights, grown, seed))
     columns = [c for c in placed.columns if c != "__of"]
-    placed = stage(placed.select(*columns, F.col("__of.shard").alias("__shard"), F.col("__of.grown").alias("__grown")), "shards")
+    placed = stage(placed.select(*columns, F.col("__of.shard").alias("__shard"), F.col("__of.grown").alias("__grown")), "shards", narrow=True)
     order = [*(f"__k{i}" for i in range(len(key))), *keep]
     slotted = running(placed, "__shard", "__second", order, into="__slot", groups=len(weights))
     return slotted.select(

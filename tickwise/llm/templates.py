@@ -118,7 +118,7 @@ def grow_tree(shapes: DataFrame, settings: TreeSettings) -> DataFrame:
         tree = tree.join(names, (F.col("host") == F.col("h")) & (F.col("template") == F.col("t")), "left")
         step = F.when(F.col("names").isNull(), F.lit("*")).otherwise(F.element_at("names", segment))
         tree = tree.withColumn("template", F.when(segment.isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), step)))
-        tree = stage(tree.drop("h", "t", "names"), "url-tree")
+        tree = stage(tree.drop("h", "t", "names"), "url-tree", narrow=True)
     return tree
 
 
@@ -152,7 +152,7 @@ def judge(
         F.count(F.when(F.col("__good"), 1)).alias("good"),
         F.count(F.when(~F.col("__good"), 1)).alias("bad"),
     )
-    judged = judge_templates(grow_tree(stage(shapes, "url-shapes"), settings), settings)
+    judged = judge_templates(grow_tree(stage(shapes, "url-shapes", narrow=True), settings), settings)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     return rows.join(judged, ["host", "shape"]).select(
         F.col("__key").alias(key),

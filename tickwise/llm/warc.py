@@ -55,7 +55,7 @@ def captures(pages: DataFrame, key: str, url: str, payload: str, least_bytes: in
         .agg(F.max("rank").alias("holder"), F.count("*").alias("n")).filter("n > 1").select("d", "s", "holder")
     )
     # stored first, so that its size is known: if it is small, no payload moves
-    repeated = stage(repeated, "warc-repeated")
+    repeated = stage(repeated, "warc-repeated", narrow=True)
     rows = rows.join(repeated, (F.col("digest") == F.col("d")) & (F.col("size") == F.col("s")), "left")
     key_ = F.coalesce(F.col("key"), F.lit("null"))
     name = lambda part, k=key_: F.concat(F.lit("<urn:page:"), k, F.lit(f":{part}>"))
