@@ -94,3 +94,30 @@ def test_odd_rows(odd, none):
     assert [r.p.text is None for r in rows] == [r.text is None for r in rows]
     assert all(r.p.n_phone == 1 for r in rows if r.text and r.text.startswith("call"))
     assert none.select(pseudonyms.pseudonymise(F.col("text"), "k")).count() == 0
+
+
+def test_planted_values_are_found():
+    """Values by themselves and beside letters of any script, none of them taken from the pattern."""
+    planted = {
+        "email": ["john@example.com", "_john@example.com", "-john@example.com", "...john@example.com", "éric@example.com", "josé.garcia@example.com"],
+        "phone": ["+8613800138000", "+1 (212) 555-0147", "(212) 555-0147", "212-555-0147", "212.555.0147"],
+        "date": ["25/12/2020", "12/25/2020", "25-12-2020", "12-25-2020", "5/3/2020", "5/12/2020", "31.1.1999", "2020-5-3", "1/10/2020", "05/3/2020"],
+    }
+    for kind, values in planted.items():
+        for value in values:
+            for before, after in (("", ""), ("邮箱", "好"), ("почта", " и"), ("(", ")"), ("x" * 3 + " ", "."), ("字" * 100, "")):
+                text = before + value + after
+                fresh, found = SWAP(text)
+                assert found == dict.fromkeys(pseudonyms.KINDS, 0) | {kind: 1}, (text, found)
+                assert fresh != text and value not in fresh and SWAP(fresh, back=True)[0] == text
+    assert swapped("邮箱john@example.com") == "邮箱" + swapped("john@example.com")
+    assert swapped("(212) 555-0147") == swapped("+1 (212) 555-0147")[3:]
+
+
+def test_dates_are_equal_in_each_way_of_writing():
+    day = dt.date.fromisoformat(swapped("2020-12-25"))
+    assert swapped("25/12/2020") == swapped("25-12-2020").replace("-", "/") == f"{day:%d/%m/%Y}" and swapped("12/25/2020") == f"{day:%m/%d/%Y}"
+    day = dt.date.fromisoformat(swapped("2020-05-03"))
+    assert swapped("5/3/2020") == f"{day.month}/{day.day}/{day.year}" and swapped("3.5.2020") == f"{day.day}.{day.month}.{day.year}"
+    for text in ("31/02/2020", "13/13/2020", "0/5/2020", "30-2-2020", "29/2/2021"):
+        assert swapped(text) == text

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from bisect import bisect_left
 from functools import lru_cache
 from hashlib import sha256, shake_256
 from math import isqrt
@@ -111,11 +112,11 @@ def _iban(cipher: Cipher, m: re.Match, back: bool) -> str | None:
 
 
 def _phone(cipher: Cipher, m: re.Match, back: bool) -> str | None:
-    country, rest = m["country"], m[0][len(m["country"]) :]
+    country, rest = m["country"] or "", m[0][len(m["country"] or "") :]
     digits = re.sub(r"\D", "", rest)
     if not 7 <= len(digits) <= 13:
         return None
-    return country + _refill(rest, _digits(cipher, digits, f"phone{country}{len(digits)}", back))
+    return country + _refill(rest, _digits(cipher, digits, f"phone{country or '+1'}{len(digits)}", back))
 
 
 def _ip(cipher: Cipher, m: re.Match, back: bool) -> str | None:
@@ -129,27 +130,41 @@ def _ip(cipher: Cipher, m: re.Match, back: bool) -> str | None:
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
 
 
+def _form(day: dt.date) -> tuple[int, bool]:
+    """What a date's ways of writing depend on: one or two digits, and whether the day could be a month. Permutations keep it."""
+    return (0 if day.day < 10 else 1 if day.day <= 12 else 2), day.month < 10
+
+
+FORMS: dict[tuple[int, bool], list[int]] = {}
+for _day in range(FIRST_DAY, LAST_DAY + 1):
+    FORMS.setdefault(_form(dt.date.fromordinal(_day)), []).append(_day)
+
+
 def _date(cipher: Cipher, m: re.Match, back: bool) -> str | None:
-    """ISO dates, and day.month.year or month/day/year: valid days of 1900 to 2099 stay such days."""
+    """Year-month-day, day.month.year, day-month-year and month/day/year, the other order of day and month where that
+    isn't valid: days of 1900 to 2099 stay such days, the same in each way of writing."""
     if m["iy"]:
-        y, mo, d, mark, order = m["iy"], m["im"], m["id"], m["is"], "ymd"
+        mark, orders, parts = m["is"], ["ymd"], (m["iy"], m["im"], m["id"])
     else:
-        a, b, y, mark = m["a"], m["b"], m["y"], m["s"]
-        order = "mdy" if mark == "/" else "dmy"
-        mo, d = (a, b) if order == "mdy" else (b, a)
-    try:
-        day = dt.date(int(y), int(mo), int(d)).toordinal()
-    except ValueError:
-        return None
-    if not FIRST_DAY <= day <= LAST_DAY:
-        return None
-    moved = dt.date.fromordinal(FIRST_DAY + cipher.permute(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date", back))
-    parts = {"y": f"{moved.year}", "m": f"{moved.month:02d}", "d": f"{moved.day:02d}"}
-    return mark.join(parts[x] for x in order)
+        mark, parts = m["s"], (m["a"], m["b"], m["y"])
+        orders = ["mdy", "dmy"] if mark == "/" else ["dmy", "mdy"]
+    for order in orders:
+        value = dict(zip(order, map(int, parts)))
+        try:
+            day = dt.date(value["y"], value["m"], value["d"])
+        except ValueError:
+            continue
+        alike = FORMS[_form(day)]
+        kind = "date{}{:d}".format(*_form(day))
+        moved = dt.date.fromordinal(alike[cipher.permute(bisect_left(alike, day.toordinal()), len(alike), kind, back)])
+        fresh = {"y": moved.year, "m": moved.month, "d": moved.day}
+        return mark.join(f"{fresh[x]:0{len(part)}d}" for x, part in zip(order, parts))
+    return None
 
 
 def _email(cipher: Cipher, m: re.Match, back: bool) -> str | None:
-    return f"{_mixed(cipher, m['local'], 'email', back)}@{m['domain']}"
+    """Each run of ASCII characters of the name is a value; letters with accents stay."""
+    return ASCII_RUN.sub(lambda x: _mixed(cipher, x[0], "email", back), m["local"]) + f"@{m['domain']}"
 
 
 def _secret(cipher: Cipher, m: re.Match, back: bool) -> str | None:
@@ -161,16 +176,18 @@ def _secret(cipher: Cipher, m: re.Match, back: bool) -> str | None:
     return moved.upper() if text == text.upper() else moved
 
 
+ASCII_RUN = re.compile("[A-Za-z0-9][A-Za-z0-9._%+-]*")
 #: Tried in this order at each place; a match that isn't valid stays as it is.
 PATTERN = re.compile(
-    r"(?P<email>(?<![\w.+-])(?P<local>[A-Za-z0-9](?:[\w.+%-]{0,62}[\w+%-])?)@(?P<domain>(?:[\w-]+\.)+[A-Za-z]{2,}))"
+    r"(?P<email>(?<![A-Za-z0-9\u00c0-\u024f._%+-])(?P<local>[A-Za-z0-9\u00c0-\u024f._%+-]{0,63}[A-Za-z0-9\u00c0-\u024f_%+-])@(?P<domain>(?:[\w-]+\.)+[A-Za-z]{2,}))"
     r"|(?P<secret>(?<![0-9A-Za-z])[0-9a-fA-F]{32,128}(?![0-9A-Za-z]))"
     r"|(?P<iban>(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![0-9A-Za-z]))"
-    r"|(?P<phone>(?<![\w+])(?P<country>\+[1-9][0-9]{0,2})(?:(?<=\+1)[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}"
-    r"|[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:(?! [0-9]{1,3}(?:\.[0-9]{1,3}){3}| [0-9]{13})[ .-]?[0-9]{2,4}){1,4})(?![0-9]))"
+    r"|(?P<phone>(?<![0-9+])(?:(?P<country>\+[1-9][0-9]{0,2})(?:(?<=\+1)[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}"
+    r"|[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:(?! [0-9]{1,3}(?:\.[0-9]{1,3}){3}| [0-9]{13})[ .-]?[0-9]{2,4}){1,4})(?![0-9])"
+    r"|(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9]|[.-][0-9])))"
     r"|(?P<ip>(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9]))"
-    r"|(?P<date>(?<![0-9])(?:(?P<iy>(?:19|20)[0-9]{2})(?P<is>[-/.])(?P<im>[0-9]{2})(?P=is)(?P<id>[0-9]{2})"
-    r"|(?P<a>[0-9]{2})(?P<s>[./])(?P<b>[0-9]{2})(?P=s)(?P<y>(?:19|20)[0-9]{2}))(?![0-9]))"
+    r"|(?P<date>(?<![0-9])(?:(?P<iy>(?:19|20)[0-9]{2})(?P<is>[-/.])(?P<im>[0-9]{1,2})(?P=is)(?P<id>[0-9]{1,2})"
+    r"|(?P<a>[0-9]{1,2})(?P<s>[-./])(?P<b>[0-9]{1,2})(?P=s)(?P<y>(?:19|20)[0-9]{2}))(?![0-9]))"
     r"|(?P<card>(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9]))"
 )
 #: Lines without any of these hold none of the kinds.
