@@ -102,3 +102,25 @@ def test_odd_rows(odd, none):
     rows = odd.withColumn("good", F.lit(True)).withColumn("host", F.lit("x")).withColumn("template", F.lit("x"))
     assert templates.judge(rows, "doc_id", "text", "good").count() == odd.count()
     assert templates.judge(none.withColumn("good", F.lit(True)), "doc_id", "text", "good").count() == 0
+
+
+@pytest.mark.parametrize("sections", [23, 24, 60])
+def test_a_bad_section_is_rejected_among_any_number(spark, sections):
+    """Further sections don't change the verdicts of a section's pages; a long tail of rare ones is still one branch."""
+    words = [chr(97 + i % 26) + chr(97 + i // 26) for i in range(sections)]
+    rows = [(w, True, i) for w in words for i in range(20)] + [("spam", False, i) for i in range(300)]
+    rows += [(f"rare{w}", True, 0) for w in words] * (sections > 24)
+    df = spark.createDataFrame([(k, f"http://a.net/{w}/{i}", good) for k, (w, good, i) in enumerate(rows)], "page_id long, url string, good boolean")
+    got = {r.page_id: r for r in templates.judge(df, "page_id", "url", "good").collect()}
+    assert {(rows[k][0] == "spam", r.verdict) for k, r in got.items()} == {(True, "block"), (False, "allow")}
+    if sections > 24:
+        assert {got[k].template.split("/")[1] for k, (w, _, _) in enumerate(rows) if w.startswith("rare")} == {"*"}
+
+
+def test_many_bad_sections_are_rejected(spark):
+    """More sections stand apart than are listed by name."""
+    words = [chr(97 + i % 26) + chr(97 + i // 26) for i in range(120)]
+    rows = [(w, j % 3 > 0, i) for j, w in enumerate(words) for i in range(40)]
+    df = spark.createDataFrame([(k, f"http://a.net/{w}/{i}", good) for k, (w, good, i) in enumerate(rows)], "page_id long, url string, good boolean")
+    got = {r.page_id: r.verdict for r in templates.judge(df, "page_id", "url", "good").collect()}
+    assert all(got[k] == ("allow" if good else "block") for k, (_, good, _) in enumerate(rows))
