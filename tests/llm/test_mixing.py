@@ -79,3 +79,12 @@ def test_odd_rows(odd, none):
     assert len(rows) == odd.count() and all(r.words == 0 or len(r.draws) <= 3 for r in rows)
     assert mixing.mixed(odd, "doc_id", "source", "text").columns == odd.columns
     assert mixing.draws(none.select("doc_id", "source", F.lit(1).alias("n")), "doc_id", "source", "n").count() == 0
+
+
+def test_rows_that_share_a_key_are_drawn_by_themselves(spark):
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, "ab"[i % 2], f"x{i} " * (5 + i % 4), i) for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, row long")
+    times = Counter(r.row for r in mixing.mixed(df, "doc_id", "source", "text").collect())
+    assert max(times.values()) <= 3
+    size = {row: len(text.split()) for _, _, text, row in rows}
+    assert abs(sum(size[i] * n for i, n in times.items()) - sum(size.values())) <= 2 * max(size.values())

@@ -150,11 +150,16 @@ def draws(
 def mixed(df: DataFrame, key: str, source: str, text: str, **parameters) -> DataFrame:
     """The rows of ``df`` as often as they are drawn, sorted by shard and position within each partition.
 
-    ``key`` must be unique; rows that share one are drawn as often as each other
-    row of the key together.
+    Each row is drawn by itself, also where rows share a key or have none; if any do, the rows are
+    stored with a number each, and drawn by that.
     """
-    sized = stage(df.select(key, source, n_words(text).alias("__words")), "mix-sizes", narrow=True)
-    chosen = draws(sized, key, source, "__words", **parameters).select(F.col(key).alias("__id"), F.explode("draws").alias("__draw"))
-    joined = df.join(chosen, F.col(key).eqNullSafe(F.col("__id")))
+    narrow = lambda rows, by: stage(rows.select(by, source, n_words(text).alias("__words")), "mix-sizes", narrow=True)
+    sized = narrow(df, key)
+    rows, by = df, key
+    if not sized.groupBy(key).agg(F.count("*").alias("__n")).filter("__n > 1").isEmpty():
+        rows, by = stage(df.withColumn("__row", F.monotonically_increasing_id()), "mix-rows"), "__row"
+        sized = narrow(rows, by)
+    chosen = draws(sized, by, source, "__words", **parameters).select(F.col(by).alias("__id"), F.explode("draws").alias("__draw"))
+    joined = rows.join(chosen, F.col(by).eqNullSafe(F.col("__id")))
     shuffled = joined.repartition("__draw.shard", "__draw.block").sortWithinPartitions("__draw.shard", "__draw.position")
     return shuffled.select(*[f"`{c}`" for c in df.columns])
