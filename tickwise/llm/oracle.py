@@ -134,9 +134,22 @@ WITH d AS (SELECT *, row_number() OVER () AS rid FROM documents), {RULES}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged
 """
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+LINES = rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+l AS (SELECT doc_id, rid, unnest(l) AS line, unnest(range(len(l))) AS i FROM d),
+k AS (SELECT *, translate(regexp_replace(line, '^[ 	-]+|[ 	-]+$', '', 'g'), '{{UPPER}}', '{{LOWER}}') AS key FROM l),
+common AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT rid) >= 10)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(common.key) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE common.key IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN common USING (key) GROUP BY rid
+""".replace("{UPPER}", UPPER).replace("{LOWER}", LOWER)
+
 STATEMENTS = {
     "op1_warc_transactions": WARC,
     "op3_rendezvous_shards": SHARDS,
     "op7_mixture": MIX,
     "op10_adaptive_rules": QUALITY,
+    "op13_line_dedup": LINES,
 }
