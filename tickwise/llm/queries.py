@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickwise.llm import lines, merkle, mixing, packing, pseudonyms, quality, sharding, simhash, templates, tokens, warc
+from tickwise.llm import collocations, lines, merkle, mixing, packing, pseudonyms, quality, sharding, simhash, templates, tokens, warc
 from tickwise.llm.common import small_batches, stage, text_or_empty
 from tickwise.session import fresh_path
 from tickwise.sources.tables import read
@@ -107,6 +107,10 @@ def adaptive_rules(spark: SparkSession, d: str) -> DataFrame:
     return quality.judged(rows, "measures", "lang", "source", limits).select("doc_id", "measures.*", "base_failed", "kept")
 
 
+def phrases(spark: SparkSession, d: str) -> DataFrame:
+    return collocations.collocations(read(spark, d, "documents"), "text", "lang")
+
+
 def line_dedup(spark: SparkSession, d: str) -> DataFrame:
     rows = lines.without_common(read(spark, d, "documents").select("doc_id", "text"), "text", "lines")
     return rows.select("doc_id", "lines.n_lines", "lines.n_dropped", F.sha2(F.col("lines.text"), 256).alias("kept_sha256"))
@@ -129,5 +133,6 @@ QUERIES = {
     "op8_pseudonyms": feistel,
     "op9_simhash": near_copies,
     "op10_adaptive_rules": adaptive_rules,
+    "op12_collocations": phrases,
     "op13_line_dedup": line_dedup,
 }
