@@ -39,14 +39,19 @@ def _shards(count: int) -> str:
     return f"list_position({scores}, list_max({scores})) - 1"
 
 
+CRC_TABLE = """SELECT list_transform(range(256), lambda n: list_reduce(range(8),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n::BIGINT)) AS tab"""
+
+
+def _crc32(text: str) -> str:
+    return f"""xor(list_reduce(list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT),
+      lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295)"""
+
+
 SHARDS = f"""
-WITH t AS (
-  SELECT list_transform(range(256), lambda n: list_reduce(range(8),
-    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n::BIGINT)) AS tab
-), s AS (
+WITH t AS ({CRC_TABLE}), s AS (
   SELECT doc_id, strlen(coalesce(text, '')) + 16 AS size, {_hash28('doc_id', 'a0')} AS x, {_hash28('doc_id', 'b0')} AS y,
-    xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT),
-      lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS text_crc32
+    {_crc32("coalesce(text, '')")} AS text_crc32
   FROM documents, t
 ), r AS (SELECT doc_id, size, text_crc32, y, {_shards(40)} AS shard, {_shards(41)} AS grown_shard FROM s)
 SELECT doc_id, size, text_crc32, 'key' AS law, shard,
@@ -148,6 +153,35 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(common.key) AS n_
 FROM k LEFT JOIN common USING (key) GROUP BY rid
 """.replace("{UPPER}", UPPER).replace("{LOWER}", LOWER)
 
+TRIE = f"""
+WITH t AS ({CRC_TABLE}),
+o AS (SELECT conv_id AS conv, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS s,
+    strlen(coalesce(text, '')) AS bytes, turn FROM conversations WHERE conv_id IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, s, bytes) - 1 AS pos FROM o),
+c AS (SELECT conv, n, conv - conv % 5 AS base, {_crc32("conv::VARCHAR")} % 9 AS h FROM (SELECT conv, count(*) AS n FROM r GROUP BY conv), t),
+p AS (SELECT c.*, least(c.h, coalesce(b.n, 0)) AS taken, least(c.h, coalesce(b.n, 0)) + greatest(c.n - c.h, 0) AS len FROM c LEFT JOIN c b ON b.conv = c.base),
+x AS (
+  SELECT p.conv, r.pos, s, bytes FROM p JOIN r ON r.conv = p.base AND r.pos < p.taken
+  UNION ALL SELECT p.conv, r.pos - p.h + p.taken, s, bytes FROM p JOIN r ON r.conv = p.conv AND r.pos >= p.h
+), k AS (
+  SELECT conv, pos + 1 AS depth, md5(string_agg(s, '') OVER (PARTITION BY conv ORDER BY pos)) AS node, bytes FROM x
+  UNION ALL SELECT conv, 0, 'root', 0 FROM p
+), m AS (
+  SELECT k.*, p.len, lag(node) OVER (PARTITION BY k.conv ORDER BY depth) AS parent FROM k JOIN p ON p.conv = k.conv
+), n AS (
+  SELECT node, any_value(parent) AS parent, min(conv) AS conv, any_value(depth) AS depth, count(*) AS n, any_value(bytes) AS bytes,
+    sha256(coalesce(string_agg(conv::VARCHAR, ',' ORDER BY conv) FILTER (WHERE len = depth), '')) AS ends
+  FROM m GROUP BY node
+), f AS (SELECT parent AS node, count(*) AS children FROM n WHERE parent IS NOT NULL GROUP BY parent),
+a AS (
+  SELECT m.node, sum((n.n - 1) * n.bytes) AS saved, count(*) FILTER (WHERE n.node NOT IN (SELECT node FROM f)) AS leaves
+  FROM n JOIN m ON m.conv = n.conv AND m.depth <= n.depth GROUP BY m.node
+)
+SELECT n.conv AS conv_id, n.depth::BIGINT AS depth, u.conv AS parent_conv_id, n.n AS n_convs, coalesce(f.children, 0) AS n_children,
+  leaves AS n_leaves, saved::BIGINT AS saved_tokens, n.ends AS ends_sha256
+FROM n JOIN a ON a.node = n.node LEFT JOIN f ON f.node = n.node LEFT JOIN n u ON u.node = n.parent
+"""
+
 COLLOCATIONS = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang,
     string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]') AS p FROM documents),
@@ -175,6 +209,7 @@ STATEMENTS = {
     "op3_rendezvous_shards": SHARDS,
     "op7_mixture": MIX,
     "op10_adaptive_rules": QUALITY,
+    "op11_prefix_trie": TRIE,
     "op12_collocations": COLLOCATIONS,
     "op13_line_dedup": LINES,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickwise.llm import collocations, lines, merkle, mixing, packing, pseudonyms, quality, sharding, simhash, templates, tokens, warc
+from tickwise.llm import collocations, lines, merkle, mixing, packing, pseudonyms, quality, sharding, simhash, templates, tokens, trie, warc
 from tickwise.llm.common import small_batches, stage, text_or_empty
 from tickwise.session import fresh_path
 from tickwise.sources.tables import read
@@ -107,6 +107,11 @@ def adaptive_rules(spark: SparkSession, d: str) -> DataFrame:
     return quality.judged(rows, "measures", "lang", "source", limits).select("doc_id", "measures.*", "base_failed", "kept")
 
 
+def prefix_trie(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of five conversations share their first turns, up to eight of them."""
+    return trie.trie(read(spark, d, "conversations"), "conv_id", "turn", "role", "text", rebuild=(5, 9))
+
+
 def phrases(spark: SparkSession, d: str) -> DataFrame:
     return collocations.collocations(read(spark, d, "documents"), "text", "lang")
 
@@ -133,6 +138,7 @@ QUERIES = {
     "op8_pseudonyms": feistel,
     "op9_simhash": near_copies,
     "op10_adaptive_rules": adaptive_rules,
+    "op11_prefix_trie": prefix_trie,
     "op12_collocations": phrases,
     "op13_line_dedup": line_dedup,
 }
