@@ -46,11 +46,9 @@ def test_the_query_finds_what_brute_force_finds(spark, docs):
 
 
 @pytest.mark.parametrize("longest, least, cover, top, text_bytes", [(3, 2, 50, 5, 1), (4, 3, 80, 100, 200), (2, 1, 50, 7, 1 << 20)])
-def test_parts_and_settings_agree_with_brute_force(spark, docs, monkeypatch, longest, least, cover, top, text_bytes):
-    monkeypatch.setattr(co, "TEXT_BYTES", text_bytes)
-    monkeypatch.setattr(co, "WAITING", 10)
+def test_parts_and_settings_agree_with_brute_force(spark, docs, longest, least, cover, top, text_bytes):
     few = docs.orderBy("doc_id").limit(25)
-    got = rows_of(co.collocations(few.repartition(3), "text", "lang", longest, least, cover, top))
+    got = rows_of(co.collocations(few.repartition(3), "text", "lang", longest, least, cover, top, text_bytes))
     assert got == brute([(r.lang, r.text) for r in few.collect()], longest, least, cover, top)
 
 
@@ -58,7 +56,7 @@ def test_full_filters_only_let_more_through(spark, docs):
     texts = docs.selectExpr("coalesce(lang, 'und') AS lang", "cast(text AS binary) AS text")
     seen = []
     for most in (8, 1 << 20):
-        filters = co.summaries(texts, [2, 3], 10, 4, most)
+        filters = co.summaries(texts, [2, 3], 10, 4, most, 5000, 100)
         seen.append({(r.lang, r.phrase, r.f) for r in co.counted(texts, [2, 3], filters, 4, 10).collect()})
     assert seen[0] == seen[1]
 
@@ -67,7 +65,7 @@ def test_full_filters_only_let_more_through(spark, docs):
 @given(st.lists(st.lists(st.integers(0, 60), max_size=80), max_size=6), st.integers(1, 9))
 def test_a_summary_misses_nothing_frequent(parts, threshold):
     mass = sum(map(len, parts))
-    summary, merged = co.Summary(mass // threshold + 1), co.Summary(mass // threshold + 1)
+    summary, merged = co.Summary(mass // threshold + 1, 10), co.Summary(mass // threshold + 1)
     for part in parts:
         prints, counts = np.unique(np.array(part, np.uint32), return_counts=True)
         summary.add(prints, counts)

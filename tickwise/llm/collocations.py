@@ -22,12 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tickwise.llm.common import shuffle_partitions, spread, stage, text_or_empty
+from tickwise.llm.common import batch_bytes, shuffle_partitions, spread, stage, text_or_empty
 
 #: Marks that end a piece become line ends, tabs become blanks.
 ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n\n\n\n\n\n\n\n\n ")
 #: Bytes of text that a task handles at once, and of one split into words.
-TEXT_BYTES, SPLIT_BYTES = 12 << 20, 2 << 20
+TEXT_BYTES, SPLIT_BYTES = 8 << 20, 1 << 20
 #: Phrases in a partition of the summaries, about, and prints that wait there to be merged.
 PARTITION_MASS, WAITING = 1 << 22, 1 << 21
 #: Bits of a partition's filter for each hash in it, and of all filters together at most (32 MB).
@@ -97,7 +97,7 @@ class Chunk:
         return [b" ".join(words).decode("utf-8", "replace") for words in zip(*columns)], n
 
 
-def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[Chunk]:
+def chunks(batches: Iterator[pd.DataFrame], text_bytes: int) -> Iterator[Chunk]:
     """Texts of a task as chunks of one language and a bounded size each."""
     held: dict[str, list[bytes]] = {}
     size = 0
@@ -105,16 +105,19 @@ def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[Chunk]:
         for lang, text in zip(batch["lang"], batch["text"]):
             held.setdefault(lang, []).append(text)
             size += len(text)
-            if size >= TEXT_BYTES:
+            if size >= text_bytes:
                 yield from (Chunk(k, v) for k, v in held.items())
                 held, size = {}, 0
     yield from (Chunk(k, v) for k, v in held.items())
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 # --- first pass: summaries --------------------------------------------------
@@ -126,8 +129,8 @@ class Summary:
     ``capacity`` counters; ``taken`` stays below (mass - what is left) / capacity.
     """
 
-    def __init__(self, capacity: int):
-        self.capacity, self.taken = capacity, 0
+    def __init__(self, capacity: int, waiting: int = WAITING):
+        self.capacity, self.taken, self.most_waiting = capacity, 0, max(capacity, waiting)
         self.prints, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
         self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
         self.n_waiting = 0
@@ -135,7 +138,7 @@ class Summary:
     def add(self, prints: np.ndarray, counts: np.ndarray) -> None:
         self.waiting.append((prints, counts))
         self.n_waiting += len(prints)
-        if self.n_waiting > max(self.capacity, WAITING):
+        if self.n_waiting > self.most_waiting:
             self.merge()
 
     def merge(self) -> None:
@@ -177,7 +180,7 @@ def _slots(prints: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (mixed & mask).astype(np.int64), ((mixed >> np.uint64(32)) & mask).astype(np.int64)
 
 
-def summaries(texts: DataFrame, sizes: list[int], threshold: int, partitions: int, most_bits: int = MOST_BITS) -> DataFrame:
+def summaries(texts: DataFrame, sizes: list[int], threshold: int, partitions: int, most_bits: int = MOST_BITS, text_bytes: int = TEXT_BYTES, waiting: int = WAITING) -> DataFrame:
     """(part, n_prints, taken, bits): for each partition of phrases a filter that lets all frequent ones through.
 
     A filter has a power of two of bits, at most ``most_bits`` for all partitions together; where that is
@@ -186,12 +189,12 @@ def summaries(texts: DataFrame, sizes: list[int], threshold: int, partitions: in
     per_part = max(8, most_bits // partitions)
 
     def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, text_bytes):
             every = np.concatenate([chunk.hashes(k, chunk.starts(k)) for k in sizes])
             if not len(every):
                 continue
             every.sort()
-            distinct = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+            distinct = np.flatnonzero(np.diff(every, prepend=every[:1] ^ np.uint64(1)))
             counts = np.diff(distinct, append=len(every))
             every = every[distinct]
             part = ((every >> np.uint64(32)) * np.uint64(partitions)) >> np.uint64(32)
@@ -230,7 +233,7 @@ def summaries(texts: DataFrame, sizes: list[int], threshold: int, partitions: in
                     mass += row.mass
                     continue
                 if summary is None:
-                    summary = Summary(mass // threshold + 1)
+                    summary = Summary(mass // threshold + 1, waiting)
                 prints = unpacked(row.prints)
                 counts = np.ones(len(prints), np.int64)
                 counts[np.frombuffer(row.more, "<i4")] = np.frombuffer(row.counts, "<i8")
@@ -247,7 +250,7 @@ def summaries(texts: DataFrame, sizes: list[int], threshold: int, partitions: in
 # --- second pass: exact counts ----------------------------------------------
 
 
-def counted(texts: DataFrame, sizes: list[int], filters: DataFrame, partitions: int, threshold: int) -> DataFrame:
+def counted(texts: DataFrame, sizes: list[int], filters: DataFrame, partitions: int, threshold: int, text_bytes: int = TEXT_BYTES) -> DataFrame:
     """(lang, size, phrase, f), stored: words and phrases found ``threshold`` times or more; size 0 has the count of all words."""
     sent = texts.sparkSession.sparkContext.broadcast({r.part: r.bits for r in filters.select("part", "bits").collect()})
 
@@ -258,7 +261,7 @@ def counted(texts: DataFrame, sizes: list[int], filters: DataFrame, partitions:
         room = (starts[1:] * 8).astype(np.uint64)
         starts = np.cumsum(starts)
         flags = np.frombuffer(b"".join(sent.value[p] for p in sorted(sent.value)), np.uint8)
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, text_bytes):
             words = chunk.starts(1)
             yield pd.DataFrame({"lang": chunk.lang, "size": 0, "phrase": "", "f": [len(words)]})
             for size in [1, *sizes]:
@@ -326,7 +329,7 @@ def n_partitions(spark: SparkSession, texts: DataFrame, sizes: list[int]) -> int
     return max(shuffle_partitions(spark), math.ceil(size * len(sizes) / 6 / PARTITION_MASS))
 
 
-def collocations(df: DataFrame, text: str, lang: str, longest: int = 3, least: int = 10, cover: int = 50, top: int = 2000) -> DataFrame:
+def collocations(df: DataFrame, text: str, lang: str, longest: int = 3, least: int = 10, cover: int = 50, top: int = 2000, text_bytes: int = TEXT_BYTES) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's ``top`` phrases of two to ``longest`` words.
 
     ``a`` counts the phrase (``least`` at least), ``l`` and ``r`` the two parts of the cut that scores
@@ -335,7 +338,9 @@ def collocations(df: DataFrame, text: str, lang: str, longest: int = 3, least: i
     texts = df.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), text_or_empty(text).cast("binary").alias("text"))
     sizes = list(range(2, longest + 1))
     partitions = n_partitions(df.sparkSession, texts, sizes)
-    counts = counted(texts, sizes, summaries(texts, sizes, least, partitions), partitions, least)
+    with batch_bytes(df.sparkSession):
+        filters = summaries(texts, sizes, least, partitions, text_bytes=text_bytes)
+        counts = counted(texts, sizes, filters, partitions, least, text_bytes)
     words = counts.filter(F.col("size") == 0).select("lang", F.col("f").alias("n"))
     best = best_of(scored(counts, sizes, cover), top)
     return best.join(words, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
