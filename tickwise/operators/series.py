@@ -286,6 +286,25 @@ def newest_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return newest.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
+def numbered(df: DataFrame, keys: list[str], block: Column, order: list[str], into: str) -> DataFrame:
+    """Adds the place of each row, from 0 on, in its key's ``order``.
+
+    ``block`` never goes down along the order. Rows are numbered within a block, and the counts of the
+    blocks before are added, so a key that holds most rows is spread over its blocks.
+    """
+    cut = df.withColumn("_block", block)
+    counts = cut.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_count"))
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    names = [*keys, "_block"]
+    offsets = counts.select(*[F.col(c).alias(f"_of{c}") for c in names], F.coalesce(F.sum("_count").over(earlier), F.lit(0)).alias("_offset"))
+    same = F.lit(True)
+    for c in names:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of{c}"))
+    within = Window.partitionBy(*names).orderBy(*order)
+    placed = cut.withColumn("_within", F.row_number().over(within) - 1).join(offsets, same)
+    return placed.withColumn(into, F.col("_within") + F.col("_offset")).select(*df.columns, into)
+
+
 def latest_per_id(df: DataFrame, id_column: str, order: list[str]) -> DataFrame:
     """The newest row of every id, newest first."""
     return newest_rows(df, [id_column], order).orderBy(*[F.desc(c) for c in order], id_column)

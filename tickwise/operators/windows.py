@@ -50,7 +50,9 @@ OUTLIER_WIDTH = 4.0
 DEVIATION_SCALE = 1.4826
 
 
-def _window(ts: str, every: str, slide: str | None) -> Column:
+def _window(ts: str, every: str | Column, slide: str | None) -> Column:
+    if isinstance(every, Column):
+        return every
     return F.window(ts, every, slide) if slide else F.window(ts, every)
 
 
@@ -58,9 +60,9 @@ def _window(ts: str, every: str, slide: str | None) -> Column:
 
 
 def trade_windows(
-    trades: DataFrame, every: str = "5 minutes", slide: str | None = None, tie_break: str | None = "trade_id"
+    trades: DataFrame, every: str | Column = "5 minutes", slide: str | None = None, tie_break: str | None = "trade_id"
 ) -> DataFrame:
-    """Aggregates per symbol and window; first and last price by event time.
+    """Aggregates per symbol and window; first and last price by event time. ``every`` is a length or a window column.
 
     Time and trade id are packed into one number, so the raw trades are aggregated by
     hash. With ``tie_break=None`` trades of one symbol are taken to have distinct times.

@@ -894,6 +894,10 @@ WHERE ts >= (SELECT max(ts) FROM index_regular WHERE ts < TIMESTAMP '2001-01-01'
     fitted = rs("growth", "regression_slope", "regression_intercept", "regression_variance")
     out["trend_segments"] = f"""
 SELECT 'securities-daily-change-regular-hours' AS measurement, ticker, begins, ends, {fitted}, ends AS ts FROM member_segments"""
+    for name, source in (("stream_trends", "streamed_segments"), ("stream_trends_redone", "redone_segments")):
+        times = ", CAST(CASE WHEN ticker < 'NATION_2' THEN 1 ELSE 0 END AS BIGINT) AS redone" if source == "redone_segments" else ""
+        out[name] = f"""
+SELECT 'securities-daily-change-regular-hours' AS measurement, ticker, begins, ends, {fitted}, ends AS ts{times} FROM {source}"""
     out["trend_analysis"] = f"""
 SELECT 'INDEX' AS ticker, ts, field, {r('value')} FROM (
   {_long('(SELECT ends AS ts, regression_variance, growth FROM index_segments)', {'regression_variance': 'avg(regression_variance)', 'growth': 'avg(growth)'})})"""
@@ -929,17 +933,79 @@ UNION ALL SELECT TIMESTAMP '2002-01-01', x FROM (VALUES (CAST(0.0 AS DOUBLE)), (
     out["epochs"] = "SELECT event_id, CAST(CAST(floor(epoch(ts)) AS BIGINT) * 1000 AS DOUBLE) AS millis FROM events"
     out["stale_mark"] = """
 SELECT CAST(least((SELECT min(o_orderdate) FROM orders), (SELECT min(l_shipdate) FROM lineitem)) AS DATE) AS stale_from"""
+    out["replayed_windows"] = f"SELECT *, 1 AS deliveries FROM ({out['stream_trade_windows']})"
+    out["replayed_throughput"] = out["throughput"]
+    out["live_assets"] = out["stream_trade_windows"]
+    last = "QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY window_end_time DESC) = 1"
+    out["stream_state_windows"] = f"""
+SELECT ticker, window_end_time, CAST(record_count AS DOUBLE) AS record_count, {rs(*[m for m in TRADE_METRICS if m != 'record_count'])} FROM {_closed('tw')} {last}"""
+    out["stream_state_maxima"] = f"""
+SELECT ticker, max(ts) AS ts, {', '.join(r(f'max(price_change_{f})', f) for f in ('low', 'avg', 'high'))} FROM members_regular GROUP BY ticker"""
+    out["late_trades"] = """
+SELECT count(*) AS rows, max(ts) AS newest, count(*) FILTER (ends <= before - INTERVAL 120 SECOND) AS late
+FROM (SELECT a.*, (SELECT date_trunc('milliseconds', max(b.ts)) FROM arrivals b WHERE b.step < a.step) AS before FROM arrivals a) GROUP BY step"""
+    out["counted_batches"] = """
+SELECT symbol, CAST((n - 1) // 100 + 1 AS BIGINT) AS batch, count(*) AS trades, min(market_ts) AS first, max(market_ts) AS last, CAST(sum(trade_id) AS BIGINT) AS ids
+FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY market_ts, trade_id) AS n FROM trades) GROUP BY 1, 2"""
+    out["logged_windows"] = f"""
+SELECT {_trade_window_columns()} FROM logged_tw WHERE window_end_time <= (SELECT max(market_ts) - INTERVAL 120 SECOND FROM logged_trades)"""
+    out["pushed_batches"] = f"""
+SELECT delivery, symbol, batch, any_value(ids) AS ids, count(*) AS connections
+FROM (SELECT delivery, symbol, (n - 1) // 7 AS batch, string_agg(measure_id, ',' ORDER BY n) AS ids
+      FROM (SELECT *, row_number() OVER (PARTITION BY delivery, symbol ORDER BY window_end_time, measure_id) AS n
+            FROM (SELECT ticker AS symbol, measure_id, window_end_time, {_step('window_end_time', 'tw')} AS delivery FROM tw WHERE record_count % 11 <> 0)) GROUP BY 1, 2, 3)
+JOIN customer ON symbol = list_extract(['click', 'error', 'purchase', 'signup', 'view'], c_custkey % 5 + 1)
+ AND c_custkey % 4 <= delivery AND (c_custkey % 7 <> 0 OR delivery < 2)
+GROUP BY 1, 2, 3"""
     found = {name: assemble(body) for name, body in out.items()}
     found["microstructure_stepped"] = found["microstructure_stepped"].replace("INTERVAL '6 hours'", "INTERVAL '1 minute'").replace("INTERVAL 6 HOUR", "INTERVAL 1 MINUTE")
     return found
 
 
+def _step(ts: str, source: str) -> str:
+    """In which of four even parts of the time between a table's first and last row a time lies; the last time of a part is in it."""
+    ends = f"(SELECT min(epoch_us({ts})) AS a, max(epoch_us({ts})) AS b FROM {source})"
+    return "CAST(" + " + ".join(f"CAST(epoch_us({ts}) > (SELECT a + (b - a) * {i} // 4 FROM {ends}) AS INTEGER)" for i in (1, 2, 3)) + " AS BIGINT)"
+
+
+PARTS["delayed"] = """
+SELECT market_ts AS ts, CASE WHEN trade_id % 13 = 0 THEN market_ts + INTERVAL 2 DAY ELSE market_ts END AS arrived FROM trades"""
+PARTS["arrivals"] = f"""
+SELECT ts, {bucket('6 hours', 'ts')} + INTERVAL 6 HOUR AS ends, {_step('arrived', 'delayed')} AS step FROM delayed"""
+PARTS["logged_trades"] = """
+SELECT event_type AS symbol, event_id AS trade_id, ts AS market_ts, value AS price, k AS lot_size
+FROM feed WHERE route = 'stock_trade' AND k NOT IN (7, 11, 13)"""
+PARTS["logged_tw0"] = PARTS["tw0"].replace("FROM trades", "FROM logged_trades")
+PARTS["logged_tw"] = PARTS["tw"].replace("FROM tw0", "FROM logged_tw0")
+
+
 def _slope(begin: str, end: str) -> str:
     """Slope of the percent change over rows begin..end-1, from running sums s and moments q (both from row 0)."""
     moment = f"(q[{end} + 1] - q[{begin} + 1] - ({begin} + {end} - 1) / 2.0 * (s[{end} + 1] - s[{begin} + 1]))"
     return f"(100.0 / v[{begin} + 1] * {moment} * 12.0 / (({end} - {begin}) * (pow({end} - {begin}, 2) - 1)))"
 
 
+def _cut(b: str, e1: str) -> str:
+    return f"CAST(coalesce(list_max(list_filter(range(7), lambda j: abs(v[{e1} - 7 + j + 1] - v[{b} + j + 1]) <= 0.05)), 0) AS BIGINT)"
+
+
+def _cuts(b: str, e1: str) -> str:
+    return f"{e1} - {b} >= 14 AND abs({_slope(b, e1)} - {_slope(f'({e1} - 7)', e1)}) > 0.8"
+
+
+def _fitted(name: str) -> None:
+    """Segments from the rows of a walk that have found one."""
+    PARTS[name] = f"""
+SELECT f.ticker, f.begins, f.ends, f.slope * date_diff('day', f.begins, f.ends) AS growth, f.slope AS regression_slope,
+       f.intercept AS regression_intercept, f.variance AS regression_variance
+FROM (SELECT w.ticker, min(r.ts) AS begins, max(CASE WHEN r.i = w.last THEN r.ts END) AS ends, regr_slope(y, r.i - w.head) AS slope,
+             regr_intercept(y, r.i - w.head) AS intercept,
+             (regr_syy(y, r.i - w.head) - pow(regr_slope(y, r.i - w.head), 2) * regr_sxx(y, r.i - w.head)) / count(*) AS variance
+      FROM {name}_walk w JOIN (SELECT ticker, ts, i, x FROM {name}_rows) r ON r.ticker = w.ticker AND r.i >= w.head AND r.i < w.stop
+      JOIN {name}_rows h ON h.ticker = w.ticker AND h.i = w.head CROSS JOIN LATERAL (SELECT (r.x / h.x - 1) * 100 AS y)
+      WHERE w.head IS NOT NULL GROUP BY w.ticker, w.head, w.last, w.stop) f"""
+
+
 def segments(name: str, source: str) -> None:
     """Trend windows of ``source(ticker, ts, price_change_avg)``: smallest window 7, slope change 0.8, tolerance 0.05."""
     PARTS[f"{name}_rows"] = f"""
@@ -949,30 +1015,53 @@ SELECT ticker, ts, x, i, sum(x) OVER w AS s, sum(x * i) OVER w AS q FROM {name}_
     PARTS[f"{name}_lists"] = f"""
 SELECT ticker, list(x ORDER BY i) AS v, list_prepend(0.0, list(s ORDER BY i)) AS s, list_prepend(0.0, list(q ORDER BY i)) AS q
 FROM {name}_sums GROUP BY ticker"""
-    cut = "coalesce(list_max(list_filter(range(7), lambda j: abs(v[e1 - 7 + j + 1] - v[b + j + 1]) <= 0.05)), 0)"
     PARTS[f"{name}_walk"] = f"""
 SELECT ticker, CAST(0 AS BIGINT) AS b, CAST(14 AS BIGINT) AS e, CAST(NULL AS BIGINT) AS head, CAST(NULL AS BIGINT) AS last, CAST(NULL AS BIGINT) AS stop
 FROM {name}_lists
 UNION ALL
 SELECT ticker, CASE WHEN cuts THEN e1 - 7 + c ELSE b END, CASE WHEN cuts THEN e1 + c ELSE e1 END,
        CASE WHEN cuts THEN b END, CASE WHEN cuts THEN e1 - 7 + c END, CASE WHEN cuts THEN e1 END
-FROM (SELECT ticker, b, e1, CAST({cut} AS BIGINT) AS c,
-             e1 - b >= 14 AND abs({_slope('b', 'e1')} - {_slope('(e1 - 7)', 'e1')}) > 0.8 AS cuts
+FROM (SELECT ticker, b, e1, {_cut('b', 'e1')} AS c, {_cuts('b', 'e1')} AS cuts
       FROM (SELECT w.ticker, w.b, w.e + 1 AS e1, l.v, l.s, l.q FROM {name}_walk w JOIN {name}_lists l ON l.ticker = w.ticker WHERE len(l.v) - w.e >= 14))"""
-    PARTS[name] = f"""
-SELECT f.ticker, f.begins, f.ends, f.slope * date_diff('day', f.begins, f.ends) AS growth, f.slope AS regression_slope,
-       f.intercept AS regression_intercept, f.variance AS regression_variance
-FROM (SELECT w.ticker, min(r.ts) AS begins, max(CASE WHEN r.i = w.last THEN r.ts END) AS ends, regr_slope(y, r.i - w.head) AS slope,
-             regr_intercept(y, r.i - w.head) AS intercept,
-             (regr_syy(y, r.i - w.head) - pow(regr_slope(y, r.i - w.head), 2) * regr_sxx(y, r.i - w.head)) / count(*) AS variance
-      FROM {name}_walk w JOIN (SELECT ticker, ts, i, x FROM {name}_rows) r ON r.ticker = w.ticker AND r.i >= w.head AND r.i < w.stop
-      JOIN {name}_rows h ON h.ticker = w.ticker AND h.i = w.head CROSS JOIN LATERAL (SELECT (r.x / h.x - 1) * 100 AS y)
-      WHERE w.head IS NOT NULL GROUP BY w.ticker, w.head, w.last, w.stop) f"""
+    _fitted(name)
+
+
+def streamed_segments(name: str, source: str, redone: str = "false") -> None:
+    """Trend windows as a stream of four even steps of time finds them: each step starts with the rows that are undecided, and
+    windows are cut with the rows so far. Undecided rows more than a week older than the step's first are left out. Tickers that
+    are ``redone`` start afresh in the third step."""
+    PARTS[f"{name}_rows"] = f"""
+SELECT ticker, ts, price_change_avg AS x, row_number() OVER w - 1 AS i, {_step('ts', source)} AS step,
+       ts - lag(ts) OVER w > INTERVAL 7 DAY AS apart, lag({_step('ts', source)}) OVER w AS before
+FROM {source} WINDOW w AS (PARTITION BY ticker ORDER BY ts)"""
+    PARTS[f"{name}_sums"] = f"""
+SELECT *, sum(x) OVER w AS s, sum(x * i) OVER w AS q FROM {name}_rows WINDOW w AS (PARTITION BY ticker ORDER BY i)"""
+    PARTS[f"{name}_lists"] = f"""
+SELECT ticker, list(x ORDER BY i) AS v, list_prepend(0.0, list(s ORDER BY i)) AS s, list_prepend(0.0, list(q ORDER BY i)) AS q,
+       [{', '.join(f'count(*) FILTER (step <= {k})' for k in range(4))}] AS n,
+       [{', '.join(f'coalesce(bool_or(step = {k} AND before <> {k} AND apart), false)' for k in range(4))}] AS breaks
+FROM {name}_sums GROUP BY ticker"""
+    PARTS[f"{name}_walk"] = f"""
+SELECT ticker, CASE WHEN {redone} THEN 2 ELSE 0 END AS k, CAST(0 AS BIGINT) AS b, CAST(14 AS BIGINT) AS e,
+       CAST(NULL AS BIGINT) AS head, CAST(NULL AS BIGINT) AS last, CAST(NULL AS BIGINT) AS stop
+FROM {name}_lists
+UNION ALL
+SELECT ticker, CASE WHEN grows THEN k ELSE k + 1 END,
+       CASE WHEN cuts THEN e1 - 7 + c WHEN NOT grows AND breaks[k + 2] THEN n[k + 1] ELSE b END,
+       CASE WHEN cuts THEN e1 + c WHEN grows THEN e1 WHEN breaks[k + 2] THEN n[k + 1] + 14 ELSE b + 14 END,
+       CASE WHEN cuts THEN b END, CASE WHEN cuts THEN e1 - 7 + c END, CASE WHEN cuts THEN e1 END
+FROM (SELECT ticker, k, b, e1, n, breaks, grows, CASE WHEN grows THEN {_cut('b', 'e1')} END AS c, CASE WHEN grows THEN {_cuts('b', 'e1')} ELSE false END AS cuts
+      FROM (SELECT w.ticker, w.k, w.b, w.e + 1 AS e1, l.v, l.s, l.q, l.n, l.breaks, l.n[w.k + 1] - w.e >= 14 AS grows
+            FROM {name}_walk w JOIN {name}_lists l ON l.ticker = w.ticker WHERE w.k < 3 OR l.n[4] - w.e >= 14))"""
+    _fitted(name)
 
 
 segments("member_segments", "members_regular")
 segments("index_segments", "(SELECT 'INDEX' AS ticker, ts, price_change_avg FROM index_regular)")
 
+streamed_segments("streamed_segments", "members_regular")
+streamed_segments("redone_segments", "members_regular", "ticker < 'NATION_2'")
+
 PARTS["points"] = """
 SELECT event_type || '/USD#1' AS ticker, user_id, ts, event_id, value, CAST(ts AS DATE) AS day FROM events"""
 

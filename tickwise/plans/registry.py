@@ -154,7 +154,7 @@ def throughput(spark, d):
 # --- feed --------------------------------------------------------------------
 
 
-def _frames(spark, d):
+def _frames(spark, d, *more):
     """Feed frames written from the events: trades, quotes and control messages, some without price or time, some from long ago."""
     e = tables.read(spark, d, "events").select(
         "event_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"),
@@ -172,7 +172,7 @@ def _frames(spark, d):
         price.alias("ap"), F.col("k").alias("as"), price.alias("bp"), F.col("k").alias("bs"),
     )
     json = F.to_json(body, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
-    return e.select(F.when(F.col("event_id") % 2 == 0, json).otherwise(F.concat(F.lit("["), json, F.lit("]"))).alias("value"))
+    return e.select(F.when(F.col("event_id") % 2 == 0, json).otherwise(F.concat(F.lit("["), json, F.lit("]"))).alias("value"), *more)
 
 
 def route_messages(spark, d):
@@ -461,6 +461,24 @@ def predictions(spark, d):
     return feat.predict(rows, model, feat.NEXT_BANK_DAY)
 
 
+# --- streaming ---------------------------------------------------------------
+
+
+def pushed_batches(spark, d):
+    """Trade windows pushed to customers: a quarter connects at each delivery, some have left by the third; some windows lack their measurement."""
+    valid = F.when(F.col("record_count") % 11 != 0, F.lit(windows.TRADE_WINDOWS))
+    results = _trade_windows(spark, d).withColumnRenamed("ticker", "symbol").withColumn("measurement", valid)
+    customers = tables.subscriptions(spark, d).withColumn("n", F.col("connection_id").cast("long"))
+
+    def connected(delivery: int) -> DataFrame:
+        return customers.filter((F.col("n") % 4 <= delivery) & ((F.col("n") % 7 != 0) | F.lit(delivery < 2))).drop("n")
+
+    sent = jobs.pushed_batches(spark, results.select("symbol", "measure_id", "measurement", "window_end_time"), connected, ["measure_id"], ["window_end_time", "measure_id"])
+    return sent.groupBy("delivery", "symbol", "batch").agg(
+        F.first(F.concat_ws(",", "messages.measure_id")).alias("ids"), F.sum(F.size("connections")).alias("connections")
+    )
+
+
 # --- financials --------------------------------------------------------------
 
 
@@ -660,5 +678,15 @@ def queries() -> dict[str, Query]:
         "stream_trade_deltas": table(partial(jobs.trade_deltas_from_file, EVERY)),
         "stream_quote_deltas": table(partial(jobs.quote_deltas_from_file, EVERY)),
         "stream_drawdown": table(lambda s, d: jobs.drawdown_from_table(s, _index(s, d)).drop("measurement", "ticker")),
+        "stream_state_windows": table(partial(jobs.previous_windows, EVERY)),
+        "stream_state_maxima": table(lambda s, d: jobs.running_maxima(s, _members(s, d))),
+        "replayed_windows": table(partial(jobs.replayed_windows, EVERY)),
+        "replayed_throughput": jobs.replayed_throughput,
+        "live_assets": table(partial(jobs.live_assets, EVERY)),
+        "late_trades": partial(jobs.late_trades, EVERY),
+        "counted_batches": jobs.counted_batches,
+        "logged_windows": table(lambda s, d: jobs.logged_windows(EVERY, s, _frames(s, d, F.col("ts").alias("at")))),
+        "pushed_batches": pushed_batches,
         "stream_trends": table(lambda s, d: jobs.trends_from_table(s, _members(s, d))),
+        "stream_trends_redone": table(lambda s, d: jobs.trends_redone(s, _members(s, d), F.col("ticker") < "NATION_2")),
     }

@@ -32,9 +32,13 @@ def _file_system(spark: SparkSession, path: str):
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, found = _file_system(spark, path)
+    return fs.exists(found)
+
+
 def exists(spark: SparkSession, table: Table) -> bool:
-    fs, path = _file_system(spark, table.path)
-    return fs.exists(path)
+    return path_exists(spark, table.path)
 
 
 def load(spark: SparkSession, table: Table, schema: StructType | None = None) -> DataFrame:

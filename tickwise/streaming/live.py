@@ -27,8 +27,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 def with_lateness(events: DataFrame, lateness: str = LATENESS, ts: str = "market_ts") -> DataFrame:
     """Event time with bounded disorder; later rows are dropped by the aggregates.
 
-    The watermark follows the newest event of the whole query, so an idle symbol or
-    source holds nothing back.
+    The watermark follows the newest event of this input, so an idle symbol holds nothing back. For
+    several inputs see ``inputs.live_input``.
     """
     return events.withWatermark(ts, lateness)
 
@@ -52,7 +52,7 @@ def window_table(path: str) -> Table:
     return Table(path, keys=["ticker", "window_end_time"], partitions=["day"])
 
 
-def _store(rows: DataFrame, table: Table) -> None:
+def store_windows(rows: DataFrame, table: Table) -> None:
     upsert(rows.withColumn("day", F.to_date("window_end_time")), table)
 
 
@@ -61,7 +61,7 @@ def trade_sink(windows: DataFrame, path: str, checkpoint: str) -> DataStreamWrit
     table = window_table(path)
     return (
         windows.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
-        .foreachBatch(lambda batch, _: _store(batch, table))
+        .foreachBatch(lambda batch, _: store_windows(batch, table))
     )
 
 
@@ -70,7 +70,7 @@ def quote_sink(levels: DataFrame, path: str, checkpoint: str, closing: bool = Fa
     table = window_table(path)
     return (
         levels.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
-        .foreachBatch(lambda batch, _: _store(quote_windows_from_levels(batch, closing), table))
+        .foreachBatch(lambda batch, _: store_windows(quote_windows_from_levels(batch, closing), table))
     )
 
 
@@ -93,11 +93,6 @@ def rocksdb(spark):
         spark.conf.set(PROVIDER, before)
 
 
-def follow_newest(spark) -> None:
-    """With several inputs let the newest watermark lead, so an idle input cannot stall the query."""
-    spark.conf.set("spark.sql.streaming.multipleWatermarkPolicy", "max")
-
-
 def late_rows(query) -> int:
     """Rows dropped as late so far in the query's recent progress."""
     return sum(

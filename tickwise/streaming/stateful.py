@@ -12,6 +12,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tickwise.operators.drawdown import FIELDS
@@ -139,7 +140,9 @@ class UndecidedTail(StatefulProcessor):
     """Trend segments of a growing series; the undecided rows wait in state.
 
     A tail whose last row is more than a week older than the new rows is left out,
-    and a row at or before the earliest date starts afresh.
+    and a row at or before the earliest date starts afresh. So does a control row, which
+    says so and has no time; it goes before the other rows of its micro-batch. Segments carry how
+    often their series has been redone so far, which the state keeps.
     """
 
     def __init__(self, keys: list[str], earliest: str | None, rules: TrendRules):
@@ -147,9 +150,18 @@ class UndecidedTail(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.tail = handle.getListState("tail", "ts timestamp, value double")
+        self.redone = handle.getValueState("redone", "times long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _gather(rows)[["ts", "value"]].sort_values("ts")
+        batch = _gather(rows)
+        times = self.redone.get()[0] if self.redone.exists() else 0
+        if batch["redo"].any():
+            times += 1
+            self.redone.update((times,))
+            self.tail.clear()
+        batch = batch.loc[~batch["redo"], ["ts", "value"]].sort_values("ts")
+        if batch.empty:
+            return
         if self.earliest and batch["ts"].iloc[0] <= pd.Timestamp(self.earliest):
             self.tail.clear()
         waiting = pd.DataFrame(list(self.tail.get()) if self.tail.exists() else [], columns=["ts", "value"])
@@ -164,16 +176,22 @@ class UndecidedTail(StatefulProcessor):
         out = segment_rows(batch["ts"], segments)
         for i, name in enumerate(self.keys):
             out.insert(i, name, key[i])
+        out["redone"] = times
         yield out
 
     def close(self) -> None:
         pass
 
 
-def stream_trends(index: DataFrame, value: str = "price_change_avg", keys: Sequence[str] = SERIES, earliest: str | None = None, rules: TrendRules = TrendRules()) -> DataFrame:
-    """Confirmed trend segments of a stream of daily rows."""
-    output = ", ".join(f"`{k}` string" for k in keys) + ", " + SEGMENT_FIELDS
-    return index.selectExpr(*keys, "ts", f"{value} AS value").groupBy(*keys).transformWithStateInPandas(
+def stream_trends(index: DataFrame, value: str = "price_change_avg", keys: Sequence[str] = SERIES, earliest: str | None = None, rules: TrendRules = TrendRules(), redo: str | None = None) -> DataFrame:
+    """Confirmed trend segments of a stream of daily rows.
+
+    ``redo`` names a boolean column that is true in control rows, which make their series start afresh. Segments of
+    a series that are ``redone`` less often than its state says have been replaced by later ones.
+    """
+    output = ", ".join(f"`{k}` string" for k in keys) + ", " + SEGMENT_FIELDS + ", redone long"
+    control = F.coalesce(F.col(redo), F.lit(False)) if redo else F.lit(False)
+    return index.select(*keys, "ts", F.col(value).alias("value"), control.alias("redo")).groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=UndecidedTail(keys, earliest, rules),
         outputStructType=output,
         outputMode="append",
@@ -182,55 +200,80 @@ def stream_trends(index: DataFrame, value: str = "price_change_avg", keys: Seque
 
 
 class CountOrTimer(StatefulProcessor):
-    """Release waiting rows as a numbered batch once enough have come, or after a while."""
+    """Release waiting rows as a numbered batch once enough have come, or after a while.
+
+    A key has one timer at most. It is due ``wait_ms`` after the last release or, if that
+    has passed already, after the first row that waits. A release by count deletes it and sets it anew for
+    the rows that are left, so these don't leave by the time of rows that have gone.
+    """
 
-    def __init__(self, columns: list[str], schema: str, count: int, wait_ms: int):
-        self.columns, self.schema, self.count, self.wait_ms = columns, schema, count, wait_ms
+    def __init__(self, columns: list[str], order: list[str], schema: str, count: int, wait_ms: int, ts: str | None):
+        self.columns, self.order, self.schema, self.count, self.wait_ms, self.ts = columns, order, schema, count, wait_ms, ts
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", self.schema)
-        self.released = handle.getValueState("released", "batch long")
+        self.released = handle.getValueState("released", "batch long, at long")
 
-    def _release(self, key, rows: list[tuple]) -> pd.DataFrame:
+    def _release(self, key, rows: list[tuple], at: int) -> pd.DataFrame:
         number = (self.released.get()[0] if self.released.exists() else 0) + 1
-        self.released.update((number,))
+        self.released.update((number, at))
         out = pd.DataFrame(rows, columns=self.columns)
         out.insert(0, "batch", number)
         out.insert(0, "key", key[0])
         return out
 
+    def _set_timer(self, now: int | None) -> None:
+        """The only timer is set for rows that wait since ``now``; None: there are none."""
+        for due in list(self.handle.listTimers()):
+            self.handle.deleteTimer(due)
+        if now is not None:
+            last = self.released.get()[1] if self.released.exists() else None
+            due = now + self.wait_ms if last is None or last + self.wait_ms <= now else last + self.wait_ms
+            self.handle.registerTimer(due)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         waiting = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        was_empty = not waiting
-        for part in rows:
-            waiting.extend(part[self.columns].itertuples(index=False, name=None))
-            while len(waiting) >= self.count:
-                yield self._release(key, waiting[: self.count])
-                waiting = waiting[self.count :]
-        if waiting:
-            self.waiting.put(waiting)
-            if was_empty and self.wait_ms:
-                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
+        batch = _gather(rows)
+        batch = batch.sort_values(self.order, ignore_index=True) if self.order else batch
+        if self.ts:
+            now = int(pd.Timestamp(batch[self.ts].max()).timestamp() * 1000)
+        else:
+            now = timerValues.getCurrentProcessingTimeInMs()
+        first = not waiting
+        waiting.extend(batch[self.columns].itertuples(index=False, name=None))
+        full = len(waiting) // self.count * self.count
+        for i in range(0, full, self.count):
+            yield self._release(key, waiting[i : i + self.count], now)
+        if full < len(waiting):
+            self.waiting.put(waiting[full:])
         else:
             self.waiting.clear()
+        if self.wait_ms and (full or first):
+            self._set_timer(now if full < len(waiting) else None)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         waiting = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
         if waiting:
             self.waiting.clear()
-            yield self._release(key, waiting)
+            yield self._release(key, waiting, expiredTimerInfo.getExpiryTimeInMs())
 
     def close(self) -> None:
         pass
 
 
-def count_or_timer(rows: DataFrame, key: str, columns: dict[str, str], count: int = 100, wait_ms: int = 30_000) -> DataFrame:
-    """Rows of each key in batches of ``count``; a smaller batch leaves after ``wait_ms`` (0: never)."""
+def count_or_timer(
+    rows: DataFrame, key: str, columns: dict[str, str], count: int = 100, wait_ms: int = 30_000, order: Sequence[str] = (), ts: str | None = None
+) -> DataFrame:
+    """Rows of each key in batches of ``count``; a smaller batch leaves after ``wait_ms`` (0: never).
+
+    Rows of a micro-batch are taken in ``order``. With ``ts``, one of ``columns`` behind a watermark, the time is that of
+    the events, and a row's release doesn't depend on when it is processed.
+    """
     schema = ", ".join(f"`{c}` {t}" for c, t in columns.items())
-    return rows.selectExpr(f"CAST({key} AS STRING) AS key", *columns).groupBy("key").transformWithStateInPandas(
-        statefulProcessor=CountOrTimer(list(columns), schema, count, wait_ms),
+    return rows.select(F.col(key).cast("string").alias("key"), *columns).groupBy("key").transformWithStateInPandas(
+        statefulProcessor=CountOrTimer(list(columns), list(order), schema, count, wait_ms, ts),
         outputStructType=f"key string, batch long, {schema}",
         outputMode="append",
-        timeMode="ProcessingTime" if wait_ms else "None",
+        timeMode="None" if not wait_ms else "EventTime" if ts else "ProcessingTime",
     )
