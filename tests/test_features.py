@@ -68,3 +68,31 @@ def test_hold_out_per_series(spark):
     df = spark.createDataFrame([(s, date(2020, 1, 1) + timedelta(i)) for s in "ab" for i in range(5)], "s string, day date")
     assert quality.hold_out_tail(df, 3, keys=["s"]).count() == 4
     assert quality.hold_out_tail(df.filter(F.col("s") == "a"), 5).count() == 0
+
+
+def test_of_a_day_the_last_row_counts(spark):
+    rows = [("2024-01-01", 5, 1.0), ("2024-01-01", 9, 2.0), ("2024-01-02", 3, 7.0), ("2024-01-02", 3, 4.0)]
+    df = spark.createDataFrame(rows, "day string, at int, x double")
+    assert sorted(tuple(r) for r in feat.last_of_day(df.repartition(3), "at").collect()) == [("2024-01-01", 2.0), ("2024-01-02", 7.0)]
+
+
+def test_trees_with_columns_of_their_own_learn_and_repeat(spark):
+    rng = random.Random(3)
+    program = feat.NEXT_BANK_DAY
+    rows = []
+    for i in range(400):
+        x = [rng.uniform(-1, 1) for _ in feat.FEATURES]
+        rows.append((date(2020, 1, 1) + timedelta(i), 3 * x[0] + 2 * (x[4] > 0) + rng.gauss(0, 0.1), *x))
+    schema = f"day date, {program.label} double, " + ", ".join(f"{c} double" for c in feat.FEATURES)
+    df = spark.createDataFrame(rows, schema)
+    known, unseen = df.filter("day < DATE '2020-10-01'"), df.filter("day >= DATE '2020-10-01'")
+    model, losses = feat.train_by_tree(known, program, rounds=12, depth=3, rate=0.3)
+    again, same = feat.train_by_tree(known.repartition(3), program, rounds=12, depth=3, rate=0.3)
+    assert losses == pytest.approx(same) and model.columns == again.columns
+    assert losses[-1] < 0.3 * losses[0] and len({tuple(c) for c in model.columns}) > 1 and all(len(c) == 8 for c in model.columns)
+    got = [(r["prediction"], r[program.label]) for r in model.predicted(unseen).collect()]
+    mean = sum(y for _, y in got) / len(got)
+    assert sum((p - y) ** 2 for p, y in got) < 0.4 * sum((y - mean) ** 2 for _, y in got)
+    assert model.predicted(unseen).columns == [*unseen.columns, "prediction"]
+    with pytest.raises(ValueError):
+        feat.train_by_tree(known.limit(0), program, rounds=1)

@@ -3,6 +3,7 @@ from collections import defaultdict
 from datetime import date, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from tickwise.operators import bars as b
 from tickwise.operators import index as ix
@@ -131,16 +132,24 @@ def test_refresh(spark, tmp_path):
     """First run, a later run with new days, a run after changed bars, and a full redo agree with one full run."""
     rows = random_daily(days=100)
     members, index = pipeline.members_table(str(tmp_path / "members")), pipeline.index_table(str(tmp_path / "index"))
+    states = pipeline.states_table(str(tmp_path / "states"))
     mark = lambda *d: spark.createDataFrame([(x,) for x in d], "stale_from date")
     frame = lambda some: spark.createDataFrame(some, DAILY)
 
     def run(some, stale, full=False):
-        start = pipeline.refresh_index(spark, frame(some), members, index, stale, "2020-01-01", full)
+        start = pipeline.refresh_index(spark, frame(some), members, index, states, stale, "2020-01-01", full)
         got = {(r.ticker, r.day): r.price_change_avg for r in store.load(spark, members).collect()}
         changes, levels = day_by_day(some)
         assert got == pytest.approx({k: v[0] for k, v in changes.items()}, rel=1e-9)
         stored = {r.day: r.price_change_avg for r in store.load(spark, index).collect()}
         assert stored == pytest.approx(levels, rel=1e-9)
+        versions = store.load(spark, states).collect()
+        assert len({(r.ticker, r.as_of) for r in versions}) == len(versions)
+        for as_of in {r.as_of for r in versions}:
+            want = ix.member_state(store.load(spark, members), as_of.isoformat()).collect()
+            mine = {r.ticker: tuple(r)[1:6] for r in versions if r.as_of == as_of}
+            assert mine == {r.ticker: (r.introduction_day, r.introduction_price, r.index_value_when_introduced, r.prev_day, r.prev_avg_price) for r in want}
+        assert max(r.as_of for r in versions) > max(r[2] for r in some)
         return start
 
     early = [r for r in rows if r[2] < date(2020, 3, 10)]
@@ -150,3 +159,13 @@ def test_refresh(spark, tmp_path):
     assert run(changed, mark(date(2020, 3, 20))) == date(2020, 3, 1)
     assert run(rows, mark(), full=True) is None
     assert run([r for r in rows if r[2] < date(2020, 3, 1)], mark(), full=True) is None
+
+
+def test_a_refresh_reads_one_month_of_the_states(spark, tmp_path):
+    members, index, states = (f(str(tmp_path / n)) for f, n in ((pipeline.members_table, "m"), (pipeline.index_table, "i"), (pipeline.states_table, "s")))
+    daily = spark.createDataFrame(random_daily(days=70), DAILY)
+    pipeline.refresh_index(spark, daily, members, index, states, spark.createDataFrame([], "stale_from date"), "2020-01-01")
+    found = pipeline.state_as_of(spark, states, date(2020, 2, 1))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan and "2020-02" in plan
+    assert found.count() > 0 and found.select(F.max("prev_day")).first()[0] < date(2020, 2, 1)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from tickwise.functions.scalar import _c
+from tickwise.operators.series import numbered
 
 
 def min_max(x: Column | str, low: Column | str, high: Column | str, multiple: float) -> Column:
@@ -51,3 +53,44 @@ def chart_points(
     return shown.join(span, keys).select(
         *keys, F.col(ts).alias("ts"), x.alias("x"), y.alias("y"), F.col(price).alias("price"), F.col(value).alias("value")
     )
+
+
+def nearest_points(points: DataFrame, asked: DataFrame, keys: list[str], ts: str, values: list[str], within: float | None = None) -> DataFrame:
+    """For each asked time of a chart the point nearest to it, with ``values`` and ``distance`` in seconds.
+
+    Of two points equally near the earlier counts. No point within ``within`` seconds: nulls. The last point before and the first after are
+    looked up by one window over points and asked times together, so no time meets all points.
+    """
+    held = F.struct(F.col(ts), *[F.col(v) for v in values])
+    row = lambda df, is_point, point, columns: df.select(*keys, F.col(ts).alias("_ts"), F.lit(is_point).alias("_is_point"), point.alias("_point"), columns.alias("_asked"))
+    own = [c for c in asked.columns if c not in (*keys, ts)]
+    nothing = F.struct(*[F.lit(None).cast(t).alias(c) for c, t in asked.dtypes if c in own]) if own else F.lit(None).cast("boolean")
+    point_type = points.select(held.alias("p")).schema["p"].dataType
+    rows = row(points, True, held, nothing).unionByName(
+        row(asked, False, F.lit(None).cast(point_type), F.struct(*own) if own else F.lit(None).cast("boolean"))
+    )
+    by = Window.partitionBy(*keys).orderBy("_ts", F.desc("_is_point"))
+    before = F.last("_point", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("_point", ignorenulls=True).over(by.rowsBetween(0, Window.unboundedFollowing))
+    both = rows.select(*keys, "_ts", "_is_point", "_asked", before.alias("_before"), after.alias("_after")).filter(~F.col("_is_point"))
+    apart = lambda side: F.abs(F.unix_micros(F.col(f"{side}.{ts}")) - F.unix_micros("_ts")) / 1_000_000
+    first = F.col("_after").isNull() | (apart("_before") <= apart("_after"))
+    distance = F.when(first, apart("_before")).otherwise(apart("_after"))
+    near = distance <= within if within is not None else F.lit(True)
+    chosen = F.when(near, F.when(first, F.col("_before")).otherwise(F.col("_after")))
+    found = both.select(*keys, F.col("_ts").alias(ts), "_asked", chosen.alias("_p"), F.when(near, distance).alias("distance"))
+    return found.select(*keys, ts, *[F.col(f"_asked.{c}").alias(c) for c in own], F.col(f"_p.{ts}").alias(f"nearest_{ts}"), *[F.col(f"_p.{v}").alias(v) for v in values], "distance")
+
+
+def polylines(points: DataFrame, keys: list[str], piece: int = 500, x: str = "x", y: str = "y", digits: int = 3) -> DataFrame:
+    """Each chart's line as text, ``x,y`` pairs in order of x, in numbered pieces of at most ``piece`` points.
+
+    Points without x or y are left out. A piece is what one row holds; the pieces of a chart, one after the other, are its line.
+    """
+    present = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y))
+    rows = present.select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"))
+    placed = numbered(rows, keys, F.floor(F.col("_x")), ["_x", "_y"], "_n")
+    number = lambda c: F.format_string(f"%.{digits}f", c)
+    pair = F.struct("_n", F.concat(number(F.col("_x")), F.lit(","), number(F.col("_y"))).alias("text"))
+    pieces = placed.groupBy(*keys, F.floor(F.col("_n") / piece).alias("piece")).agg(F.array_sort(F.collect_list(pair)).alias("_pairs"))
+    return pieces.select(*keys, "piece", F.array_join(F.col("_pairs.text"), " ").alias("line"))

@@ -175,6 +175,43 @@ def recompute_from(daily: DataFrame, stored_members: DataFrame, start: str, regu
     return index_members(batch, member_state(earlier), regular_hours).filter(F.col("day") >= first)
 
 
+STATE = "ticker string, introduction_day date, introduction_price double, index_value_when_introduced double, prev_day date, prev_avg_price double"
+
+
+def recompute_with_state(daily: DataFrame, state: DataFrame, start: str, regular_hours: bool = True) -> DataFrame:
+    """``recompute_from`` with the members' state as of ``start`` in place of their history.
+
+    The last index day before ``start`` is the newest of the state's last days.
+    """
+    first = F.lit(start).cast("date")
+    last_day = state.select(F.max("prev_day")).scalar()
+    batch = daily.filter(F.col("day") >= F.coalesce(last_day, first))
+    return index_members(batch, state, regular_hours).filter(F.col("day") >= first)
+
+
+def state_versions(members: DataFrame, earlier: DataFrame | None, until: str) -> DataFrame:
+    """The members' state as of the first day of each month, in a row each: ``member_state`` with ``as_of``.
+
+    ``members`` are the rows from some month on and ``earlier`` is the state as of that month. A member's last row of a
+    month holds until the month of its next one, or to ``until``; months are few, and so are a member's versions.
+    """
+    rows = members.groupBy("ticker", F.trunc("day", "month").alias("month")).agg(
+        F.min("introduction_day").alias("introduction_day"),
+        F.max_by("introduction_price", "day").alias("introduction_price"),
+        F.max_by("index_value_when_introduced", "day").alias("index_value_when_introduced"),
+        F.max("day").alias("prev_day"),
+        F.max_by("avg_price", "day").alias("prev_avg_price"),
+    )
+    if earlier is not None:
+        rows = rows.unionByName(earlier.withColumn("month", F.trunc("prev_day", "month")).select(*rows.columns))
+    by = Window.partitionBy("ticker").orderBy("month")
+    end = F.trunc(F.lit(until).cast("date"), "month")
+    valid = F.sequence(F.add_months("month", 1), F.least(F.coalesce(F.lead("month").over(by), end), end), F.expr("INTERVAL 1 MONTH"))
+    starts = rows.withColumn("valid", F.when(F.add_months("month", 1) <= F.least(F.coalesce(F.lead("month").over(by), end), end), valid))
+    names = [f.split()[0] for f in STATE.split(", ")]
+    return starts.select(*names, F.explode("valid").alias("as_of"))
+
+
 def start_date(stale_from: DataFrame, index: DataFrame, default: str) -> DataFrame:
     """Where a recompute has to begin: the earlier of the stale mark and the last index day.
 

@@ -12,6 +12,8 @@ from tickwise.operators.bars import top_tickers
 from tickwise.operators.drawdown import drawdown_labels
 from tickwise.operators.quality import check_columns, hold_out_tail
 from tickwise.operators.series import kaufman_average, moving_average
+from tickwise.session import fresh_path
+from tickwise.sources import store
 
 KEYS = ["measurement", "ticker"]
 
@@ -74,18 +76,25 @@ def since(df: DataFrame, start: str, day: str = "day") -> DataFrame:
     return df.filter(F.col(day) >= F.lit(start).cast("date"))
 
 
+def last_of_day(rows: DataFrame, at: str) -> DataFrame:
+    """One row a day: that of the latest ``at``, the largest by its values where several have it."""
+    names = [c for c in rows.columns if c not in ("day", at)]
+    return rows.groupBy("day").agg(F.max_by(F.struct(*names), F.struct(at, *names)).alias("_row")).select("day", "_row.*")
+
+
 def drawdown_features(levels: DataFrame, forward_days: int, start: str = ANALYSIS_START) -> DataFrame:
     rows = since(levels.withColumn("day", F.to_date("ts")), start).filter(F.col("drawdown_low").isNotNull())
-    return drawdown_labels(rows, forward_days, ts="day").drop(*KEYS)
+    return drawdown_labels(rows, forward_days).drop(*KEYS).withColumn("day", F.to_date("ts"))
 
 
 def index_features(index: DataFrame, n: int, start: str = ANALYSIS_START) -> DataFrame:
     """Log of the index high over its moving and its Kaufman average."""
-    logs = since(index, start).select(*KEYS, "day", positive_log("price_change_high").alias("value"))
-    average = moving_average(logs, "value", n, KEYS, "day")
-    adaptive = kaufman_average(logs, "value", n, KEYS, "day").drop("value")
-    return average.join(adaptive, [*KEYS, "day"]).select(
-        "day",
+    logs = since(index, start).select(*KEYS, "ts", positive_log("price_change_high").alias("value"))
+    average = moving_average(logs, "value", n, KEYS)
+    adaptive = kaufman_average(logs, "value", n, KEYS).drop("value")
+    return average.join(adaptive, [*KEYS, "ts"]).select(
+        "ts",
+        F.to_date("ts").alias("day"),
         (F.col("value") - F.col("moving_average")).alias("index_over_moving_avg"),
         (F.col("value") - F.col("kaufman_average")).alias("index_over_kaufman_avg"),
     )
@@ -93,9 +102,9 @@ def index_features(index: DataFrame, n: int, start: str = ANALYSIS_START) -> Dat
 
 def volume_features(index: DataFrame, n: int, start: str = ANALYSIS_START) -> DataFrame:
     """Traded value over its moving average; value and average lie in one row, so no join."""
-    rows = since(index, start).select(*KEYS, "day", "total_trading_value")
-    average = moving_average(rows, "total_trading_value", n, KEYS, "day")
-    return average.select("day", (F.col("total_trading_value") - F.col("moving_average")).alias("volume_over_moving_avg"))
+    rows = since(index, start).select(*KEYS, "ts", "total_trading_value")
+    average = moving_average(rows, "total_trading_value", n, KEYS)
+    return average.select("ts", F.to_date("ts").alias("day"), (F.col("total_trading_value") - F.col("moving_average")).alias("volume_over_moving_avg"))
 
 
 def member_spread(members: DataFrame, start: str = ANALYSIS_START, n: int = TOP_TICKERS, days: int = TOP_DAYS, as_of: Column | None = None) -> DataFrame:
@@ -121,16 +130,20 @@ def daily_features(
     as_of: Column | None = None,
     top: int = TOP_TICKERS,
 ) -> DataFrame:
-    """One row per day on which all five inputs have one; of a day that an input has twice, one row counts."""
-    vix = since(volatility, start).select("day", F.col("value").alias("vix"))
-    joined = drawdown_features(levels, program.forward_days, start)
+    """One row per day on which all five inputs have one; of a day that an input has twice, its last row counts.
+
+    Volatility rows are told apart by their ``ts`` where they have one.
+    """
+    vix = since(volatility, start)
+    vix = vix.select("day", (F.col("ts") if "ts" in vix.columns else F.col("day")).alias("ts"), F.col("value").alias("vix"))
+    joined = last_of_day(drawdown_features(levels, program.forward_days, start), "ts")
     for part in (
-        index_features(index, program.index_days, start),
+        last_of_day(index_features(index, program.index_days, start), "ts"),
         member_spread(extended_members, start, top, as_of=as_of),
-        vix,
-        volume_features(index, program.volume_days, start),
+        last_of_day(vix, "ts"),
+        last_of_day(volume_features(index, program.volume_days, start), "ts"),
     ):
-        joined = joined.join(part.dropDuplicates(["day"]), "day")
+        joined = joined.join(part, "day")
     return joined.select("day", *program.columns)
 
 
@@ -172,6 +185,69 @@ def train(features: DataFrame, program: Program, rounds: int = 200, depth: int =
     return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), trees]).fit(features)
 
 
+@dataclass(frozen=True)
+class BoostedTrees:
+    """A base value and the trees that step towards the label, each with the columns it was drawn."""
+
+    base: float
+    rate: float
+    trees: list
+    columns: list[list[str]]
+
+    def predicted(self, rows: DataFrame, into: str = "prediction") -> DataFrame:
+        """``rows`` with the sum of all trees; each tree reads its own columns as one vector."""
+        total = F.lit(self.base)
+        for i, (tree, names) in enumerate(zip(self.trees, self.columns)):
+            rows = _with_vector(rows, names, "_v")
+            rows = tree.setFeaturesCol("_v").setPredictionCol(f"_p{i}").transform(rows).drop("_v")
+            total = total + F.lit(self.rate) * F.col(f"_p{i}")
+        return rows.withColumn(into, total).drop(*[f"_p{i}" for i in range(len(self.trees))])
+
+
+def _with_vector(rows: DataFrame, names: list[str], into: str) -> DataFrame:
+    from pyspark.ml.feature import VectorAssembler
+
+    return VectorAssembler(inputCols=names, outputCol=into).transform(rows)
+
+
+#: Trees between two tables that cut the lineage of the residuals.
+STORE_EVERY = 10
+
+
+def train_by_tree(features: DataFrame, program: Program, rounds: int = 200, depth: int = 5, rate: float = 0.1, share: float = 0.8, seed: int = 0) -> tuple[BoostedTrees, list[float]]:
+    """Boosted regression trees whose rows and columns are drawn once a tree; the model and the loss after each round.
+
+    Each tree is fitted to what the trees before leave of the label. A row is drawn by a hash of its day and the round and
+    columns by a generator of the seed, so that a training run can be repeated whatever the partitioning. The loss is the mean square over all rows.
+    """
+    import random
+
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    spark = features.sparkSession
+    draw = random.Random(seed)
+    rows = store.staged(features.select("day", *FEATURES, F.col(program.label).cast("double").alias("_label")), fresh_path(spark, "boosting"))
+    base = rows.agg(F.avg("_label")).first()[0]
+    if base is None:
+        raise ValueError("no rows to train on")
+    rows = rows.withColumn("_left", F.col("_label") - F.lit(base))
+    trees, columns, losses = [], [], []
+    wanted = max(1, round(share * len(FEATURES)))
+    for i in range(rounds):
+        names = sorted(draw.sample(FEATURES, wanted), key=FEATURES.index)
+        drawn = F.pmod(F.xxhash64(F.col("day").cast("string"), F.lit(seed), F.lit(i)), F.lit(1000)) < round(1000 * share)
+        tree = DecisionTreeRegressor(featuresCol="_v", labelCol="_left", predictionCol="_p", maxDepth=depth, seed=seed + i)
+        vectors = _with_vector(rows, names, "_v")
+        model = tree.fit(vectors.filter(drawn))
+        rows = model.transform(vectors).withColumn("_left", F.col("_left") - F.lit(rate) * F.col("_p")).drop("_v", "_p")
+        if (i + 1) % STORE_EVERY == 0:
+            rows = store.staged(rows, fresh_path(spark, "boosting"))
+        losses.append(rows.agg(F.avg(F.col("_left") * F.col("_left"))).first()[0])
+        trees.append(model)
+        columns.append(names)
+    return BoostedTrees(base, rate, trees, columns), losses
+
+
 def save_model(model, folder: str, program: Program, model_id: str) -> None:
     for name in (model_id, "latest"):
         model.write().overwrite().save(f"{folder}/{program.name}/{name}")

@@ -258,7 +258,7 @@ FROM pressure WHERE db IS NOT NULL"""
 
 PARTS["bars"] = """
 SELECT n_name AS ticker, l_shipdate + to_minutes(CAST(720 + l_orderkey % 20 * 30 AS INTEGER)) AS market_ts,
-       l_orderkey, l_linenumber, l_partkey, l_suppkey,
+       l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity AS volume,
        l_extendedprice / l_quantity AS high_price,
        l_extendedprice / l_quantity * (1 - l_discount) AS low_price,
        l_extendedprice / l_quantity * (1 - l_discount / 2) AS vwap,
@@ -383,7 +383,7 @@ def drawdown(source: str, provisional: str | None = None, by: str = "", keys: st
 PARTS["drawdown"] = drawdown("index_regular")
 
 
-def labels(forward: int, start: str | None = None) -> str:
+def labels(forward: int, start: str | None = None, source: str = "drawdown") -> str:
     where = f"WHERE ts >= TIMESTAMP '{start}'" if start else ""
     forward_level = (
         f"coalesce(min(drawdown_low) OVER (ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND {forward} FOLLOWING), drawdown_low)"
@@ -397,7 +397,7 @@ def labels(forward: int, start: str | None = None) -> str:
     return f"""
 SELECT ts, drawdown_low AS current_drawdown, lead(drawdown_low, 1, 0.0) OVER (ORDER BY ts) AS drawdown_next_bank_day,
        {dips}, {forward_level} AS forward_max_drawdown
-FROM (SELECT *, row_number() OVER (ORDER BY ts) AS i FROM drawdown {where})"""
+FROM (SELECT *, row_number() OVER (ORDER BY ts) AS i FROM {source} {where})"""
 
 
 PARTS["labels_all"] = labels(25)
@@ -427,16 +427,29 @@ for _n in (42, 85):
     PARTS[f"mv{_n}"] = ma("feature_rows", _n, "total_trading_value")
 
 
-def features(program: feat.Program) -> str:
+PARTS["index_doubled"] = """
+SELECT day, ts + INTERVAL 12 HOUR AS ts, price_change_low, price_change_avg, price_change_high, total_trading_value FROM index_regular
+UNION ALL
+SELECT day, ts, price_change_low * 1.01, price_change_avg * 1.01, price_change_high * 1.01, total_trading_value * 1.01 FROM index_regular"""
+PARTS["drawdown_doubled"] = drawdown("index_doubled")
+PARTS["labels_0_doubled"] = labels(0, "1995-06-01", "drawdown_doubled")
+PARTS["feature_rows_doubled"] = """
+SELECT day, ts, ln(price_change_high) AS value, total_trading_value FROM index_doubled WHERE day >= DATE '1995-06-01'"""
+kama("kama42_doubled", "feature_rows_doubled", 42)
+PARTS["ma42_doubled"] = ma("feature_rows_doubled", 42)
+PARTS["mv42_doubled"] = ma("feature_rows_doubled", 42, "total_trading_value")
+
+
+def features(program: feat.Program, of: str = "") -> str:
     return f"""
 SELECT CAST(l.ts AS DATE) AS day, l.{program.label}, s.members_daily_spread,
        m.value - m.average AS index_over_moving_avg, m.value - k.level AS index_over_kaufman_avg,
        v.total_trading_value - v.average AS volume_over_moving_avg, l.current_drawdown,
        {', '.join(f'l.days_since_dip_of_{d}' for d in DIP_LEVELS)}, x.value AS vix
-FROM labels_{program.forward_days} l
-JOIN ma{program.index_days} m ON m.ts = l.ts AND m.position >= {program.index_days}
-JOIN kama{program.index_days} k ON k.ts = l.ts AND k.i > {program.index_days}
-JOIN mv{program.volume_days} v ON v.ts = l.ts AND v.position >= {program.volume_days}
+FROM labels_{program.forward_days}{of} l
+JOIN ma{program.index_days}{of} m ON m.ts = l.ts AND m.position >= {program.index_days}
+JOIN kama{program.index_days}{of} k ON k.ts = l.ts AND k.i > {program.index_days}
+JOIN mv{program.volume_days}{of} v ON v.ts = l.ts AND v.position >= {program.volume_days}
 JOIN spread s ON s.day = CAST(l.ts AS DATE)
 JOIN vix x ON x.day = CAST(l.ts AS DATE) AND x.value IS NOT NULL"""
 
@@ -445,6 +458,9 @@ for _program in feat.PROGRAMS:
     PARTS[f"features_{_program.variant.replace('-', '_') or 'next_day'}"] = features(_program)
 
 
+PARTS["features_doubled"] = features(feat.NEXT_BANK_DAY, "_doubled") + " WHERE hour(l.ts) = 12"
+
+
 def shown_features(program: feat.Program, source: str) -> str:
     columns = []
     for c in program.columns:
@@ -847,6 +863,7 @@ SELECT ticker, {week()} AS ts, {r('arg_max(total_trading_value, ts)', 'value')}
         # features
         "member_spread": f"SELECT day, {r('members_daily_spread')} FROM spread",
         "features_next_day": shown_features(feat.NEXT_BANK_DAY, "features_next_day"),
+        "features_doubled_days": shown_features(feat.NEXT_BANK_DAY, "features_doubled"),
         "features_forward_two_weeks": shown_features(feat.FORWARD_TWO_WEEKS, "features_two_weeks"),
         "features_forward_five_weeks": shown_features(feat.FORWARD_FIVE_WEEKS, "features_five_weeks"),
         "training_rows": shown_features(
@@ -919,6 +936,12 @@ FROM orders GROUP BY ALL"""
 SELECT ticker, day, {r('price_change_avg')}, strftime(day, '%Y-%m') AS month FROM (
   SELECT ticker, day, price_change_avg FROM members_regular UNION ALL SELECT 'INDEX', day, price_change_avg FROM index_regular)
 WHERE day < DATE '{limit}'"""
+    out["member_versions"] = f"""
+SELECT ticker, min(introduction_day) AS introduction_day, {r('any_value(introduction_price)', 'introduction_price')},
+       {r('any_value(index_value_when_introduced)', 'index_value_when_introduced')}, max(day) AS prev_day,
+       {r('arg_max(avg_price, day)', 'prev_avg_price')}, as_of
+FROM members_regular JOIN (SELECT make_date(CAST(y AS INTEGER), 1, 1) AS as_of FROM range(1980, 2100) t(y)) ON day < as_of
+WHERE as_of <= (SELECT max(day) + INTERVAL 1 MONTH FROM members_regular) GROUP BY ticker, as_of"""
     out["statement_lookup"] = "SELECT * FROM quarter_reports WHERE ticker = 'BUILDING' AND report_period = '1998Q2'"
     out["renamed_fields"] = " UNION ALL ".join(
         f"SELECT ticker, window_end_time, '{name}' AS _field, {r(c, '_value')} FROM tw"
@@ -933,6 +956,24 @@ UNION ALL SELECT TIMESTAMP '2002-01-01', x FROM (VALUES (CAST(0.0 AS DOUBLE)), (
     out["epochs"] = "SELECT event_id, CAST(CAST(floor(epoch(ts)) AS BIGINT) * 1000 AS DOUBLE) AS millis FROM events"
     out["stale_mark"] = """
 SELECT CAST(least((SELECT min(o_orderdate) FROM orders), (SELECT min(l_shipdate) FROM lineitem)) AS DATE) AS stale_from"""
+    out["nearest_points"] = f"""
+SELECT a.ticker, a.ts, a.trade_id, CASE WHEN d <= 18000 THEN p.ts END AS nearest_ts, CASE WHEN d <= 18000 THEN record_count END AS record_count,
+       {r('CASE WHEN d <= 18000 THEN sum_notional END', 'sum_notional')}, {r('CASE WHEN d <= 18000 THEN d END', 'distance')}
+FROM (SELECT symbol AS ticker, market_ts AS ts, trade_id FROM trades) a
+LEFT JOIN (SELECT ticker, window_end_time AS ts, record_count, sum_notional FROM tw WHERE record_count > 15) p ON p.ticker = a.ticker
+CROSS JOIN LATERAL (SELECT abs(epoch_us(p.ts) - epoch_us(a.ts)) / 1000000.0 AS d)
+QUALIFY row_number() OVER (PARTITION BY a.trade_id ORDER BY d, p.ts) = 1"""
+    out["polylines"] = f"""
+SELECT ticker, CAST((n - 1) // 50 AS BIGINT) AS piece, string_agg(printf('%.2f,%.2f', x, y), ' ' ORDER BY n) AS line
+FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY x, y) AS n FROM ({out['chart_points']})) GROUP BY 1, 2"""
+    start = "CASE WHEN n_nationkey % 2 = 0 THEN TIMESTAMP '1998-01-01' ELSE TIMESTAMP '1990-01-01' END"
+    out["paged_bars"] = f"""
+SELECT ticker, market_ts, CAST(volume AS BIGINT) AS volume, {r('high_price', 'opening_price')}, {r('low_price', 'closing_price')},
+       {rs('high_price', 'low_price')}, {r('vwap', 'volume_weighted_avg_price')}
+FROM bars JOIN nation ON n_name = ticker WHERE market_ts >= greatest({start}, TIMESTAMP '1995-01-01')"""
+    out["tickers_without_pages"] = f"""
+SELECT n_name AS ticker, {start} AS start FROM nation WHERE n_name NOT IN (SELECT ticker FROM bars)
+UNION ALL SELECT 'GONE', max({start}) FROM nation"""
     out["replayed_windows"] = f"SELECT *, 1 AS deliveries FROM ({out['stream_trade_windows']})"
     out["replayed_throughput"] = out["throughput"]
     out["live_assets"] = out["stream_trade_windows"]

@@ -27,7 +27,7 @@ from tickwise.plans import stored
 from tickwise.plans.rounding import shown
 from tickwise.sources import bars as bar_source
 from tickwise.session import fresh_path
-from tickwise.sources import feed, points, polling, store, tables
+from tickwise.sources import feed, pages, points, polling, store, tables
 from tickwise.streaming import fanout
 from tickwise.streaming import jobs
 
@@ -147,6 +147,18 @@ def chart_points(spark, d):
     return chart.chart_points(rows, "sum_notional", "price_at_window_end", "window_end_time", ["ticker"])
 
 
+def nearest_points(spark, d):
+    """The trade window nearest to each event, among the windows of its symbol that hold more than fifteen trades, if one ends within five hours of it."""
+    rows = _trade_windows(spark, d).filter(F.col("record_count") > 15).select("ticker", F.col("window_end_time").alias("ts"), "record_count", "sum_notional")
+    asked = tables.trades(spark, d).select(F.col("symbol").alias("ticker"), F.col("market_ts").alias("ts"), "trade_id")
+    return chart.nearest_points(rows, asked, ["ticker"], "ts", ["record_count", "sum_notional"], 5 * 3600.0)
+
+
+def polylines(spark, d):
+    """The trade windows as lines of notional over the time of day, in pieces of fifty points."""
+    return chart.polylines(chart_points(spark, d), ["ticker"], 50, digits=2)
+
+
 def throughput(spark, d):
     return quality.throughput(tables.trades(spark, d))
 
@@ -282,6 +294,29 @@ def scan_starts(spark, d):
     return bar_source.scan_starts(listed, rows, "1995-01-01")
 
 
+def _landed(spark, d):
+    """Pages of a hundred bars and the start of each ticker: 1998 for the even ones, all for the others, and a ticker that has none."""
+    bars = tables.bars(spark, d).withColumn("volume", F.col("volume").cast("long"))
+    path = fresh_path(spark, "bar-pages")
+    pages.land_pages(bars, path, SEQUENCE, 100)
+    nations = tables.read(spark, d, "nation")
+    start = F.when(F.col("n_nationkey") % 2 == 0, F.lit("1998-01-01")).otherwise(F.lit("1990-01-01")).cast("timestamp")
+    known = nations.select(F.col("n_name").alias("ticker"), start.alias("start"))
+    starts = known.unionByName(known.groupBy(F.lit("GONE").alias("ticker")).agg(F.max("start").alias("start")))
+    return path, starts
+
+
+def paged_bars(spark, d):
+    path, starts = _landed(spark, d)
+    rows = pages.read_bars(spark, path, starts, pushdown=True)
+    return rows.filter(F.col("market_ts") >= F.lit("1995-01-01").cast("timestamp"))
+
+
+def tickers_without_pages(spark, d):
+    path, starts = _landed(spark, d)
+    return quality.tickers_without_rows(starts, pages.read_bars(spark, path, starts))
+
+
 def earliest_touched(spark, d):
     return bar_ops.earliest_touched(scan_starts(spark, d))
 
@@ -431,7 +466,8 @@ def member_spread(spark, d):
 
 
 def _features(program, spark, d):
-    index = _index(spark, d)
+    # one row a day, read by three of the five inputs
+    index = store.staged(_index(spark, d), fresh_path(spark, "index"))
     return feat.daily_features(
         program, dd.drawdown(index), index, _members(spark, d, regular=False), _volatility(spark, d), FEATURE_START,
         top=TOP_MEMBERS,
@@ -442,6 +478,17 @@ def features(program, spark, d):
     return rounded(_features(program, spark, d))
 
 
+def features_doubled_days(spark, d):
+    """Every day has two rows of the index and of the volatility; those of noon are the last."""
+    noon = F.col("ts") + F.make_dt_interval(hours=F.lit(12))
+    index = store.staged(_index(spark, d), fresh_path(spark, "index"))
+    raised = [(F.col(c) * 1.01).alias(c) if c.startswith("price_change") or c == "total_trading_value" else F.col(c) for c in index.columns]
+    both = index.withColumn("ts", noon).unionByName(index.select(*raised))
+    vix = _volatility(spark, d).withColumn("ts", F.col("day").cast("timestamp"))
+    both_vix = vix.withColumn("ts", noon).unionByName(vix.withColumn("value", F.col("value") + 1))
+    return rounded(feat.daily_features(feat.NEXT_BANK_DAY, dd.drawdown(both), both, _members(spark, d, regular=False), both_vix, FEATURE_START, top=TOP_MEMBERS))
+
+
 def training_rows(spark, d):
     return quality.hold_out_tail(features(feat.NEXT_BANK_DAY, spark, d))
 
@@ -461,6 +508,13 @@ def predictions(spark, d):
     return feat.predict(rows, model, feat.NEXT_BANK_DAY)
 
 
+def predictions_by_tree(spark, d):
+    """Like ``predictions`` with columns drawn per tree, and forty trees."""
+    rows = store.staged(_features(feat.NEXT_BANK_DAY, spark, d).repartition("day").sortWithinPartitions("day"), fresh_path(spark, "training"))
+    model, _ = feat.train_by_tree(quality.hold_out_tail(rows), feat.NEXT_BANK_DAY, rounds=40)
+    return model.predicted(rows, feat.NEXT_BANK_DAY.label + "_predicted").select("day", F.col(feat.NEXT_BANK_DAY.label + "_predicted").alias("prediction"))
+
+
 # --- streaming ---------------------------------------------------------------
 
 
@@ -570,6 +624,8 @@ def queries() -> dict[str, Query]:
         "subscriber_batches": subscriber_batches,
         "latest_per_id": table(latest_per_id),
         "chart_points": table(chart_points),
+        "nearest_points": table(nearest_points),
+        "polylines": polylines,
         "throughput": throughput,
         "asset_union": table(asset_union),
         "shared_tags": shared_tags,
@@ -591,6 +647,8 @@ def queries() -> dict[str, Query]:
         "first_since": table(first_since),
         "stale_tickers": stale_tickers,
         "scan_starts": scan_starts,
+        "paged_bars": table(paged_bars),
+        "tickers_without_pages": tickers_without_pages,
         "earliest_touched": earliest_touched,
         "universe_rejections": universe_rejections,
         "universe_duplicates": universe_duplicates,
@@ -653,7 +711,9 @@ def queries() -> dict[str, Query]:
         "features_forward_five_weeks": partial(features, feat.FORWARD_FIVE_WEEKS),
         "training_rows": training_rows,
         "feature_points": feature_points,
+        "features_doubled_days": features_doubled_days,
         "predictions": table(predictions),
+        "predictions_by_tree": table(predictions_by_tree),
         # financials
         "financial_quarters": table(partial(financial_periods, "Q")),
         "financial_years": table(partial(financial_periods, "A")),
@@ -671,6 +731,7 @@ def queries() -> dict[str, Query]:
         "stored_documents": stored.documents,
         "index_refresh": table(lambda s, d: stored.refreshed(s, d, _daily(s, d))),
         "index_redo": table(lambda s, d: stored.redone(s, d, _daily(s, d))),
+        "member_versions": table(lambda s, d: stored.member_versions(s, d, _daily(s, d))),
         "stale_mark": stored.stale_mark,
         # streaming
         "stream_trade_windows": table(partial(jobs.trade_windows_from_file, EVERY)),

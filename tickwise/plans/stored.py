@@ -62,13 +62,22 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return store.load(spark, table).drop("bucket")
 
 
-def _refreshed(spark: SparkSession, runs: list[tuple[DataFrame, str | None, bool]]) -> DataFrame:
-    """The stored members and index after some runs, each of (bars, stale mark, full)."""
+Run = tuple[DataFrame, str | None, bool]
+
+
+def _run(spark: SparkSession, runs: list[Run]) -> tuple[store.Table, store.Table, store.Table]:
+    """The stored members, index and states after some runs, each of (bars, stale mark, full)."""
     members = pipeline.members_table(fresh_path(spark, "members-table"))
     index = pipeline.index_table(fresh_path(spark, "index-table"))
+    states = pipeline.states_table(fresh_path(spark, "states-table"))
     for daily, mark, full in runs:
         marks = spark.createDataFrame([(mark,)], "d string").select(F.to_date("d").alias("stale_from"))
-        pipeline.refresh_index(spark, daily, members, index, marks, "1995-01-01", full)
+        pipeline.refresh_index(spark, daily, members, index, states, marks, "1995-01-01", full)
+    return members, index, states
+
+
+def _refreshed(spark: SparkSession, runs: list[Run]) -> DataFrame:
+    members, index, _ = _run(spark, runs)
     own = store.load(spark, members).select("ticker", "day", "price_change_avg", "month")
     whole = store.load(spark, index).select(F.lit("INDEX").alias("ticker"), "day", "price_change_avg", "month")
     return own.unionByName(whole).withColumn("month", F.col("month").cast("string"))
@@ -80,6 +89,14 @@ def refreshed(spark: SparkSession, folder: str, daily: DataFrame) -> DataFrame:
     return _refreshed(spark, [(held.filter("day < '2000-06-10'"), None, False), (held, "2000-06-10", False)])
 
 
+def member_versions(spark: SparkSession, folder: str, daily: DataFrame) -> DataFrame:
+    """The members' state as of each January, after a first run and two refreshes, the second of which goes further back."""
+    held = store.staged(daily, fresh_path(spark, "daily"))
+    runs = [(held.filter("day < '1998-03-10'"), None, False), (held.filter("day < '2000-06-10'"), "1998-02-20", False), (held, "1997-05-05", False)]
+    _, _, states = _run(spark, runs)
+    return store.load(spark, states).filter(F.month("as_of") == 1).drop("month")
+
+
 def redone(spark: SparkSession, folder: str, daily: DataFrame) -> DataFrame:
     """A full run over all bars, then another after the bars from 2000 on have gone."""
     held = store.staged(daily, fresh_path(spark, "daily"))
