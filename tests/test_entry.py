@@ -12,6 +12,13 @@ NAMES = [
     "microstructure_lagged",
     "institutional_pressure_basket",
     "subscriber_batches",
+    "microstructure_stepped",
+    "nearest_points",
+    "session_feed",
+    "quotations_of_the_last_hour",
+    "member_attribution_bear",
+    "pushed_batches",
+    "replayed_throughput",
     "decoded_trades",
     "daily_bars",
     "calendar",

@@ -72,3 +72,12 @@ def test_newest_rows_combine_before_the_shuffle(spark):
 
 def test_raw_trades_are_aggregated_by_hash(spark):
     assert "SortAggregate" not in plan(registry.queries()["trade_windows"](spark, FOLDER))
+
+
+def test_features_read_the_bars_once(spark):
+    both = bars.daily_bars_both(tables.bars(spark, FOLDER), registry.SEQUENCE)
+    assert plan(both).count("lineitem.parquet") == 1
+    want = {name: bars.daily_bars(tables.bars(spark, FOLDER), name == "regular", registry.SEQUENCE) for name in ("regular", "extended")}
+    for name, rows in want.items():
+        got = both.filter(f"{name} IS NOT NULL").select(f"{name}.*")
+        assert sorted(map(str, (r.asDict() for r in got.select(*rows.columns).collect()))) == sorted(map(str, (r.asDict() for r in rows.collect())))

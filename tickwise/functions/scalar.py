@@ -79,8 +79,12 @@ def spread_emphasis(x: Column | str) -> Column:
     return F.lit(10000.0) * F.tanh(_c(x) * 0.3)
 
 
+#: Rates closer to zero than this have no direction: what is left where prices cancel.
+NO_DIRECTION = 1e-9
+
+
 def sign(x: Column | str) -> Column:
-    return F.when(_c(x) > 0, 1).when(_c(x) < 0, -1).otherwise(0)
+    return F.when(_c(x) > NO_DIRECTION, 1).when(_c(x) < -NO_DIRECTION, -1).otherwise(0)
 
 
 def positive_log(x: Column | str) -> Column:

@@ -42,6 +42,31 @@ def daily_bars(bars: DataFrame, regular_hours: bool = True, order: list[str] | N
     )
 
 
+def daily_bars_both(bars: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Regular and extended bars of each ticker and bank day from one pass: columns ``regular`` (null where there is none) and ``extended``."""
+    by = _order(order or ["market_ts"])
+    flavours = {"regular": is_regular_hours("market_ts"), "extended": F.lit(True)}
+    held = bars.withColumn("_regular", flavours["regular"]).filter(is_bank_day(trading_day("market_ts")))
+
+    def of(name: str) -> list[Column]:
+        mine = (lambda c: F.when(F.col("_regular"), c)) if name == "regular" else (lambda c: c)
+        return [
+            F.min(mine(F.col("company"))).alias(f"{name}_company"),
+            F.min(mine(F.col("market_ts"))).alias(f"{name}_market_ts"),
+            F.min_by("opening_price", mine(by)).alias(f"{name}_opening_price"),
+            F.max_by("closing_price", mine(by)).alias(f"{name}_closing_price"),
+            F.max(mine(F.col("high_price"))).alias(f"{name}_high_price"),
+            F.min(mine(F.col("low_price"))).alias(f"{name}_low_price"),
+            F.avg(mine(F.col("volume_weighted_avg_price"))).alias(f"{name}_volume_weighted_avg_price"),
+            F.sum(mine(F.col("total_trading_value"))).alias(f"{name}_total_trading_value"),
+        ]
+
+    columns = ["company", "market_ts", *PRICES[:4], "volume_weighted_avg_price", "total_trading_value"]
+    grouped = held.groupBy("ticker", trading_day("market_ts").alias("day")).agg(*of("regular"), *of("extended"))
+    row = lambda name: F.struct("ticker", "day", *[F.col(f"{name}_{c}").alias(c) for c in columns])
+    return grouped.select(F.when(F.col("regular_market_ts").isNotNull(), row("regular")).alias("regular"), row("extended").alias("extended"))
+
+
 def price_change_rollup(changes: DataFrame, step: Column, ts: str = "ts") -> DataFrame:
     """The roll-up of bars applied to price-change rows, per ticker and ``step``."""
     return changes.groupBy("measurement", "ticker", step.alias("period")).agg(

@@ -545,7 +545,7 @@ def _quote_window_columns() -> str:
 
 
 def _metric_columns() -> str:
-    sign = "CASE WHEN {0} > 0 THEN 1 WHEN {0} < 0 THEN -1 ELSE 0 END"
+    sign = "CASE WHEN {0} > 1e-9 THEN 1 WHEN {0} < -1e-9 THEN -1 ELSE 0 END"
     rates = ["ask_change_rate", "bid_change_rate", "concession", "imbalance", "spread_change", "trade_position"]
     return (
         f"ts, ticker, {rs(*rates)}, {r('concession * 0.5', 'mid_change')}, "
@@ -627,7 +627,7 @@ SELECT ticker, w + INTERVAL 6 HOUR AS window_end_time, side, {r('max(median)', '
         "trade_deltas": _deltas("tw", TRADE_METRICS, TRADE_DELTAS),
         "quote_deltas": _deltas("qw", QUOTE_METRICS, QUOTE_DELTAS),
         "microstructure_metrics": f"SELECT {_metric_columns()} FROM moved_2",
-        "microstructure_stepped": f"SELECT * EXCLUDE (agree) FROM (SELECT {_metric_columns()} FROM stepped_moved_2)",
+        "microstructure_stepped": f"SELECT {_metric_columns()} FROM stepped_moved_2",
         "microstructure_cumulative": f"""
 SELECT ts, ticker, 'mid_change' AS field, {r('sum(concession * 0.5) OVER (PARTITION BY ticker ORDER BY ts)', 'value')} FROM moved_2""",
         "microstructure_lagged": f"SELECT {_metric_columns()} FROM lagged_2",
@@ -974,6 +974,36 @@ FROM bars JOIN nation ON n_name = ticker WHERE market_ts >= greatest({start}, TI
     out["tickers_without_pages"] = f"""
 SELECT n_name AS ticker, {start} AS start FROM nation WHERE n_name NOT IN (SELECT ticker FROM bars)
 UNION ALL SELECT 'GONE', max({start}) FROM nation"""
+    out["series_scan"] = f"""
+SELECT 'index-daily-change-regular-hours' AS measurement, ts, {rs('price_change_avg', 'total_trading_value')}
+FROM index_regular WHERE ts >= TIMESTAMP '1997-01-01' AND ts < TIMESTAMP '1998-01-01'"""
+    out["document_lookup"] = """
+SELECT 'f#' || o_custkey AS pk, o_orderstatus AS sk, CAST(max(o_orderkey) AS VARCHAR) AS body, max(o_orderkey) AS version
+FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders) OR (o_custkey = (SELECT max(o_custkey) FROM orders) AND o_orderstatus = 'F') GROUP BY ALL"""
+    out["training_export"] = f"""
+SELECT {', '.join(f'CAST({c} AS DOUBLE) AS {c}' if c.startswith('days_since') else c for c in feat.NEXT_BANK_DAY.columns)} FROM ({out['training_rows']})"""
+    out["universe_table"] = """
+SELECT n_name AS ticker, n_name || ' Inc' AS company, CAST(NULL AS VARCHAR) AS series, DATE '1990-01-01' AS start_date, CAST(NULL AS DATE) AS end_date,
+       CAST(NULL AS VARCHAR) AS fundamentals_ticker, n_nationkey % 5 = 0 AS skip FROM nation"""
+    out["sampled_companies"] = "SELECT least(count(*), 10) AS companies, false AS skip FROM nation WHERE n_nationkey % 5 <> 0"
+    out["session_feed"] = f"""
+SELECT symbol, trade_id, market_ts, {rs('price', 'lot_size')} FROM trades
+WHERE market_ts >= (SELECT {utc("CAST(CAST(max(ts) AS DATE) AS TIMESTAMP) + INTERVAL '8:30:00'")} FROM events)"""
+    out["statement_responses"] = """
+SELECT ticker, ticker < 'C' AS annual, ticker BETWEEN 'B' AND 'G' AS quarterly FROM companies WHERE ticker < 'C' OR ticker BETWEEN 'B' AND 'G'"""
+    out["least_instants"] = """
+SELECT event_id, least(CASE WHEN event_id % 2 <> 0 THEN ts + INTERVAL 5 HOUR END, CASE WHEN event_id % 3 <> 0 THEN ts + INTERVAL 3 HOUR END,
+  CASE WHEN event_id % 5 <> 0 THEN ts + INTERVAL 4 HOUR END) AS earliest FROM events"""
+    out["checked_features"] = f"SELECT count(*) AS rows, {r('max(vix)', 'vix')}, 3 AS refused FROM features_two_weeks"
+    first_day = "(SELECT CAST(CAST(min(ts) AS DATE) AS TIMESTAMP) FROM events)"
+    out["quotations_of_a_day"] = f"""
+{out['windowed_quotations'].strip()} WHERE ticker = 'purchase' AND window_end_time >= {first_day} + INTERVAL 9 DAY AND window_end_time < {first_day} + INTERVAL 10 DAY"""
+    newest = "(SELECT max(window_end_time) + INTERVAL 30 MINUTE FROM qw)"
+    out["quotations_of_the_last_hour"] = f"""
+{out['windowed_quotations'].strip()} WHERE window_end_time >= {newest} - INTERVAL 1 HOUR AND window_end_time < {newest}"""
+    out["member_trends_included"] = out["member_trends"] + " AND ticker IN ('NATION_1', 'NATION_2')"
+    out["member_attribution_bull"] = attribution("idx > 0.2")
+    out["member_attribution_bear"] = attribution("idx < -0.2 AND ticker IN ('NATION_3', 'NATION_4')")
     out["replayed_windows"] = f"SELECT *, 1 AS deliveries FROM ({out['stream_trade_windows']})"
     out["replayed_throughput"] = out["throughput"]
     out["live_assets"] = out["stream_trade_windows"]

@@ -27,7 +27,7 @@ from tickwise.plans import stored
 from tickwise.plans.rounding import shown
 from tickwise.sources import bars as bar_source
 from tickwise.session import fresh_path
-from tickwise.sources import feed, pages, points, polling, store, tables
+from tickwise.sources import feed, pages, points, polling, store, tables, universe
 from tickwise.streaming import fanout
 from tickwise.streaming import jobs
 
@@ -97,13 +97,10 @@ def window_medians(spark, d):
 
 
 def microstructure_stepped(spark, d):
-    """Windows of one minute, averaged over the quarter-hour steps of a week's look-back.
-
-    Most steps hold one trade, whose position is zero but for the last bit, so whether the signs agree is left out.
-    """
+    """Windows of one minute, averaged over the quarter-hour steps of a week's look-back."""
     quotes = windows.quote_windows(tables.quotes(spark, d), "1 minute")
     trades = windows.trade_windows(tables.trades(spark, d), "1 minute")
-    return ms.microstructure_metrics(quotes, trades, look_back="-7d").drop("agree")
+    return ms.microstructure_metrics(quotes, trades, look_back="-7d")
 
 
 def microstructure_cumulative(spark, d):
@@ -466,12 +463,12 @@ def member_spread(spark, d):
 
 
 def _features(program, spark, d):
-    # one row a day, read by three of the five inputs
-    index = store.staged(_index(spark, d), fresh_path(spark, "index"))
-    return feat.daily_features(
-        program, dd.drawdown(index), index, _members(spark, d, regular=False), _volatility(spark, d), FEATURE_START,
-        top=TOP_MEMBERS,
-    )
+    # one pass over the bars for both flavours, and the index, read by three of the five inputs, has a row a day
+    both = store.staged(bar_ops.daily_bars_both(tables.bars(spark, d), SEQUENCE), fresh_path(spark, "daily"))
+    regular = ix.index_members(both.filter("regular IS NOT NULL").select("regular.*"))
+    extended = ix.index_members(both.select("extended.*"), regular_hours=False)
+    index = store.staged(ix.index_series(regular), fresh_path(spark, "index"))
+    return feat.daily_features(program, dd.drawdown(index), index, extended, _volatility(spark, d), FEATURE_START, top=TOP_MEMBERS)
 
 
 def features(program, spark, d):
@@ -555,6 +552,105 @@ def statement_lookup(spark, d):
     return fin.statements(_reports(spark, d, "Q"), "BUILDING", "1998Q2")
 
 
+# --- lookups and checks ------------------------------------------------------
+
+
+def series_scan(spark, d):
+    """A year of the regular index from a table that holds both flavours."""
+    table = store.Table(fresh_path(spark, "series"), ["measurement", "ts"], ["measurement"])
+    store.upsert(_index(spark, d).unionByName(_index(spark, d, regular=False)).select("measurement", "ts", "price_change_avg", "total_trading_value"), table)
+    return store.scan(store.load(spark, table), ix.measurements(True)[1], "1997-01-01", "1998-01-01")
+
+
+def document_lookup(spark, d):
+    """The documents of one customer, and of another one of one kind."""
+    orders = tables.read(spark, d, "orders")
+    rows = orders.select(
+        F.concat(F.lit("f#"), "o_custkey").alias("pk"), F.col("o_orderstatus").alias("sk"),
+        F.col("o_orderkey").cast("string").alias("body"), F.col("o_orderkey").alias("version"),
+    )
+    table = store.document_table(fresh_path(spark, "documents"))
+    store.put_documents(rows, table)
+    first, last = (f"f#{k}" for k in orders.agg(F.min("o_custkey"), F.max("o_custkey")).first())
+    return store.query_documents(spark, table, first).unionByName(store.query_documents(spark, table, last, "F"))
+
+
+def training_export(spark, d):
+    """The exported file, read again: no header, the label first, the last days left out."""
+    program = feat.NEXT_BANK_DAY
+    out = fresh_path(spark, "export")
+    feat.export_csv(features(program, spark, d), program, out, "run")
+    return spark.read.schema(", ".join(f"{c} double" for c in program.columns)).csv(f"{out}/{program.name}/latest")
+
+
+def universe_table(spark, d):
+    """The universe as a configured table of nations, read back with its schema."""
+    nations = tables.read(spark, d, "nation")
+    rows = nations.select(
+        F.col("n_name").alias("ticker"), F.concat("n_name", F.lit(" Inc")).alias("company"), F.lit("1990-01-01").alias("start_date"), (F.col("n_nationkey") % 5 == 0).alias("skip")
+    )
+    path = fresh_path(spark, "universe")
+    rows.write.json(path)
+    return universe.read_universe_table(spark, path)
+
+
+def sampled_companies(spark, d):
+    """Ten companies a run, drawn from those that aren't skipped; the run's seed says which."""
+    return fin.sample_companies(universe_table(spark, d), 10, 7).select(F.count("ticker").over(Window.partitionBy("skip")).alias("companies"), "skip").distinct()
+
+
+def session_feed(spark, d):
+    """Trades from an hour before the opening bell of the last day on."""
+    rows = tables.trades(spark, d)
+    last = rows.select(F.to_date(F.max("market_ts")).cast("string")).first()[0]
+    return feed.since(rows, cal.feed_start(last))
+
+
+def statement_responses(spark, d):
+    """Responses with annual statements, with quarterly ones, and with neither, which are left out."""
+    responses = fin.responses_from_totals(tables.statement_totals(spark, d))
+    ticker = F.col("company_info.ticker")
+    kept = lambda part, when: F.when(when, F.col(f"financial_data.{part}")).alias(part)
+    data = F.struct(kept("annual", ticker < "C"), kept("quarterly", ticker.between("B", "G"))).alias("financial_data")
+    return responses.select(ticker.alias("ticker"), data).filter(fin.has_statements()).select(
+        "ticker", F.col("financial_data.annual").isNotNull().alias("annual"), F.col("financial_data.quarterly").isNotNull().alias("quarterly")
+    )
+
+
+def least_instants(spark, d):
+    """The earliest of up to three optional times of each event."""
+    ts = F.col("ts").cast("timestamp")
+    later = lambda n, hours: F.when(F.col("event_id") % n != 0, ts + F.make_dt_interval(hours=F.lit(hours)))
+    first = cal.earliest(later(2, 5), later(3, 3), later(5, 4))
+    return tables.read(spark, d, "events").select("event_id", first.alias("earliest"))
+
+
+def checked_features(spark, d):
+    """Feature rows with exactly the declared columns, the label first; rows of other columns are refused."""
+    program = feat.FORWARD_TWO_WEEKS
+    rows = features(program, spark, d).drop("day")
+    refused = 0
+    for wrong in (rows.drop("vix"), rows.withColumn("more", F.lit(1)), rows.select(*reversed(rows.columns))):
+        try:
+            quality.check_columns(wrong, program.columns, program.label)
+        except TypeError:
+            refused += 1
+    return quality.check_columns(rows, program.columns, program.label).agg(F.count(F.lit(1)).alias("rows"), F.max("vix").alias("vix")).withColumn("refused", F.lit(refused))
+
+
+def quotations_of_a_day(spark, d):
+    """Windows of one symbol that ended on the tenth day of the data."""
+    first = tables.quotes(spark, d).select(F.date_trunc("day", F.min("market_ts"))).scalar()
+    start = first + F.make_dt_interval(days=F.lit(9))
+    return ms.windowed_quotations(_quote_windows(spark, d, closing=True), "purchase", start, start + F.make_dt_interval(days=F.lit(1)))
+
+
+def quotations_of_the_last_hour(spark, d):
+    """Windows of all symbols that ended in the hour up to half an hour after the newest one."""
+    rows = _quote_windows(spark, d, closing=True)
+    return ms.last_hour(rows, None, rows.select(F.max("window_end_time") + F.make_dt_interval(mins=F.lit(30))).scalar())
+
+
 # --- dashboard parts ---------------------------------------------------------
 
 
@@ -724,6 +820,25 @@ def queries() -> dict[str, Query]:
         "bank_day_range": bank_day_range,
         "index_level_anchored": table(index_level_anchored),
         "epochs": epochs,
+        # lookups and checks
+        "series_scan": table(series_scan),
+        "document_lookup": document_lookup,
+        "training_export": table(training_export),
+        "universe_table": universe_table,
+        "sampled_companies": sampled_companies,
+        "session_feed": table(session_feed),
+        "statement_responses": statement_responses,
+        "least_instants": least_instants,
+        "checked_features": table(checked_features),
+        "quotations_of_a_day": table(quotations_of_a_day),
+        "quotations_of_the_last_hour": table(quotations_of_the_last_hour),
+        "member_trends_included": on_members(mi.member_trends, included=["NATION_1", "NATION_2", "NATION_7"], excluded=["NATION_7"]),
+        "member_attribution_bull": table(
+            lambda s, d: mi.member_attribution(_index(s, d), _members(s, d), direction="bull").drop("company")
+        ),
+        "member_attribution_bear": table(
+            lambda s, d: mi.member_attribution(_index(s, d), _members(s, d), direction="bear", included=["NATION_3", "NATION_4"]).drop("company")
+        ),
         # stored tables
         "stored_upsert": table(stored.upserted),
         "stored_delete": table(stored.deleted),
