@@ -120,3 +120,47 @@ def test_smaller_payloads_are_all_responses(spark):
     kinds = warc.read_archives(spark, path).filter(F.col("type").isin("response", "revisit"))
     assert sorted((r.record_id, r.type) for r in kinds.collect()) == [
         ("<urn:page:1:response>", "response"), ("<urn:page:2:response>", "response"), ("<urn:page:3:response>", "revisit"), ("<urn:page:4:response>", "response")]
+
+
+def test_bad_lengths_give_truncated_records(spark, tmp_path):
+    http = b"HTTP/1.0 200 OK\r\nContent-Length: many\r\n\r\n"
+    rows = [
+        record("response", "<r1>", b"HTTP/1.0 200 OK\r\n\r\nbody", Content_Type="application/http").replace(b"Content-Length: 23", b"Content-Length: abc"),
+        record("revisit", "<r2>", http, Content_Type="application/http; msgtype=response"),
+        record("metadata", "<m1>", b"x", WARC_Concurrent_To="<r1>").replace(b"Content-Length: 1\r\n", b""),
+        record("resource", "<r3>", b"whole"),
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(b"".join(rows)))
+    found = {r.record_id: r for r in warc.read_archives(spark, str(tmp_path)).collect()}
+    assert {k for k, r in found.items() if r.truncated} == {"<r1>", "<m1>"} and len(found) == 4
+    assert bytes(found["<r1>"].body) == b"body" and bytes(found["<m1>"].body) == b"x" and bytes(found["<r3>"].body) == b"whole"
+    assert found["<r2>"].body_bytes == 0
+
+
+def test_chains_of_any_length_and_types_of_any_name(spark, tmp_path):
+    rows = [record("response", "<r>", b"x")] + [record("metadata", f"<m{i}>", b"y", WARC_Concurrent_To=f"<m{i - 1}>" if i else "<r>") for i in range(6)]
+    rows += [record("novel", "<n>", b"z", WARC_Concurrent_To="<m5>"), record("request", "<a>", b"q", WARC_Concurrent_To="<b>"), record("request", "<b>", b"q", WARC_Concurrent_To="<a>")]
+    rows += [record("warcinfo", "<i>", b"info"), record("novel", "<lost>", b"z")]
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(b"".join(rows)))
+    records = warc.read_archives(spark, str(tmp_path)).cache()
+    nameless = records.filter("record_id = '<lost>'").withColumns({"record_id": F.lit(None).cast("string"), "type": F.lit(None).cast("string")})
+    by = {r.capture: r for r in warc.assemble(records.unionByName(nameless).unionByName(nameless.withColumn("uri", F.lit("u")))).collect()}
+    assert set(by) == {"<r>", "<a>", "<b>", "<lost>", None}
+    assert sorted(x.record_id for x in by["<r>"].metadata) == sorted([*[f"<m{i}>" for i in range(6)], "<n>"])
+    assert [x.record_id for x in by["<a>"].requests] == ["<a>"] and len(by[None].metadata) == 2
+
+
+def test_plain_archives_are_read_whole(spark, tmp_path):
+    """Blocks that hold the mark of a record, in a file that Spark splits."""
+    block = b"WARC/1.0 is a mark, and WARC/1.1 another. " * 50
+    rows = [record("resource", f"<r{i}>", block + str(i).encode()) for i in range(200)]
+    (tmp_path / "a.warc").write_bytes(b"".join(rows))
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "20000")
+    try:
+        found = {r.record_id: r for r in warc.read_archives(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set(name, before)
+    assert len(found) == 200 and not any(r.truncated for r in found.values())
+    assert all(bytes(found[f"<r{i}>"].body) == block + str(i).encode() for i in range(200))

@@ -89,22 +89,30 @@ def write_archives(records: DataFrame, path: str) -> None:
 # --- reading ----------------------------------------------------------------
 
 
+def _length(value: str | None) -> int | None:
+    """A length as headers give it; None if it isn't one."""
+    return int(value) if value is not None and value.isascii() and value.strip().isdigit() else None
+
+
 def _parsed(archive: str, data: bytes, cut: bool) -> dict:
-    """``data`` follows the mark: minor version, header lines, an empty line, and the block."""
+    """``data`` follows the mark: minor version, header lines, an empty line, and the block.
+
+    A record without a readable length is truncated; its block is what there is up to the next record.
+    """
     head, _, rest = data.partition(b"\r\n\r\n")
     fields: dict[str, list[str]] = {}
     for line in head.decode("utf-8", "replace").split(END)[1:]:
         name, _, value = line.partition(":")
         fields.setdefault(name.strip().lower(), []).append(value.strip())
     one = lambda name: fields.get(name, [None])[0]
-    length = int(one("content-length") or 0)
-    block = rest[:length]
+    length = _length(one("content-length"))
+    block = rest[:length] if length is not None else rest.removesuffix(b"\r\n\r\n")
     headers, body, size = "", block, None
     if (one("content-type") or "").startswith("application/http"):
         top, _, body = block.partition(b"\r\n\r\n")
         headers = top.decode("utf-8", "replace")
         if one("warc-type") == "revisit":
-            size = next((int(x.split(":")[1]) for x in headers.lower().split(END) if x.startswith("content-length:")), None)
+            size = next((_length(x.split(":")[1].strip()) for x in headers.lower().split(END) if x.startswith("content-length:")), None)
     return {
         "archive": archive,
         "type": one("warc-type"),
@@ -117,7 +125,7 @@ def _parsed(archive: str, data: bytes, cut: bool) -> dict:
         "headers": headers,
         "body": body,
         "body_bytes": len(body) if size is None else size,
-        "truncated": cut,
+        "truncated": cut or length is None,
     }
 
 
@@ -125,8 +133,9 @@ def _complete(data: bytes) -> bool:
     head, found, rest = data.partition(b"\r\n\r\n")
     if not found:
         return False
-    length = next((int(x.split(b":")[1]) for x in head.lower().split(b"\r\n") if x.startswith(b"content-length:")), 0)
-    return len(rest) >= length
+    lines = head.decode("utf-8", "replace").lower().split(END)
+    length = next((_length(x.split(":")[1].strip()) for x in lines if x.startswith("content-length:")), None)
+    return length is None or len(rest) >= length
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -134,8 +143,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     Archives are read in pieces that begin at the version mark, in order, so no archive is held
     whole. Where a block holds the mark itself, pieces are put together until the
-    record's Content-Length is reached; compressed archives aren't split, so
-    all pieces are at hand. An archive that ends within a record gives that record as ``truncated``.
+    record's Content-Length is reached. Compressed archives aren't split, so
+    all pieces are at hand; pieces of others are brought together first, an archive a task. An archive that ends within a record gives that record as ``truncated``.
     ``body`` is the payload behind the HTTP headers, or the block; ``body_bytes`` of a revisit is what its headers say.
     """
 
@@ -166,8 +175,20 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             yield pd.DataFrame([_parsed(archive, held, True)], columns=columns)
 
     small_batches(spark)
-    pieces = spark.read.option("lineSep", MARK).text(path).select(F.col("_metadata.file_path").alias("archive"), F.col("value").cast("binary").alias("piece"))
-    return pieces.mapInPandas(records, RECORD)
+    lines = spark.read.option("lineSep", MARK).text(path)
+    name = F.col("_metadata.file_path")
+    packed = F.lit(False)
+    for ending in COMPRESSED:
+        packed = packed | F.endswith(F.lower(name), F.lit(ending))
+    piece = F.col("value").cast("binary").alias("piece")
+    whole = lines.filter(packed).select(name.alias("archive"), piece)
+    split = lines.filter(~packed).select(name.alias("archive"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"), piece)
+    joined = split.repartition("archive").sortWithinPartitions("archive", "start", "line").select("archive", "piece")
+    return whole.mapInPandas(records, RECORD).unionByName(joined.mapInPandas(records, RECORD))
+
+
+#: Endings of archives that can't be split.
+COMPRESSED = (".gz", ".bz2", ".zst", ".xz", ".lz4", ".snappy")
 
 
 # --- transactions -----------------------------------------------------------
@@ -178,30 +199,37 @@ ANCHORS = ("response", "revisit", "resource")
 def assemble(records: DataFrame, part: int = 64) -> DataFrame:
     """One nested row per capture: (capture, part, response, requests, metadata).
 
-    The response, revisit or resource record is the capture. Others belong to it if their
+    The response, revisit or resource record is the capture. Others, of any type but warcinfo, belong to it if their
     WARC-Concurrent-To names it, if its own names them, or if theirs names a record that belongs
-    to it; a record that belongs nowhere is a capture without response. Repeated companions count once; repeated
+    to it, over any number of steps; a record that belongs nowhere is a capture without response, and records without an id are
+    one. ``requests`` has the requests and ``metadata`` all other companions. Repeated companions count once; repeated
     responses are a row each. A capture with more than ``part`` companions goes on in further rows
     (part 1, 2, ... without response), so that a row and its group stay small whatever is concurrent to one record.
     ``records`` is read several times and should be stored.
     """
     anchors = records.filter(F.col("type").isin(*ANCHORS))
-    others = records.filter(~F.col("type").isin(*ANCHORS) & F.col("type").isin("request", "metadata", "conversion", "continuation"))
+    others = records.filter(~F.coalesce(F.col("type").isin(*ANCHORS, "warcinfo"), F.lit(False)))
     ids = anchors.select(F.col("record_id").alias("capture")).distinct()
     named = others.select(F.col("record_id").alias("id"), F.explode("concurrent_to").alias("to")).distinct()
     direct = named.join(ids, F.col("to") == F.col("capture")).select("id", "capture")
     back = anchors.select(F.explode("concurrent_to").alias("id"), F.col("record_id").alias("capture"))
     near = direct.unionByName(back).distinct()
-    far = named.alias("n").join(near.alias("m"), F.col("n.to") == F.col("m.id")).select("n.id", "m.capture")
-    belongs = near.unionByName(far).distinct()
+    belongs = reached = stage(near, "warc-near")
+    while not reached.isEmpty():
+        far = named.alias("n").join(reached.alias("m"), F.col("n.to") == F.col("m.id")).select("n.id", "m.capture").distinct()
+        reached = stage(far.join(belongs, ["id", "capture"], "left_anti"), "warc-far")
+        belongs = belongs.unionByName(reached)
 
     detail = F.struct("type", "record_id", "uri", "date", "headers", "body", "body_bytes", "truncated")
     known = others.select(F.col("record_id").alias("rid"), detail.alias("record"))
     placed = known.join(belongs, F.col("rid") == F.col("id"), "left").withColumn("capture", F.coalesce("capture", "rid"))
     counts = placed.groupBy("capture").agg(F.ceil(F.count("*") / F.lit(part)).alias("parts"))
-    numbered = placed.join(counts, "capture").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"))
-    of = lambda kinds: F.array_sort(F.collect_set(F.when(F.col("record.type").isin(*kinds), F.col("record"))))
-    grouped = numbered.groupBy("capture", "part").agg(of(["request"]).alias("requests"), of(["metadata", "conversion", "continuation"]).alias("metadata"))
+    counts = counts.withColumnRenamed("capture", "of")
+    which = F.xxhash64("rid", "record.type", "record.uri", "record.body")
+    numbered = placed.join(counts, F.col("capture").eqNullSafe(F.col("of"))).withColumn("part", F.pmod(which, F.col("parts")).cast("int"))
+    asks = F.coalesce(F.col("record.type") == "request", F.lit(False))
+    of = lambda kind: F.array_sort(F.collect_set(F.when(kind, F.col("record"))))
+    grouped = numbered.groupBy("capture", "part").agg(of(asks).alias("requests"), of(~asks).alias("metadata"))
 
     answer = F.struct("type", "record_id", "refers_to", "uri", "date", "digest", "headers", "body", "body_bytes", "truncated")
     first = anchors.select(F.col("record_id").alias("rid"), answer.alias("response"))
