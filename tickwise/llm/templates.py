@@ -23,13 +23,13 @@ class Rule:
 
 @dataclass(frozen=True)
 class TreeSettings:
-    """``depth``: segments that are looked at one by one, what follows is one more. ``fan``: distinct
-    children above which a place's children are variable, but for those that stand apart. ``chi_square``: siblings whose labels differ less are one branch
+    """``depth``: segments that are looked at one by one, what follows is one more. ``apart``: the chi-square from which a
+    child's labels differ from those of all its siblings (6.635: one per cent). ``chi_square``: branches whose labels differ less are one
     (2.706: ten per cent). ``prior``: pages that the host's purity counts as, and all pages' for the host. ``purity``: the least
     share of good pages."""
 
     depth: int = 5
-    fan: int = 24
+    apart: float = 6.635
     chi_square: float = 2.706
     prior: float = 8.0
     purity: float = 0.5
@@ -55,7 +55,12 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column,
 
 
 def shape(path: Column, depth: int) -> Column:
-    """The path's segments with runs of digits as {n} and long hexadecimal words as {h}; what lies deeper than ``depth`` is one segment."""
+    """The path's segments with runs of digits as {n} and long hexadecimal words as {h}; what lies deeper than ``depth`` is one segment.
+
+    Signs that stand for something in a template are written as in urls where a path has them itself.
+    """
+    for sign, code in zip("*|{}", ("%2A", "%7C", "%7B", "%7D")):
+        path = F.replace(path, F.lit(sign), F.lit(code))
     words = F.regexp_replace(path, "(?<![0-9A-Za-z])(?=[0-9a-fA-F]*[0-9])[0-9a-fA-F]{12,}(?![0-9A-Za-z])", "{h}")
     general = F.regexp_replace(words, "[0-9]+", "{n}")
     return bind(
@@ -94,37 +99,30 @@ def merge_branches(names: list[str], good: list[int], bad: list[int], limit: flo
     return out
 
 
-#: Shares of good pages are told apart in so many steps where more children than ``fan`` stand apart.
+#: Children that stand apart are told apart by their share of good pages in so many steps.
 STEPS = 64
 
 
-def standing_apart(wide: DataFrame, settings: TreeSettings) -> DataFrame:
-    """(host, template, segment, label, good, bad): children of wide places whose labels differ from those of all
-    others of the place, whatever their number.
+def standing_apart(children: DataFrame, settings: TreeSettings) -> DataFrame:
+    """(host, template, segment, label, good, bad): children whose labels differ from those of all others of their place.
 
-    A child needs as many labels as the prior counts for, and a chi-square that grows with the logarithm of the number of
-    children, since so many are tried. If at most ``fan`` children of a place stand apart, they are labelled by name, otherwise by
-    their share of good pages.
+    The rule is the same for any number of children: one child's labels against the others' sum. Children are labelled by their share of good pages.
     """
-    totals = wide.groupBy("host", "template").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"), F.count("*").alias("children"))
+    totals = children.groupBy("host", "template").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
     good, bad, g, b = (F.col(x).cast("double") for x in ("good", "bad", "g", "b"))
     n, total = good + bad, g + b
     across = n * (total - n) * g * b
     score = F.when(across > 0, total * F.pow(good * (b - bad) - bad * (g - good), 2) / across).otherwise(0.0)
-    enough = score >= F.lit(settings.chi_square) + 2 * F.log(F.col("children").cast("double"))
-    kept = wide.join(totals, ["host", "template"]).filter((n >= settings.prior) & enough).select("host", "template", "segment", "good", "bad")
-    counts = kept.groupBy(F.col("host").alias("h"), F.col("template").alias("t")).agg(F.count("*").alias("kept"))
-    kept = kept.join(counts, (F.col("host") == F.col("h")) & (F.col("template") == F.col("t")))
     share = F.format_string("*%02d", F.floor(good * STEPS / n).cast("int"))
-    return kept.select("host", "template", "segment", F.when(F.col("kept") <= settings.fan, F.col("segment")).otherwise(share).alias("label"), "good", "bad")
+    kept = children.join(totals, ["host", "template"]).filter(score >= settings.apart)
+    return kept.select("host", "template", "segment", share.alias("label"), "good", "bad")
 
 
 def grow_tree(shapes: DataFrame, settings: TreeSettings) -> DataFrame:
     """``shapes`` (host, shape, n, good, bad; one row each) with a column ``template``.
 
-    Level by level: a place with at most ``fan`` distinct children has them listed, and similar ones joined. Of a place
-    with more, those that stand apart are listed, by name or by share, and the others are ``*``; so lists are at
-    most ``fan`` or ``STEPS`` + 1 long. Hosts and places are
+    Level by level: the children of a place that stand apart go by their share of good pages, and shares that don't differ are
+    joined; all other children are variable, ``*``. So a place's list has at most ``STEPS`` + 1 entries whatever its children are. Hosts and places are
     aggregated where they are read; a host's shapes are never gathered.
     """
 
@@ -132,28 +130,21 @@ def grow_tree(shapes: DataFrame, settings: TreeSettings) -> DataFrame:
     def merged(names: pd.Series, good: pd.Series, bad: pd.Series) -> pd.Series:
         return pd.Series([merge_branches(list(n), list(g), list(b), settings.chi_square) for n, g, b in zip(names, good, bad)], dtype=object)
 
-    def branches(labelled: DataFrame) -> DataFrame:
-        sums = labelled.groupBy("host", "template", "label").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-        lists = sums.groupBy("host", "template").agg(F.sort_array(F.collect_list(F.struct("label", "good", "bad"))).alias("x"))
-        return lists.select("host", "template", merged("x.label", "x.good", "x.bad").alias("names"))
-
     deepest = shapes.agg(F.max(F.size("shape"))).first()[0] or 0
     tree = shapes.withColumn("template", F.lit(""))
     for level in range(2, deepest + 1):
         segment = F.get("shape", F.lit(level - 1))
         children = tree.filter(segment.isNotNull()).groupBy("host", "template", segment.alias("segment")).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-        sizes = children.groupBy("host", "template").agg(F.count("*").alias("fan"))
-        children = stage(children.join(sizes, ["host", "template"]), "url-children")
-        listed = branches(children.filter(F.col("fan") <= settings.fan).withColumn("label", F.col("segment")))
-        apart = stage(standing_apart(children.filter(F.col("fan") > settings.fan), settings), "url-apart")
-        named = listed.select("host", "template", "names")
-        tree = tree.join(named.toDF("h", "t", "names"), (F.col("host") == F.col("h")) & (F.col("template") == F.col("t")), "left").drop("h", "t")
-        branch = apart.join(branches(apart), ["host", "template"]).select("host", "template", "segment", F.element_at("names", F.col("label")).alias("branch"))
+        apart = stage(standing_apart(stage(children, "url-children"), settings), "url-apart")
+        sums = apart.groupBy("host", "template", "label").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+        lists = sums.groupBy("host", "template").agg(F.sort_array(F.collect_list(F.struct("label", "good", "bad"))).alias("x"))
+        names = lists.select("host", "template", merged("x.label", "x.good", "x.bad").alias("names"))
+        branch = apart.join(names, ["host", "template"]).select("host", "template", "segment", F.element_at("names", F.col("label")).alias("branch"))
         same = (F.col("host") == F.col("h")) & (F.col("template") == F.col("t")) & (segment == F.col("s"))
         tree = tree.join(branch.toDF("h", "t", "s", "branch"), same, "left")
-        step = F.when(F.col("names").isNull(), F.coalesce("branch", F.lit("*"))).otherwise(F.element_at("names", segment))
-        tree = tree.withColumn("template", F.when(segment.isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), step)))
-        tree = stage(tree.drop("h", "t", "s", "names", "branch"), "url-tree")
+        step = F.concat("template", F.lit("/"), F.coalesce("branch", F.lit("*")))
+        tree = tree.withColumn("template", F.when(segment.isNull(), F.col("template")).otherwise(step))
+        tree = stage(tree.drop("h", "t", "s", "branch"), "url-tree")
     return tree
 
 
