@@ -88,3 +88,29 @@ def test_rows_that_share_a_key_are_drawn_by_themselves(spark):
     assert max(times.values()) <= 3
     size = {row: len(text.split()) for _, _, text, row in rows}
     assert abs(sum(size[i] * n for i, n in times.items()) - sum(size.values())) <= 2 * max(size.values())
+
+
+def test_a_repeated_row_changes_its_own_source_alone(spark):
+    rows = [(i, "abc"[i % 3], f"x{i} " * (5 + i % 4)) for i in range(300)]
+    frame = lambda some, n: spark.createDataFrame(some, "doc_id long, source string, text string").repartition(n)
+    count = lambda df: Counter((r.doc_id, r.source) for r in mixing.mixed(df, "doc_id", "source", "text").collect())
+    before = count(frame(rows, 3))
+    more = [*rows, rows[3], rows[3], (None, "a", "null id"), (None, "a", "null id")]
+    after = count(frame(more, 3))
+    assert after == count(frame(more, 5))
+    shares = lambda c, s: {k: n for k, n in c.items() if k[1] == s}
+    assert {k[0] for k in after} <= {r[0] for r in more} and max(n for k, n in after.items() if k[0] not in (3, None)) <= 3
+    changed = sum(before[k] != after[k] for k in before if k[1] != "a")
+    assert changed <= 4 and len(shares(after, "b")) > 0  # targets move a little, since all sizes count
+
+
+def test_equal_rows_are_numbered_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "STRIDE", 7)
+    df = spark.createDataFrame([(1, "a", "w w w")] * 100 + [(i, "b", "w w w w") for i in range(2, 60)], "doc_id long, source string, text string").withColumns({"id": F.lit(1), "row": F.lit(2), "of": F.lit(3), "n": F.lit(4), "drawn": F.lit(5)})
+    got = mixing.mixed(df, "doc_id", "source", "text")
+    assert got.columns == df.columns
+    sizes = Counter()
+    for r in got.collect():
+        sizes[r.source] += len(r.text.split())
+    total = 300 + 58 * 4
+    assert abs(sum(sizes.values()) - total) <= 8 and sizes["a"] <= 900 and sizes["b"] <= 3 * 232

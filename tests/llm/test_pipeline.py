@@ -72,3 +72,19 @@ def test_empty_table(spark, docs):
     for _, step in corpus_pipeline.STAGES:
         rows = stage(step(spark, rows, FOLDER), "test-empty")
     assert rows.count() == 0
+
+
+def test_odd_rows(spark, odd):
+    """Nulls, empty and long texts, repeated rows and ids, columns named like results: no crash, defined results."""
+    rows = odd.withColumns({"row": odd.doc_id, "sha": odd.doc_id, "words": odd.doc_id, "of": odd.doc_id, "drawn": odd.doc_id, "draw": odd.doc_id, "__gone": odd.doc_id, "__id": odd.doc_id})
+    seen = {}
+    for name, step in corpus_pipeline.STAGES[1:]:
+        before = rows
+        rows = stage(step(spark, rows, FOLDER), f"odd-{name}")
+        seen[name] = rows
+        assert name == "packing" or rows.columns == before.columns
+    assert sorted(str(r.doc_id) for r in seen["near_copies"].collect()) == ["1", "3", "5", "7", "7", "None"]
+    assert seen["pseudonyms"].count() == 6
+    assert max(Counter(r.text for r in seen["mixture"].collect()).values()) <= 3
+    kept = corpus_pipeline.STAGES[0][1](spark, odd, FOLDER)
+    assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} <= {5}

@@ -173,7 +173,7 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
 
 
-def _slots(prints: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def slots(prints: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Two places of a print in a filter of ``bits`` bits, a power of two."""
     mixed = _mixed(prints.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
     mask = np.uint64(bits - 1)
@@ -219,7 +219,7 @@ def summaries(texts: DataFrame, sizes: list[int], threshold: int, partitions: in
             while bits < min(FILTER_BITS * len(found), per_part // 2 + 1):
                 bits *= 2
             flags = np.zeros(bits, bool)
-            for slots in _slots(found, bits):
+            for slots in slots(found, bits):
                 flags[slots] = True
             return pd.DataFrame({"part": [part], "n_prints": [len(found)], "taken": [summary.taken], "bits": [np.packbits(flags, bitorder="little").tobytes()]})
 

@@ -147,19 +147,39 @@ def draws(
     )
 
 
+#: Equal rows that a task numbers at once.
+STRIDE = 1 << 16
+
+
 def mixed(df: DataFrame, key: str, source: str, text: str, **parameters) -> DataFrame:
     """The rows of ``df`` as often as they are drawn, sorted by shard and position within each partition.
 
-    Each row is drawn by itself, also where rows share a key or have none; if any do, the rows are
-    stored with a number each, and drawn by that.
+    A row goes by its key. Rows that share a key or have none go by key and content; equal ones are numbered, and since it doesn't matter
+    which is which, one of them is read for all. So draws depend on the rows alone, not on how they are stored, and a
+    repeated row changes none but those of its source that come after it. Columns keep their names, whatever these are.
     """
-    narrow = lambda rows, by: stage(rows.select(by, source, n_words(text).alias("__words")), "mix-sizes", narrow=True)
-    sized = narrow(df, key)
-    rows, by = df, key
-    if not sized.groupBy(key).agg(F.count("*").alias("__n")).filter("__n > 1").isEmpty():
-        rows, by = stage(df.withColumn("__row", F.monotonically_increasing_id()), "mix-rows"), "__row"
-        sized = narrow(rows, by)
-    chosen = draws(sized, by, source, "__words", **parameters).select(F.col(by).alias("__id"), F.explode("draws").alias("__draw"))
-    joined = rows.join(chosen, F.col(by).eqNullSafe(F.col("__id")))
-    shuffled = joined.repartition("__draw.shard", "__draw.block").sortWithinPartitions("__draw.shard", "__draw.position")
-    return shuffled.select(*[f"`{c}`" for c in df.columns])
+    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    narrow = lambda rows, *more: rows.select(*more, F.col("row")[source].alias("source"), n_words(F.col("row")[text]).alias("words"))
+    name = F.col("row")[key].cast("string")
+    keys = whole.groupBy(F.col("row")[key].alias("key")).agg(F.count("*").alias("n"))
+    shared = stage(keys.filter((F.col("n") > 1) | F.col("key").isNull()).select("key"), "mix-shared-keys")
+    alone, sized = whole.withColumn("id", name), None
+    several = not shared.isEmpty()
+    if several:
+        same = F.col("row")[key].eqNullSafe(shared["key"])
+        alone = whole.join(shared, same, "left_anti").withColumn("id", name)
+        content = F.concat_ws("|", F.md5(F.to_json("row")), name)
+        equal = whole.join(shared, same, "left_semi").groupBy(content.alias("of")).agg(F.min("row").alias("row"), F.count("*").alias("n"))
+        equal = stage(equal, "mix-equal")
+        starts = narrow(equal, "of", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(STRIDE).cast("long"))).alias("start")).repartition("of", "start")
+        numbers = F.explode(F.sequence(F.col("start"), F.least(F.col("start") + STRIDE, F.col("n")) - 1))
+        sized = starts.select("of", "source", "words", numbers.alias("number")).select(F.concat_ws("|", "number", "of").alias("id"), "of", "source", "words")
+    ones = narrow(alone, "id", F.lit(None).cast("string").alias("of")).select("id", "of", "source", "words")
+    sized = stage(ones if sized is None else ones.unionByName(sized), "mix-sizes", narrow=True)
+    chosen = draws(sized, "id", "source", "words", **parameters).select("id", F.explode("draws").alias("draw"))
+    joined = alone.join(chosen.withColumnRenamed("id", "drawn"), F.col("id") == F.col("drawn")).select("row", "draw")
+    if several:
+        of = sized.filter(F.col("of").isNotNull()).select("id", "of")
+        joined = joined.unionByName(stage(chosen.join(of, "id").select("of", "draw"), "mix-draws").join(equal, "of").select("row", "draw"))
+    shuffled = joined.repartition("draw.shard", "draw.block").sortWithinPartitions("draw.shard", "draw.position")
+    return shuffled.select("row.*")

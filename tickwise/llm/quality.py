@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickwise.llm.common import BLANK_RUN, BLANKS, bind, text_or_empty
+from tickwise.llm.common import BLANK_RUN, BLANKS, bind, stage, text_or_empty
 
 SYMBOLS = "[^#*$%&|<>]+"
 
@@ -196,5 +196,6 @@ def with_measures(df: DataFrame, text: str = "text", into: str = "measures") ->
 def keep_good(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", rules: Rules = Rules(), measured: DataFrame | None = None) -> DataFrame:
     """The rows of ``df`` that the rules keep, unchanged. ``measured``: the rows with ``with_measures``, if they are stored already."""
     rows = with_measures(df, text, "__measures") if measured is None else measured
-    limits = thresholds(sketches(rows, "__measures", lang, source, rules), rules)
+    # a stored table of few rows goes to the texts, which stay where they are
+    limits = stage(thresholds(sketches(rows, "__measures", lang, source, rules), rules), "limits")
     return judged(rows, "__measures", lang, source, limits, rules).filter("kept").select(*[f"`{c}`" for c in df.columns])
