@@ -194,8 +194,13 @@ def with_measures(df: DataFrame, text: str = "text", into: str = "measures") ->
 
 
 def keep_good(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", rules: Rules = Rules(), measured: DataFrame | None = None) -> DataFrame:
-    """The rows of ``df`` that the rules keep, unchanged. ``measured``: the rows with ``with_measures``, if they are stored already."""
-    rows = with_measures(df, text, "__measures") if measured is None else measured
+    """The rows of ``df`` that the rules keep, unchanged. ``measured``: the rows with ``with_measures``, if they are stored already.
+
+    Otherwise rows are measured twice, once for the sketches and once to be judged, and no copy of the texts is stored.
+    """
+    if measured is None:
+        # beside a row number, which isn't used, Spark doesn't move conditions in front of the measures, where they would be evaluated again
+        measured = with_measures(df, text, "__measures").withColumn("__row_number", F.monotonically_increasing_id())
     # a stored table of few rows goes to the texts, which stay where they are
-    limits = stage(thresholds(sketches(rows, "__measures", lang, source, rules), rules), "limits")
-    return judged(rows, "__measures", lang, source, limits, rules).filter("kept").select(*[f"`{c}`" for c in df.columns])
+    limits = stage(thresholds(sketches(measured, "__measures", lang, source, rules), rules), "limits")
+    return judged(measured, "__measures", lang, source, limits, rules).filter("kept").select(*[f"`{c}`" for c in df.columns])
