@@ -219,8 +219,8 @@ def summaries(texts: DataFrame, sizes: list[int], threshold: int, partitions: in
             while bits < min(FILTER_BITS * len(found), per_part // 2 + 1):
                 bits *= 2
             flags = np.zeros(bits, bool)
-            for slots in slots(found, bits):
-                flags[slots] = True
+            for at in slots(found, bits):
+                flags[at] = True
             return pd.DataFrame({"part": [part], "n_prints": [len(found)], "taken": [summary.taken], "bits": [np.packbits(flags, bitorder="little").tobytes()]})
 
         for batch in batches:
