@@ -75,6 +75,20 @@ def test_nearest_point_before_or_after(spark):
     assert "Join" not in chart.nearest_points(points, asked, ["k"], "ts", ["v"])._jdf.queryExecution().executedPlan().toString()
 
 
+def test_nearest_points_lie_slices_away_and_no_frame_runs_to_the_end(spark):
+    at = lambda s: T0 + timedelta(seconds=s)
+    times = [0, 10, 3 * 3600 + 5, 40 * 3600, 40 * 3600 + 7199]
+    points = spark.createDataFrame([(k, at(s + d), s) for k, d in (("x", 0), (None, 900)) for s in times], "k string, ts timestamp, v int")
+    wanted = [-90_000, -1, 9, 3600, 7000, 12_000, 80_000, 100_000, 140_000, 147_600, 147_601, 190_000]
+    asked = spark.createDataFrame([(k, at(s), s) for k in ("x", None) for s in wanted] + [("x", None, 1)], "k string, ts timestamp, n int")
+    found = chart.nearest_points(points, asked, ["k"], "ts", ["v"])
+    got = {(r.k, r.n): (r.v, r.distance) for r in found.filter("ts IS NOT NULL").collect()}
+    best = lambda d, n: min((abs(s + d - n), s) for s in times)
+    assert got == {(k, n): (best(d, n)[1], float(best(d, n)[0])) for k, d in (("x", 0), (None, 900)) for n in wanted}
+    assert found.count() == asked.count()
+    assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_lines_follow_x_in_pieces(spark):
     rows = [("a", float(x), float(-x)) for x in (5, 1, 3, 2, 4)] + [("a", None, 1.0), ("a", float("nan"), 1.0), ("b", 1.0, 2.5)]
     df = spark.createDataFrame(rows, "k string, x double, y double")

@@ -9,6 +9,9 @@ from pyspark.sql import Window
 from tickwise.functions.scalar import _c
 from tickwise.operators.series import numbered
 
+#: Seconds of the slices in which nearest points are looked up.
+SLICE = 3600
+
 
 def min_max(x: Column | str, low: Column | str, high: Column | str, multiple: float) -> Column:
     return F.try_divide(_c(x) - _c(low), _c(high) - _c(low)) * multiple
@@ -58,20 +61,30 @@ def chart_points(
 def nearest_points(points: DataFrame, asked: DataFrame, keys: list[str], ts: str, values: list[str], within: float | None = None) -> DataFrame:
     """For each asked time of a chart the point nearest to it, with ``values`` and ``distance`` in seconds.
 
-    Of two points equally near the earlier counts. No point within ``within`` seconds: nulls. The last point before and the first after are
-    looked up by one window over points and asked times together, so no time meets all points.
+    Of two points equally near the earlier counts. No point within ``within`` seconds: nulls. Points and asked times are cut into slices of
+    ``SLICE`` seconds. The last point before a slice and the first after it join the slice's rows, where two running windows, one from either end, find
+    the neighbours: no time meets all points, and no chart is gathered into one task.
     """
     held = F.struct(F.col(ts), *[F.col(v) for v in values])
-    row = lambda df, is_point, point, columns: df.select(*keys, F.col(ts).alias("_ts"), F.lit(is_point).alias("_is_point"), point.alias("_point"), columns.alias("_asked"))
+    slice_ = F.coalesce(F.floor(F.unix_seconds(ts) / SLICE), F.lit(-(1 << 62)))
+    row = lambda df, is_point, point, columns: df.select(*keys, slice_.alias("_slice"), F.col(ts).alias("_ts"), F.lit(is_point).alias("_is_point"), point.alias("_point"), columns.alias("_asked"))
     own = [c for c in asked.columns if c not in (*keys, ts)]
     nothing = F.struct(*[F.lit(None).cast(t).alias(c) for c, t in asked.dtypes if c in own]) if own else F.lit(None).cast("boolean")
     point_type = points.select(held.alias("p")).schema["p"].dataType
-    rows = row(points, True, held, nothing).unionByName(
-        row(asked, False, F.lit(None).cast(point_type), F.struct(*own) if own else F.lit(None).cast("boolean"))
-    )
-    by = Window.partitionBy(*keys).orderBy("_ts", F.desc("_is_point"))
-    before = F.last("_point", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_point", ignorenulls=True).over(by.rowsBetween(0, Window.unboundedFollowing))
+    own_points = row(points, True, held, nothing)
+    rows = own_points.unionByName(row(asked, False, F.lit(None).cast(point_type), F.struct(*own) if own else F.lit(None).cast("boolean")))
+    # the ends of each slice, also of slices that are only asked for, and what lies beyond them
+    place = own_points.select(*keys, "_slice", "_point")
+    place = place.unionByName(asked.select(*keys, slice_.alias("_slice")).distinct().withColumn("_point", F.lit(None).cast(point_type)))
+    at = F.when(F.col("_point").isNotNull(), F.struct(F.col(f"_point.{ts}")))
+    ends = place.groupBy(*keys, "_slice").agg(F.min_by("_point", at).alias("_low"), F.max_by("_point", at).alias("_high"))
+    others = lambda order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    beyond = F.array(F.last("_high", ignorenulls=True).over(others("_slice")), F.last("_low", ignorenulls=True).over(others(F.desc("_slice"))))
+    carried = ends.select(*keys, "_slice", beyond.alias("_beyond")).select(*keys, "_slice", F.explode(F.array_compact("_beyond")).alias("_point"))
+    rows = rows.unionByName(carried.select(*keys, "_slice", F.col(f"_point.{ts}").alias("_ts"), F.lit(True).alias("_is_point"), "_point", nothing.alias("_asked")))
+    until = lambda *order: Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = F.last("_point", ignorenulls=True).over(until("_ts", F.desc("_is_point")))
+    after = F.last("_point", ignorenulls=True).over(until(F.desc("_ts"), "_is_point"))
     both = rows.select(*keys, "_ts", "_is_point", "_asked", before.alias("_before"), after.alias("_after")).filter(~F.col("_is_point"))
     apart = lambda side: F.abs(F.unix_micros(F.col(f"{side}.{ts}")) - F.unix_micros("_ts")) / 1_000_000
     first = F.col("_after").isNull() | (apart("_before") <= apart("_after"))
