@@ -135,3 +135,28 @@ def test_filters_and_bitmaps_lose_nothing(spark, docs):
     assert parts == 4 and all(len(b) == 1 for b in few.values())
     found = near.shingle_set(docs.first().text, 5)
     assert (near._unpacked_set(near._packed_set(found)) == found >> 16).all() and len(near._unpacked_set(near._packed_set(found[:0]))) == 0
+
+
+def test_close_fingerprints_are_candidates_and_sets_take_one_python_step(spark):
+    draw = random.Random(10)
+    texts = [words(draw, 400) for _ in range(30)]
+    edited = [[*text[:-1], "edited"] for text in texts]
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts + edited)], "id long, text string")
+    seen = near.prints(df.selectExpr("*", "unhex(sha2(text, 256)) AS sha"), 5, 0.8)
+    classes = seen.selectExpr("id AS node", "digest", "fp").cache()
+    fps = {r.node: r.fp & (1 << 64) - 1 for r in classes.collect()}
+    want = {(i, i + 30) for i in range(30) if (fps[i] ^ fps[i + 30]).bit_count() <= 2}
+    assert len(want) > 20
+    pairs = near.close(classes.select("node", "fp"))
+    assert {(r.a, r.b) for r in pairs.collect()} == want
+    steps = []
+    stage, near.stage = near.stage, lambda x, name, *more: steps.append(x) or stage(x, name, *more)
+    try:
+        sets = near.sets_of(pairs, classes.select("node", "digest"), df.select("text"), 5)
+    finally:
+        near.stage = stage
+    plan = steps[-1]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and "ArrowEvalPython" not in plan
+    found = {r.node: r.shingles for r in sets.collect()}
+    assert found.keys() == {x for p in want for x in p}
+    assert all((near._unpacked_set(found[i]) == near.shingle_set(" ".join(texts[i]), 5) >> 16).all() for i, _ in want)

@@ -1,4 +1,7 @@
-"""Near copies: candidates by a prefix filter over five-word shingles, then similarity is verified.
+"""Near copies: candidates by SimHash fingerprints and by a prefix filter over five-word shingles, then similarity is verified.
+
+Texts whose fingerprints differ in two bits at most are found by the blocks that these share, as in ``simhash``. Texts of a similarity
+of 0.8 may differ in far more bits; the prefix filter finds these.
 
 Shingles are ordered, rare ones first. Two sets with a Jaccard similarity of t share at least
 t / (1 + t) of both sizes together, so their first common shingle lies early in both: within the first
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tickwise.llm.collocations import FILTER_BITS, MOST_BITS, PARTITION_MASS, packed, slots, unpacked
 from tickwise.llm.common import batch_bytes, shuffle_partitions, stage, text_or_empty
-from tickwise.llm.simhash import components, shingle_hashes
+from tickwise.llm.simhash import bits_of, components, links, shingle_hashes
 
 #: Shingles are counted in one text of so many, and count as frequent from so many of these.
 SAMPLE, OFTEN = 16, 4
@@ -74,27 +77,42 @@ def bitmap(found: np.ndarray) -> np.ndarray:
 
 
 def prints(rows: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Of each text: a digest of its words, the size of its set of shingles, its bitmap, and the first of the shingles, rare ones first."""
+    """Of each text: a digest of its words, its fingerprint, the size of its set of shingles, its bitmap, and the first of the shingles, rare ones first."""
     held = rows.sparkSession.sparkContext.broadcast(frequent(rows, words))
 
-    @F.pandas_udf("digest string, size int, bits array<long>, keys array<long>")
+    @F.pandas_udf("digest string, fp long, size int, bits array<long>, keys array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
         often, counts = held.value
-        digests, sizes, bits, keys = [], [], [], []
-        for x in texts:
+        digests, fps, sizes, bits, keys = [], np.empty(len(texts), np.uint64), [], [], []
+        for i, x in enumerate(texts):
             digests.append(word_digest(x))
-            found = shingle_set(x, words)
+            every = shingle_hashes(x, words, 42)
+            fps[i] = bits_of(every)
+            found = np.unique(every)
             bits.append(bitmap(found))
             if len(often) and len(found):
                 at = np.minimum(np.searchsorted(often, found), len(often) - 1)
                 found = found[np.argsort(np.where(often[at] == found, counts[at], 0), kind="stable")]
             sizes.append(len(found))
             keys.append(found[: len(found) - ceil(similarity * len(found) - EMPTY) + 1].view(np.int64))
-        return pd.DataFrame({"digest": digests, "size": np.array(sizes, np.int32), "bits": pd.Series(bits, dtype=object), "keys": pd.Series(keys, dtype=object)})
+        return pd.DataFrame({"digest": digests, "fp": fps.view(np.int64), "size": np.array(sizes, np.int32), "bits": pd.Series(bits, dtype=object), "keys": pd.Series(keys, dtype=object)})
 
     return rows.select("id", "sha", of("text").alias("p")).select("id", "sha", "p.*")
 
 
+def close(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes that connect all whose fingerprints are equal or linked by steps of one or two bits.
+
+    ``classes`` (node, fp) has a row per different text. The least node of a fingerprint stands for it, so a fingerprint that many texts share
+    costs a pair each.
+    """
+    least = stage(classes.groupBy("fp").agg(F.min("node").alias("least")), "near-fingerprints", narrow=True)
+    equal = classes.join(least, "fp").filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    of = lambda name: least.select(F.col("fp").alias(name), F.col("least").alias(f"node_{name}"))
+    beside = links(least.select("fp")).join(of("a"), "a").join(of("b"), "b")
+    return equal.unionByName(beside.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")))
+
+
 def repeated(seen: DataFrame, most_bits: int = MOST_BITS) -> tuple[dict[int, bytes], int]:
     """A filter, and in how many parts it is, that lets through every listed shingle of two different texts.
 
@@ -273,7 +291,7 @@ def _unpacked_set(data: bytes) -> np.ndarray:
     return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
 
 
-#: Bits of the filter that says of which texts sets are asked for (16 MB).
+#: Bits of the filter that says of which texts sets are asked for (16 MB); the first seven digits of a digest choose one.
 ASKED_BITS = 1 << 27
 
 
@@ -285,7 +303,7 @@ def sets_of(pairs: DataFrame, classes: DataFrame, rows: DataFrame, words: int) -
     spark = pairs.sparkSession
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     asked = stage(asked.join(classes, "node").select("node", "digest"), "near-asked")
-    place = F.pmod(F.xxhash64("digest"), F.lit(ASKED_BITS))
+    place = F.conv(F.substring("digest", 1, 7), 16, 10).cast("long") % ASKED_BITS
     words_ = asked.select(F.shiftright(place, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("bit"))
     blocks = words_.groupBy("word").agg(F.bit_or("bit").alias("bits"))
     flags = np.zeros(ASKED_BITS >> 6, np.int64)
@@ -293,20 +311,18 @@ def sets_of(pairs: DataFrame, classes: DataFrame, rows: DataFrame, words: int) -
     flags[found["word"].to_numpy()] = found["bits"].to_numpy()
     sent = spark.sparkContext.broadcast(flags)
 
-    @F.pandas_udf("long")
-    def flag(at: pd.Series) -> pd.Series:
-        return pd.Series(sent.value[at.to_numpy()])
-
-    @F.pandas_udf("binary")
-    def packed_sets(texts: pd.Series) -> pd.Series:
-        return pd.Series([_packed_set(shingle_set(x, words)) for x in texts], dtype=object)
-
-    @F.pandas_udf("string")
-    def digests(texts: pd.Series) -> pd.Series:
-        return pd.Series([word_digest(x) for x in texts], dtype=object)
-
-    known = F.call_function("shiftright", flag(F.shiftright(place, 6)), (place % 64).cast("int")).bitwiseAND(1) == 1
-    held = rows.select("text", digests("text").alias("digest")).filter(known).select("digest", packed_sets("text").alias("shingles"))
+    # one step in Python for the digest, the filter and the set, so that a task has one worker
+    def packed_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for x in batch["text"]:
+                digest = word_digest(x)
+                at = int(digest[:7], 16) % ASKED_BITS
+                if int(sent.value[at >> 6]) >> (at & 63) & 1:
+                    out.append((digest, _packed_set(shingle_set(x, words))))
+            yield pd.DataFrame(out, columns=["digest", "shingles"])
+
+    held = rows.select("text").mapInPandas(packed_sets, "digest string, shingles binary")
     each = held.groupBy("digest").agg(F.first("shingles").alias("shingles"))
     return stage(each.join(asked, "digest").select("node", "shingles"), "near-sets")
 
@@ -350,16 +366,17 @@ def classed(df: DataFrame, id_: str, text: str, words: int = 5, similarity: floa
     """(id, sha, digest, root) of each row, stored: rows of near copies have the same root.
 
     Texts of equal words (ASCII case aside) are copies, whatever their number, and cost one row; other texts are linked if
-    they are ``candidates`` and similar, and links are followed. Texts without words are copies of
+    they are ``close`` or ``candidates`` and similar, and links are followed. Texts without words are copies of
     each other. Rows are told apart by content: ids may repeat or be null.
     """
     rows = df.select(F.col(id_).cast("long").alias("id"), text_or_empty(text).alias("text"))
     with batch_bytes(df.sparkSession):
         seen = stage(prints(rows.withColumn("sha", F.unhex(F.sha2("text", 256))), words, similarity), "near-prints")
-        classes = seen.groupBy("digest").agg(F.first("size").alias("size"), F.first("bits").alias("bits"))
+        classes = seen.groupBy("digest").agg(F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("fp").alias("fp"))
         classes = stage(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
         listed = listing(seen).join(classes.select("digest", "node"), "digest").select(F.col("node").alias("id"), "size", F.explode(F.arrays_zip("pos", "key")).alias("x"))
         found, crowds = candidates(stage(listed.select("id", "size", "x.pos", "x.key"), "near-listed"), similarity)
+        found = found.unionByName(close(classes.select("node", "fp"))).distinct()
         pairs = stage(within_bitmaps(found, classes, similarity), "near-pairs")
         links, roots = linked(pairs, sets_of(pairs, classes, rows, words), similarity)
         if not crowds.isEmpty():
