@@ -11,7 +11,7 @@ from tickwise.operators import trends as tr
 from tickwise.operators import windows as w
 from tickwise.operators import series
 from tickwise.sources import log as event_log
-from tickwise.streaming import fanout, inputs, ledger, live, stateful
+from tickwise.streaming import fanout, inputs, jobs, ledger, live, stateful
 from tickwise.streaming.jobs import drain, replay
 
 T0 = datetime(2025, 1, 15, 15, 0)
@@ -392,3 +392,16 @@ def test_replayed_tables_keep_rows_without_time(spark, tmp_path):
         counts.append([r.i for r in spark.read.parquet(f"{tmp_path}/out").collect()])
     assert sorted(counts[-1]) == list(range(100)) and [len(c) for c in counts] == sorted(len(c) for c in counts)
     assert set(range(0, 100, 10)) <= set(counts[0]) and len(counts[0]) < 50
+
+
+def test_a_stored_table_is_replayed_without_another_copy_and_states_are_not_counted(spark, tmp_path, monkeypatch):
+    rows = spark.range(40).selectExpr("id", "timestamp_seconds(id) AS market_ts")
+    rows.write.parquet(str(tmp_path / "rows"))
+    copies = []
+    monkeypatch.setattr(jobs.store, "staged", lambda df, path: copies.append(path) or df)
+    seen = [s.isStreaming for s in jobs.replay(spark.read.parquet(str(tmp_path / "rows")), "rows", "market_ts", stored=True)]
+    assert seen == [True] * jobs.STEPS and copies == []
+    before = [spark.conf.get(x, None) for x in (live.PROVIDER, live.COUNTED)]
+    with live.rocksdb(spark):
+        assert spark.conf.get(live.COUNTED) == "false"
+    assert [spark.conf.get(x, None) for x in (live.PROVIDER, live.COUNTED)] == before

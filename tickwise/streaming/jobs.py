@@ -33,15 +33,16 @@ def _drain(spark: SparkSession, writer) -> None:
 # --- replayed tables ---------------------------------------------------------
 
 
-def replay(df: DataFrame, name: str, ts: str = "ts", steps: int = STEPS, cuts: list[int] | None = None, step: str | None = None) -> Iterator[DataFrame]:
+def replay(df: DataFrame, name: str, ts: str = "ts", steps: int = STEPS, cuts: list[int] | None = None, step: str | None = None, stored: bool = False) -> Iterator[DataFrame]:
     """A table as a stream that grows step by step in order of time; yields the stream after each step.
 
     A query drained after each step goes on from its checkpoint, and finds a step's files as one
     micro-batch. All tasks write a step. Rows without time come first. ``cuts``, in microseconds, are the last times of
     all steps but the last; without them steps have about as many rows each. A column ``step`` says it instead.
+    A table that is ``stored`` isn't stored again before it is cut.
     """
     spark = df.sparkSession
-    held = store.staged(df, fresh_path(spark, name))
+    held = df if stored else store.staged(df, fresh_path(spark, name))
     path = f"{fresh_path(spark, name)}/input"
     if step is None:
         instant = F.unix_micros(ts)
@@ -266,9 +267,9 @@ def live_assets(every: str, spark: SparkSession, folder: str) -> DataFrame:
     def look() -> None:
         log.run(spark, lambda: _drain(spark, job(stocks, other)))
 
-    late = replay(trades.filter(crypto), "crypto", "market_ts", cuts=cuts)
+    late = replay(trades.filter(crypto), "crypto", "market_ts", cuts=cuts, stored=True)
     other = next(late)
-    for step, stocks in enumerate(replay(trades.filter(~crypto), "stocks", "market_ts", cuts=cuts)):
+    for step, stocks in enumerate(replay(trades.filter(~crypto), "stocks", "market_ts", cuts=cuts, stored=True)):
         if step != 1:  # crypto is silent, and two steps come at once after that
             for _ in range({0: 0, 2: 2}.get(step, 1)):
                 other = next(late, other)
@@ -286,7 +287,7 @@ def late_trades(every: str, spark: SparkSession, folder: str) -> DataFrame:
     trades = store.staged(tables.trades(spark, folder).withColumn("arrived", arrival), fresh_path(spark, "arrivals"))
     out = fresh_path(spark, "late-trades")
     log = inputs.ProgressLog()
-    for stream in replay(trades, "arrivals", "arrived", cuts=even_cuts(trades, "arrived")):
+    for stream in replay(trades, "arrivals", "arrived", cuts=even_cuts(trades, "arrived"), stored=True):
         events = inputs.distinct_in_window(inputs.live_input(stream, "trades", out), ["symbol", "trade_id"], every)
         writer = live.trade_sink(trade_windows(events, F.col("w")), f"{out}/table", f"{out}/checkpoint")
         log.run(spark, lambda w=writer: _drain(spark, w))
