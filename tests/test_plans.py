@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tickwise.operators import bars, series, windows
 from tickwise.plans import microstructure, registry
@@ -81,3 +82,34 @@ def test_features_read_the_bars_once(spark):
     for name, rows in want.items():
         got = both.filter(f"{name} IS NOT NULL").select(f"{name}.*")
         assert sorted(map(str, (r.asDict() for r in got.select(*rows.columns).collect()))) == sorted(map(str, (r.asDict() for r in rows.collect())))
+
+
+def test_both_flavours_sort_only_the_bars_of_a_days_ends(spark):
+    """All bars are aggregated by hash; those sorted for first and last prices have met the days' first and last times."""
+    rows = tables.bars(spark, FOLDER)
+    both = plan(bars.daily_bars_both(rows, registry.SEQUENCE))
+    sorted_bars = both[both.rindex("SortAggregate") :]
+    assert "_at#" in sorted_bars[: sorted_bars.index("lineitem.parquet")]
+    groups = plan(bars._day_groups(rows))
+    assert "SortAggregate" not in groups and "HashAggregate" in groups
+
+
+def test_both_flavours_of_odd_bars(spark):
+    """Ties go by the whole order, nulls first; repeated bars, missing names and prices, days without regular hours."""
+    made = [
+        ("A", "X", "2025-01-15 15:00:00", (2, 1), 1.0, 2.0), ("A", "X", "2025-01-15 15:00:00", (1, 9), 3.0, 4.0), ("A", "W", "2025-01-15 15:00:00", (None, 5), 5.0, None),
+        ("A", "X", "2025-01-15 20:30:00", (7, 1), 6.0, 7.0), ("A", "X", "2025-01-15 20:30:00", (7, 1), 6.0, 7.0), ("A", "V", "2025-01-15 23:00:00", (1, 1), 8.0, 9.0),
+        ("A", "X", "2025-01-16 02:00:00", (1, 1), 10.0, 11.0), (None, None, "2025-01-16 02:00:00", (1, 1), 12.0, None), (None, None, "2025-01-16 15:00:00", (4, 4), 13.0, 14.0),
+        ("A", "X", "2025-01-18 15:00:00", (1, 1), 15.0, 16.0), ("A", "X", "2025-01-20 15:00:00", (1, 1), 17.0, 18.0), ("B", "Y", None, (1, 1), 19.0, 20.0), ("B", "Y", "2025-01-21 03:00:00", (1, 1), 21.0, 22.0),
+        ("B", "Y", "2025-01-22 03:00:00", (3, 1), None, 23.0), ("B", "Y", "2025-01-22 13:00:00", (1, None), 24.0, None),
+    ]
+    rows = [(t, c, at, o, p, q, p, q, q, 1.0, q) for t, c, at, o, p, q in made]
+    kinds = "ticker string, company string, at string, sequence struct<a: bigint, b: int>, " + ", ".join(f"{c} double" for c in [*bars.PRICES, "volume", "total_trading_value"])
+    df = spark.createDataFrame(rows, kinds).withColumn("market_ts", F.col("at").cast("timestamp")).repartition(3)
+    both = bars.daily_bars_both(df, registry.SEQUENCE)
+    for name, count in (("regular", 2), ("extended", 5)):
+        want = bars.daily_bars(df, name == "regular", registry.SEQUENCE)
+        got = both.filter(f"{name} IS NOT NULL").select(f"{name}.*").select(*want.columns)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == count
+    first = both.filter("regular.ticker = 'A'").select("regular.*").first()
+    assert (first.company, first.opening_price, first.closing_price) == ("W", 5.0, 7.0)

@@ -118,16 +118,20 @@ def trading_day(ts: Column | str) -> Column:
     return F.to_date(F.from_utc_timestamp(_c(ts), NEW_YORK))
 
 
-def is_regular_hours(ts: Column | str) -> Column:
-    """Is the exchange open at the instant.
+def is_session_time(ts: Column | str) -> Column:
+    """Does the instant lie between the bells of its New York day, a bank day or not.
 
     The zone conversion is the costly part, so it occurs once: whole session lengths
-    since the opening bell are zero exactly while the exchange is open, and during
-    those hours the New York date is the UTC date.
+    since the opening bell are zero exactly while the exchange is open.
     """
     local = F.from_utc_timestamp(_c(ts), NEW_YORK)
     since_open = F.pmod(F.unix_seconds(local), F.lit(86400)) - OPEN_SECONDS
-    return (F.floor(since_open / (CLOSE_SECONDS - OPEN_SECONDS)) == 0) & is_bank_day(F.to_date(_c(ts)))
+    return F.floor(since_open / (CLOSE_SECONDS - OPEN_SECONDS)) == 0
+
+
+def is_regular_hours(ts: Column | str) -> Column:
+    """Is the exchange open at the instant; during those hours the New York date is the UTC date."""
+    return is_session_time(ts) & is_bank_day(F.to_date(_c(ts)))
 
 
 def feed_start(session_date: str) -> Column:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickwise.functions.calendar import is_bank_day, is_regular_hours, new_york_instant, trading_day
+from tickwise.functions.calendar import is_bank_day, is_regular_hours, is_session_time, new_york_instant, trading_day
+from tickwise.session import fresh_path
+from tickwise.sources import store
 
 PRICES = ["opening_price", "closing_price", "high_price", "low_price", "volume_weighted_avg_price"]
 
@@ -42,27 +44,80 @@ def daily_bars(bars: DataFrame, regular_hours: bool = True, order: list[str] | N
     )
 
 
+FLAVOURS = ("regular", "extended")
+
+
 def daily_bars_both(bars: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """Regular and extended bars of each ticker and bank day from one pass: columns ``regular`` (null where there is none) and ``extended``."""
-    by = _order(order or ["market_ts"])
-    flavours = {"regular": is_regular_hours("market_ts"), "extended": F.lit(True)}
-    held = bars.withColumn("_regular", flavours["regular"]).filter(is_bank_day(trading_day("market_ts")))
+    """Regular and extended bars of each ticker and bank day: columns ``regular`` (null where there is none) and ``extended``.
+
+    A first pass aggregates by hash, and its small result is stored. First and last prices need the whole ``order``, whose first
+    column is the bars' time: a second pass reads the bars at each day's first and last times and sorts only these.
+    """
+    order = order or ["market_ts"]
+    days = store.staged(_day_groups(bars), fresh_path(bars.sparkSession, "days"))
+    return _both_flavours(days, _end_prices(bars, _end_times(days), order))
+
+
+def _day_groups(bars: DataFrame) -> DataFrame:
+    """Sums and bounds per ticker, company and bank day, by hash: names are keys, all else has a fixed width.
+
+    A group lies within a New York day, so the calendar is asked once a group, of its first time.
+    """
+    marked = bars.select("*", trading_day("market_ts").alias("_day"), is_session_time("market_ts").alias("_regular"))
+
+    def of(name: str) -> list[Column]:
+        mine = (lambda c: F.when(F.col("_regular"), F.col(c))) if name == "regular" else F.col
+        return [
+            F.min(mine("market_ts")).alias(f"{name}_market_ts"),
+            F.max(mine("market_ts")).alias(f"{name}_latest"),
+            F.max(mine("high_price")).alias(f"{name}_high_price"),
+            F.min(mine("low_price")).alias(f"{name}_low_price"),
+            F.sum(mine("volume_weighted_avg_price")).alias(f"{name}_prices"),
+            F.count(mine("volume_weighted_avg_price")).alias(f"{name}_priced"),
+            F.sum(mine("total_trading_value")).alias(f"{name}_total_trading_value"),
+        ]
+
+    grouped = marked.groupBy("ticker", "company", "_day").agg(*[c for name in FLAVOURS for c in of(name)])
+    day = trading_day("extended_market_ts")
+    return grouped.filter(is_bank_day(day)).withColumn("day", day).drop("_day")
+
+
+def _end_times(days: DataFrame) -> DataFrame:
+    """The first and last times of each ticker's day, of regular hours and of all."""
+    ends = [end for name in FLAVOURS for end in (F.min(f"{name}_market_ts"), F.max(f"{name}_latest"))]
+    bounds = days.groupBy("ticker", "day").agg(*[end.alias(f"_end{i}") for i, end in enumerate(ends)])
+    times = F.array_distinct(F.array_compact(F.array(*[f"_end{i}" for i in range(len(ends))])))
+    return bounds.select(F.col("ticker").alias("_ticker"), F.explode(times).alias("_at"))
+
+
+def _end_prices(bars: DataFrame, times: DataFrame, order: list[str]) -> DataFrame:
+    """First open and last close per ticker and day, of regular hours and of all, from the bars of the given times."""
+    held = bars.join(times, F.col("ticker").eqNullSafe(F.col("_ticker")) & (F.col("market_ts") == F.col("_at")))
+    by = _order(order)
+    ends = held.groupBy("ticker", "market_ts").agg(F.min_by("opening_price", by).alias("opening_price"), F.max_by("closing_price", by).alias("closing_price"))
+    regular = F.when(is_session_time("market_ts"), F.col("market_ts"))
+    return ends.groupBy(F.col("ticker").alias("_ticker"), trading_day("market_ts").alias("_day")).agg(
+        F.min_by("opening_price", regular).alias("regular_opening_price"),
+        F.max_by("closing_price", regular).alias("regular_closing_price"),
+        F.min_by("opening_price", "market_ts").alias("extended_opening_price"),
+        F.max_by("closing_price", "market_ts").alias("extended_closing_price"),
+    )
+
 
+def _both_flavours(days: DataFrame, prices: DataFrame) -> DataFrame:
     def of(name: str) -> list[Column]:
-        mine = (lambda c: F.when(F.col("_regular"), c)) if name == "regular" else (lambda c: c)
         return [
-            F.min(mine(F.col("company"))).alias(f"{name}_company"),
-            F.min(mine(F.col("market_ts"))).alias(f"{name}_market_ts"),
-            F.min_by("opening_price", mine(by)).alias(f"{name}_opening_price"),
-            F.max_by("closing_price", mine(by)).alias(f"{name}_closing_price"),
-            F.max(mine(F.col("high_price"))).alias(f"{name}_high_price"),
-            F.min(mine(F.col("low_price"))).alias(f"{name}_low_price"),
-            F.avg(mine(F.col("volume_weighted_avg_price"))).alias(f"{name}_volume_weighted_avg_price"),
-            F.sum(mine(F.col("total_trading_value"))).alias(f"{name}_total_trading_value"),
+            F.min(F.when(F.col(f"{name}_market_ts").isNotNull(), F.col("company"))).alias(f"{name}_company"),
+            F.min(f"{name}_market_ts").alias(f"{name}_market_ts"),
+            F.max(f"{name}_high_price").alias(f"{name}_high_price"),
+            F.min(f"{name}_low_price").alias(f"{name}_low_price"),
+            F.try_divide(F.sum(f"{name}_prices"), F.sum(f"{name}_priced")).alias(f"{name}_volume_weighted_avg_price"),
+            F.sum(f"{name}_total_trading_value").alias(f"{name}_total_trading_value"),
         ]
 
     columns = ["company", "market_ts", *PRICES[:4], "volume_weighted_avg_price", "total_trading_value"]
-    grouped = held.groupBy("ticker", trading_day("market_ts").alias("day")).agg(*of("regular"), *of("extended"))
+    grouped = days.groupBy("ticker", "day").agg(*[c for name in FLAVOURS for c in of(name)])
+    grouped = grouped.join(prices, F.col("ticker").eqNullSafe(F.col("_ticker")) & F.col("day").eqNullSafe(F.col("_day")))
     row = lambda name: F.struct("ticker", "day", *[F.col(f"{name}_{c}").alias(c) for c in columns])
     return grouped.select(F.when(F.col("regular_market_ts").isNotNull(), row("regular")).alias("regular"), row("extended").alias("extended"))
 

@@ -463,7 +463,7 @@ def member_spread(spark, d):
 
 
 def _features(program, spark, d):
-    # one pass over the bars for both flavours, and the index, read by three of the five inputs, has a row a day
+    # both flavours of the bars come from one step, and the index, read by three of the five inputs, has a row a day
     both = store.staged(bar_ops.daily_bars_both(tables.bars(spark, d), SEQUENCE), fresh_path(spark, "daily"))
     regular = ix.index_members(both.filter("regular IS NOT NULL").select("regular.*"))
     extended = ix.index_members(both.select("extended.*"), regular_hours=False)
