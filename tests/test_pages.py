@@ -34,6 +34,73 @@ def test_pages_are_written_by_tasks_under_any_ticker(spark, tmp_path):
     assert sorted((r.ticker, r.volume) for r in got.collect()) == sorted((r[0], r[-1]) for r in rows)
 
 
+def test_pages_that_follow_each_other_share_a_file(spark, tmp_path):
+    at = lambda i: T0 + timedelta(days=i % 75, minutes=30 * (i % 3))
+    rows = [(t, i, at(i), 1.0 + i / 7, 2.0, 3.0, None if i % 5 else 0.5, 1.5, i) for t, n in (("A/B:C", 2_000), ("D", 7), ("E", 50)) for i in range(n)]
+    rows += rows[:30]  # rows that are equal stay rows
+    df = spark.createDataFrame(rows, BARS)
+    ways = {together: str(tmp_path / f"by-{together}") for together in (1, 8)}
+    for together, path in ways.items():
+        pages.land_pages(df, path, ["market_ts", "n"], 10, together=together)
+    files = {k: [p for p in Path(v).rglob("*") if p.is_file()] for k, v in ways.items()}
+    assert len(files[1]) == 203 + 1 + 5 and len(files[8]) < 60
+    disk = {k: sum(p.stat().st_blocks * 512 for p in Path(v).rglob("*")) for k, v in ways.items()}
+    assert disk[8] < 0.3 * disk[1]
+    # page after page as with a file each
+    chains = {}
+    for together, path in ways.items():
+        chain, folder = [], Path(path) / "ticker=A%2FB%3AC"
+        token = min(p.name for p in folder.iterdir()).removeprefix("page=")
+        reader = pages.PageReader(path, {}, 0)
+        system, root = pages.file_system(str(folder))
+        while token:
+            for page in reader._pages(system, f"{root}/page={token}"):
+                chain.append((token, page))
+                token = page["next_page_token"]
+        chains[together] = chain
+    assert chains[1] == chains[8] and [len(p["bars"]["A/B:C"]) for _, p in chains[8]] == [10] * 203
+    since = {"A/B:C": T0 + timedelta(days=33, minutes=1), "D": T0 + timedelta(days=2), "E": T0 + timedelta(days=400), "NONE": T0}
+    got = pages.read_bars(spark, ways[8], starts(spark, **since))
+    want = df.select(*got.columns).filter(F.col("market_ts") >= F.create_map(*[x for k, v in since.items() for x in (F.lit(k), F.lit(v))])[F.col("ticker")])
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect())) and want.count() > 500
+
+
+def test_landed_bars_take_little_disk(spark, tmp_path):
+    """As ``paged_bars`` and ``tickers_without_pages`` land them: neither pages nor what moves before them outgrow the table."""
+    from tickwise.plans import registry
+
+    n = 60_000
+    row = spark.range(n).withColumn("r", F.rand(7))
+    lineitem = row.select(
+        F.col("id").alias("l_orderkey"), (F.col("id") % 7).cast("int").alias("l_linenumber"), (F.col("id") % 999).alias("l_partkey"), (F.col("id") % 40).alias("l_suppkey"),
+        (1.0 + F.col("id") % 50).alias("l_quantity"), F.round(1000 + F.col("r") * 90_000, 2).alias("l_extendedprice"), (F.col("id") % 11 / 100).alias("l_discount"),
+        F.timestamp_seconds(F.lit(852_076_800) + (F.col("r") * 700).cast("int") * 86_400).alias("l_shipdate"),
+    )
+    supplier = spark.range(40).select(F.col("id").alias("s_suppkey"), (F.col("id") % 2).cast("int").alias("s_nationkey"))
+    nation = spark.range(3).select(F.col("id").cast("int").alias("n_nationkey"), F.concat(F.lit("N"), "id").alias("n_name"))
+    for name, df in (("lineitem", lineitem), ("supplier", supplier), ("nation", nation)):
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    path, since = registry._landed(spark, str(tmp_path))
+    landed = sum(p.stat().st_blocks * 512 for p in Path(path.removeprefix("file:")).rglob("*"))
+    assert landed < 60 * n  # 205 bytes a bar where each page had a folder
+    assert pages.read_bars(spark, path, since).filter("ticker = 'N1'").count() == n // 2
+    assert {r.ticker for r in registry.tickers_without_pages(spark, str(tmp_path)).collect()} == {"N2", "GONE"}
+
+
+@pytest.mark.parametrize("count", [3, 5_000])
+def test_packed_rows_arrive_whole_and_by_key(spark, monkeypatch, count):
+    monkeypatch.setattr(pages, "PACKED_ROWS", 700)
+    df = spark.range(count, numPartitions=3).select(
+        F.when(F.col("id") % 9 > 0, F.concat(F.lit("k"), F.col("id") % 9)).alias("k"), "id", F.struct((F.col("id") % 5).alias("a"), F.lit("x").alias("b")).alias("s"),
+        F.timestamp_seconds("id").alias("t"), F.lit(None).cast("double").alias("z"),
+    )
+    dealt = pages.dealt_out(df, ["k"])
+    assert dealt.schema.simpleString() == df.schema.simpleString()
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, df.collect()))
+    assert dealt.select("k", F.spark_partition_id().alias("p")).distinct().groupBy("k").count().filter("count > 1").count() == 0
+
+
 def starts(spark, **since):
     return spark.createDataFrame([(t, s) for t, s in since.items()], "ticker string, start timestamp")
 

@@ -295,7 +295,7 @@ def _landed(spark, d):
     """Pages of a hundred bars and the start of each ticker: 1998 for the even ones, all for the others, and a ticker that has none."""
     bars = tables.bars(spark, d).withColumn("volume", F.col("volume").cast("long"))
     path = fresh_path(spark, "bar-pages")
-    pages.land_pages(bars, path, SEQUENCE, 100)
+    pages.land_pages(bars, path, SEQUENCE, 100, together=100)
     nations = tables.read(spark, d, "nation")
     start = F.when(F.col("n_nationkey") % 2 == 0, F.lit("1998-01-01")).otherwise(F.lit("1990-01-01")).cast("timestamp")
     known = nations.select(F.col("n_name").alias("ticker"), start.alias("start"))
